@@ -1,0 +1,134 @@
+"""Pooled quantile trees: a random forest on the feature table, quantiles read from its leaves.
+
+Boosted quantile loss is not part of Spark ML, so the conditional quantiles come from the training
+targets that share a leaf with the new row (quantile regression forest, Meinshausen 2006).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from datetime import date, timedelta
+from functools import reduce
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from slotledger.config import LedgerConfig, ModelSpec
+from slotledger.functions.losses import sort_quantiles
+from slotledger.operators import features as feat
+from slotledger.operators import shaping
+from slotledger.session import materialize
+
+FOREST_SPEC = ModelSpec("quantile_forest", error_days=60, min_error_days=20)
+MIN_TRAINING_DAYS = 120
+MISSING = -1.0e6
+QUANTILES = (0.1, 0.5, 0.9)
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    """Assembled features; a missing covariate gets a value far outside its range."""
+    filled = rows.fillna({c: MISSING for c in feat.FEATURE_COLUMNS})
+    return VectorAssembler(inputCols=list(feat.FEATURE_COLUMNS), outputCol="features").transform(filled)
+
+
+def training_rows(table: DataFrame) -> DataFrame:
+    needed = ["y", "p_last_hour", "p_week_hour", "p_week_mean"]
+    return table.dropna(subset=needed)
+
+
+def fit_forest(train: DataFrame, trees: int = 20, depth: int = 8, min_leaf: int = 40, seed: int = 0) -> RandomForestRegressionModel:
+    learner = RandomForestRegressor(
+        featuresCol="features", labelCol="y", leafCol="leaf", numTrees=trees, maxDepth=depth,
+        minInstancesPerNode=min_leaf, featureSubsetStrategy="onethird", seed=seed,
+    )
+    return learner.fit(_vectors(train))
+
+
+def _leaves(model: RandomForestRegressionModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    out = model.transform(_vectors(rows)).withColumn("leaves", vector_to_array("leaf"))
+    return out.select(*keep, F.posexplode("leaves").alias("tree", "leaf"))
+
+
+def forest_quantiles(train: DataFrame, ask: DataFrame, model: RandomForestRegressionModel) -> DataFrame:
+    """Raw hourly quantiles of the asked rows: leaf quantiles averaged over the trees.
+
+    The leaf table has at most ``trees * 2^depth`` rows, so broadcasting it is bounded by the
+    model, not by the data. Leaf quantiles are mergeable sketches with bounded memory.
+    """
+    leaf_values = _leaves(model, train, ["y"]).groupBy("tree", "leaf").agg(
+        F.percentile_approx("y", list(QUANTILES), 10000).alias("q")
+    )
+    keys = ["series_id", "horizon_days", "issue_date", "target_date", "hour", "p_week_mean"]
+    hits = _leaves(model, ask, keys).join(F.broadcast(leaf_values), ["tree", "leaf"])
+    mean = lambda k: F.avg(F.get("q", F.lit(k)))
+    raw = hits.groupBy(*keys).agg(mean(0).alias("a"), mean(1).alias("b"), mean(2).alias("c"))
+    lo, mid, hi = sort_quantiles(*[F.col(x) + F.col("p_week_mean") for x in ("a", "b", "c")])
+    return raw.select(*keys[:-1], lo.alias("raw10"), mid.alias("raw50"), hi.alias("raw90"))
+
+
+def raw_quantiles(
+    table: DataFrame, horizon: int, anchor: date, first_issue: date, last_issue: date, **fit: int
+) -> DataFrame | None:
+    """Quantiles of the issues ``first_issue`` to ``last_issue`` from a fit up to ``anchor``."""
+    train = training_rows(table.filter(F.col("target_date") <= F.lit(anchor)))
+    n_days = train.select("target_date").distinct().count()
+    if n_days < MIN_TRAINING_DAYS:
+        return None
+    issue = F.col("issue_date")
+    ask = table.filter((issue >= F.lit(first_issue)) & (issue <= F.lit(last_issue))).dropna(
+        subset=["p_last_hour", "p_week_mean"]
+    )
+    return forest_quantiles(train, ask, fit_forest(train, **fit))
+
+
+def weekly_anchors(first_issue: date, last_issue: date) -> list[tuple[date, date, date]]:
+    """(anchor Sunday, first issue, last issue) of each weekly refit."""
+    out, day = [], first_issue
+    while day <= last_issue:
+        anchor = day - timedelta(days=(day.weekday() + 1) % 7)
+        end = min(anchor + timedelta(days=6), last_issue)
+        out.append((anchor, day, end))
+        day = end + timedelta(days=1)
+    return out
+
+
+def forest_points(
+    days: DataFrame, covariates: DataFrame, first_issue: date, last_issue: date, cfg: LedgerConfig,
+    spec: ModelSpec = FOREST_SPEC, **fit: int,
+) -> DataFrame:
+    """Native quantile vectors (``raw10``, ``point``, ``raw90``) for all issues in the range.
+
+    One distributed fit per horizon and week. The feature table and the raw quantiles are
+    checkpointed because every fit reads them.
+    """
+    matrix = shaping.hourly_matrix(days, cfg)
+    cov = feat.covariate_matrix(covariates, cfg)
+    parts = []
+    for h in cfg.horizons:
+        table = materialize(feat.pooled_features(matrix, cov, h))
+        for anchor, first, last in weekly_anchors(first_issue, last_issue):
+            part = raw_quantiles(table, h, anchor, first, last, **fit)
+            if part is not None:
+                parts.append(part)
+    if not parts:
+        raise ValueError("not enough training days for any issue")
+    hourly = reduce(DataFrame.unionByName, parts)
+    packed = hourly.groupBy("series_id", "horizon_days", "issue_date", "target_date").agg(
+        F.sort_array(F.collect_list(F.struct("hour", "raw10", "raw50", "raw90"))).alias("h")
+    )
+    arrays = packed.filter(F.size("h") == 24).select(
+        "series_id", "horizon_days", "issue_date", "target_date",
+        *[F.transform("h", lambda x, c=c: x[c]).alias(c) for c in ("raw10", "raw50", "raw90")],
+    )
+    issues = arrays.select("series_id", "issue_date").distinct()
+    shapes = shaping.shape_vectors(shaping.intra_hour_shape(days, cfg, issues), cfg)
+    laid = shaping.to_slots(arrays, shapes, cfg, ("raw10", "raw50", "raw90"))
+    return laid.select(
+        "series_id", "target_date", F.lit(spec.name).alias("model"), F.lit(spec.version).alias("model_version"),
+        F.lit(spec.error_days).alias("error_days"), F.lit(spec.min_error_days).alias("min_error_days"),
+        "horizon_days", "issue_date", "n_slots", "clocks",
+        F.col("raw10_slots").alias("raw10"), F.col("raw50_slots").alias("point"), F.col("raw90_slots").alias("raw90"),
+    )

@@ -23,6 +23,7 @@ def local_session(cores: int | str = 8, app: str = "slotledger", **conf: str) ->
         .appName(app)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
     )
