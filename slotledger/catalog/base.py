@@ -28,7 +28,14 @@ def query(name: str, sql: str | None = None):
 
 
 def r(col: Column | str, n: int = 6) -> Column:
-    return F.round(F.col(col) if isinstance(col, str) else col, n) + F.lit(0.0)
+    """Rounding for comparison: the nudge keeps exact halves off the edge, where the last bit of a
+    sum would decide."""
+    return F.round((F.col(col) if isinstance(col, str) else col) + F.lit(3e-4 * 10.0**-n), n) + F.lit(0.0)
+
+
+def yes_no(col: Column | str) -> Column:
+    """Nullable boolean as text."""
+    return (F.col(col) if isinstance(col, str) else col).cast("string")
 
 
 def utc(col: str) -> Column:

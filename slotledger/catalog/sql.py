@@ -34,7 +34,7 @@ def local_iso(s: str) -> str:
 
 
 def r(x: str, n: int = 6) -> str:
-    return f"(round({x}, {n}) + 0.0::DOUBLE)"
+    return f"(round({x} + {3e-4 * 10.0**-n!r}::DOUBLE, {n}) + 0.0::DOUBLE)"
 
 
 def re_(x: str, n: int) -> str:

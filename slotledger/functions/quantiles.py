@@ -32,9 +32,13 @@ def _buckets_holding_rank(rows: DataFrame, keys: list[str], bucket: str, q: floa
     return hist.withColumn("below", below).filter(hit)
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+def exact_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, weight: str | None = None
+) -> DataFrame:
     """Linear-interpolation ``q`` quantile of the non-NULL values per group.
 
+    ``weight`` names a column that says how often a row counts.
+
     Equal values collapse to counts first. A coarse histogram (logarithmic buckets) and a fine one
     (equal parts of one coarse bucket) locate the two ranks needed; only the values of those
     buckets are ever ordered. No task sees a whole group, however large one group is.
@@ -43,7 +47,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out
     values = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("v"))
-        .agg(F.count("*").alias("n"))
+        .agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
         .withColumn("b1", F.floor(F.asinh("v") * 64))
     )
     coarse = _buckets_holding_rank(values, keys, "b1", q).select(

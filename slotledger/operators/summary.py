@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotledger.config import REFERENCE_MODEL, LedgerConfig
+from slotledger.functions import timecols as t
 from slotledger.functions.losses import skill
 from slotledger.functions.quantiles import exact_quantile
 from slotledger.functions.stats import t_two_sided
@@ -16,10 +17,13 @@ def scored() -> Column:
     return F.col("status") == "scored"
 
 
-def with_latest(df: DataFrame) -> DataFrame:
+def latest_targets(df: DataFrame) -> DataFrame:
+    return df.groupBy("series_id").agg(F.max("target_date").alias("latest"))
+
+
+def with_latest(df: DataFrame, latest: DataFrame | None = None) -> DataFrame:
     """Adds the latest target day of the series (one row per series joins back)."""
-    latest = df.groupBy("series_id").agg(F.max("target_date").alias("latest"))
-    return df.join(latest, "series_id")
+    return df.join(latest_targets(df) if latest is None else latest, "series_id")
 
 
 def window_tags(cfg: LedgerConfig) -> Column:
@@ -31,15 +35,32 @@ def window_tags(cfg: LedgerConfig) -> Column:
     return F.array_compact(F.array(*tags))
 
 
-def in_windows(df: DataFrame, cfg: LedgerConfig) -> DataFrame:
+def in_windows(df: DataFrame, cfg: LedgerConfig, latest: DataFrame | None = None) -> DataFrame:
     """One row per window a row belongs to; meant for tables already reduced to days."""
-    return with_latest(df).withColumn("window", F.explode(window_tags(cfg))).drop("latest")
+    return with_latest(df, latest).withColumn("window", F.explode(window_tags(cfg))).drop("latest")
+
+
+def scored_slots(scores: DataFrame) -> DataFrame:
+    """Distinct slots of a score table with their actual value."""
+    return scores.groupBy("series_id", "target_date", "slot_utc").agg(F.first("actual").alias("actual"))
+
 
+def observed_slots(days: DataFrame, cfg: LedgerConfig) -> DataFrame:
+    """The same from packed actuals, when every observed day is due."""
+    cells = F.arrays_zip(t.day_slots(F.col("day"), cfg).alias("slot_utc"), F.col("values").alias("actual"))
+    return days.select("series_id", F.col("day").alias("target_date"), F.inline(cells).alias("slot_utc", "actual"))
 
-def spike_thresholds(scores: DataFrame, cfg: LedgerConfig, q: float = 0.9) -> DataFrame:
-    """90th percentile of the distinct-slot actuals of each window."""
-    slots = scores.groupBy("series_id", "target_date", "slot_utc").agg(F.first("actual").alias("actual"))
-    return exact_quantile(in_windows(slots, cfg), ["series_id", "window"], "actual", q, "spike_threshold")
+
+def spike_thresholds(slots: DataFrame, cfg: LedgerConfig, q: float = 0.9) -> DataFrame:
+    """90th percentile of the distinct-slot actuals of each window.
+
+    ``slots`` is ``scored_slots`` or ``observed_slots``. Equal values of a day collapse to counts
+    before windows multiply them.
+    """
+    counts = slots.filter(F.col("actual").isNotNull()).groupBy("series_id", "target_date", "actual").agg(
+        F.count("*").alias("n")
+    )
+    return exact_quantile(in_windows(counts, cfg), ["series_id", "window"], "actual", q, "spike_threshold", "n")
 
 
 def with_reference(scores: DataFrame, reference: str = REFERENCE_MODEL) -> DataFrame:
@@ -72,14 +93,21 @@ def _sums(name: str, cond: Column) -> list[Column]:
     ]
 
 
-def metric_cube(scores: DataFrame, cfg: LedgerConfig, reference: str = REFERENCE_MODEL) -> DataFrame:
+def metric_cube(
+    scores: DataFrame, cfg: LedgerConfig, slots: DataFrame | None = None, reference: str = REFERENCE_MODEL,
+    rounded: bool = True,
+) -> DataFrame:
     """Metrics per window, model, horizon and segment.
 
+    ``slots`` supplies the distinct slots for the spike thresholds where they are at hand without
+    reading the scores again.
+
     Slots first shrink to sums per day (conditional sums, no row is copied per window or segment);
     windows and segments then only multiply the day rows.
     """
     names = [name for name, _ in cfg.windows]
-    limits = spike_thresholds(scores, cfg).groupBy("series_id").agg(
+    slots = scored_slots(scores) if slots is None else slots
+    limits = spike_thresholds(slots, cfg).groupBy("series_id").agg(
         *[F.max(F.when(F.col("window") == n, F.col("spike_threshold"))).alias(f"spike_{n}") for n in names]
     )
     rows = with_reference(scores, reference).join(limits, "series_id")
@@ -101,7 +129,7 @@ def metric_cube(scores: DataFrame, cfg: LedgerConfig, reference: str = REFERENCE
         bundle("negative", "negative_price"),
         spike,
     )
-    tagged = in_windows(daily, cfg)
+    tagged = in_windows(daily, cfg, latest_targets(slots))
     keys = ["series_id", "window", "model_key", "horizon_days"]
     flat = tagged.select(*keys, "target_date", F.explode(segments).alias("s")).select(*keys, "target_date", "s.*")
     cube = flat.groupBy(*keys, "segment").agg(
@@ -113,17 +141,18 @@ def metric_cube(scores: DataFrame, cfg: LedgerConfig, reference: str = REFERENCE
     n_pair = F.nullif(F.col("n_pair"), F.lit(0))
     over = Window.partitionBy(*keys)
     whole = lambda c: F.max(F.when(F.col("segment") == "all", F.col(c))).over(over)
+    cut = F.bround if rounded else (lambda c, _: c)
     return cube.select(
         *keys,
         "segment",
         whole("days").alias("days_due"),
         whole("days_scored").alias("days_forecast"),
         F.col("n").alias("n_slots"),
-        F.bround(F.col("abs") / n, 3).alias("mae"),
-        F.bround(F.sqrt(F.col("sq") / n), 3).alias("rmse"),
-        F.bround(F.col("pin") / n, 3).alias("pinball"),
-        F.bround(F.col("inside") / n, 3).alias("coverage_80"),
-        F.bround(skill(F.col("abs_pair") / n_pair, F.col("ref_pair") / n_pair), 4).alias("skill_mae"),
+        cut(F.col("abs") / n, 3).alias("mae"),
+        cut(F.sqrt(F.col("sq") / n), 3).alias("rmse"),
+        cut(F.col("pin") / n, 3).alias("pinball"),
+        cut(F.col("inside") / n, 3).alias("coverage_80"),
+        cut(skill(F.col("abs_pair") / n_pair, F.col("ref_pair") / n_pair), 4).alias("skill_mae"),
     )
 
 
@@ -184,7 +213,7 @@ def missed_list(scores: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def diebold_mariano(daily: DataFrame, cfg: LedgerConfig, tagged: bool = True) -> DataFrame:
+def diebold_mariano(daily: DataFrame, cfg: LedgerConfig, latest: DataFrame | None = None, rounded: bool = True) -> DataFrame:
     """Paired test of every model pair on daily MAE, per window and horizon.
 
     ``daily`` is ``daily_scores``. The models of one day meet in one small list that is expanded
@@ -209,7 +238,7 @@ def diebold_mariano(daily: DataFrame, cfg: LedgerConfig, tagged: bool = True) ->
     )
     rows = per_day.select("series_id", "horizon_days", "target_date", F.inline(pairs))
     # windows count back from the latest day of the ledger, not of the pair
-    latest = daily.groupBy("series_id").agg(F.max("target_date").alias("latest"))
+    latest = latest_targets(daily) if latest is None else latest
     rows = rows.join(latest, "series_id").withColumn("window", F.explode(window_tags(cfg)))
     keys = ["series_id", "window", "horizon_days", "model_a", "model_b"]
     group = Window.partitionBy(*keys)
@@ -236,13 +265,14 @@ def diebold_mariano(daily: DataFrame, cfg: LedgerConfig, tagged: bool = True) ->
     tested = stats.withColumn("var", var).withColumn(
         "stat", F.when(usable, F.col("mean_d") / F.sqrt("var") * hln)
     )
+    cut = F.bround if rounded else (lambda c, _: F.col(c) if isinstance(c, str) else c)
     p = t_two_sided(F.col("stat"), F.col("n_days") - 1)
     return tested.select(
         *keys,
         "n_days",
-        F.bround("stat", 3).alias("statistic"),
-        F.bround(F.when(F.col("stat").isNotNull(), p), 4).alias("p_value"),
-        F.bround(F.when(enough, F.col("mean_d")), 3).alias("mean_daily_mae_diff"),
+        cut("stat", 3).alias("statistic"),
+        cut(F.when(F.col("stat").isNotNull(), p), 4).alias("p_value"),
+        cut(F.when(enough, F.col("mean_d")), 3).alias("mean_daily_mae_diff"),
     )
 
 
@@ -280,21 +310,24 @@ def featured_model(daily: DataFrame, cfg: LedgerConfig, reference: str = REFEREN
     )
 
 
-def window_summary(realized: DataFrame, cfg: LedgerConfig) -> DataFrame:
+def window_summary(
+    realized: DataFrame, cfg: LedgerConfig, latest: DataFrame | None = None, rounded: bool = True
+) -> DataFrame:
     """Hit rates, stated probabilities, Brier scores, regret and saving of recommended windows."""
-    rows = in_windows(realized.withColumn("model_key", model_key()), cfg)
+    rows = in_windows(realized.withColumn("model_key", model_key()), cfg, latest)
+    cut = F.bround if rounded else (lambda c, _: c)
     hit, near = F.col("hit").cast("double"), F.col("near").cast("double")
     sq = lambda p, y: (F.col(p) - y) * (F.col(p) - y)
     of = lambda c: F.avg(F.when(scored(), c))
     return rows.groupBy("series_id", "window", "model_key", "horizon_days").agg(
         F.count("*").alias("days_due"),
         F.count(F.when(scored(), F.lit(1))).alias("days_scored"),
-        F.bround(of(hit), 3).alias("hit_rate"),
-        F.bround(of(F.col("p_cheapest")), 3).alias("mean_p_cheapest"),
-        F.bround(of(sq("p_cheapest", hit)), 4).alias("brier_cheapest"),
-        F.bround(of(near), 3).alias("near_rate"),
-        F.bround(of(F.col("p_near")), 3).alias("mean_p_near"),
-        F.bround(of(sq("p_near", near)), 4).alias("brier_near"),
-        F.bround(of(F.col("regret")), 2).alias("mean_regret"),
-        F.bround(of(F.col("actual_day_mean") - F.col("actual_mean_recommended")), 2).alias("saving_vs_day_mean"),
+        cut(of(hit), 3).alias("hit_rate"),
+        cut(of(F.col("p_cheapest")), 3).alias("mean_p_cheapest"),
+        cut(of(sq("p_cheapest", hit)), 4).alias("brier_cheapest"),
+        cut(of(near), 3).alias("near_rate"),
+        cut(of(F.col("p_near")), 3).alias("mean_p_near"),
+        cut(of(sq("p_near", near)), 4).alias("brier_near"),
+        cut(of(F.col("regret")), 2).alias("mean_regret"),
+        cut(of(F.col("actual_day_mean") - F.col("actual_mean_recommended")), 2).alias("saving_vs_day_mean"),
     )

@@ -48,3 +48,16 @@ def naive_backtest(days: DataFrame, cfg: LedgerConfig, specs: Sequence[ModelSpec
     """Score rows of all rules; days with too little history stay in the result as missed."""
     due = backtest_due(days, cfg, specs)
     return scoring.score_vectors(due, naive_bands(days, cfg, specs), days, cfg)
+
+
+def labelled_summary(cube: DataFrame, scores: DataFrame, kind: str) -> DataFrame:
+    """Metrics with their kind and period, kept apart from rows of another kind."""
+    period = scores.groupBy("series_id").agg(
+        F.min("target_date").alias("first_target"), F.max("target_date").alias("last_target")
+    )
+    return cube.join(period, "series_id").withColumn("kind", F.lit(kind))
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """Newest run of each series that has a summary; run ids sort by period."""
+    return runs.filter("has_summary").groupBy("series_id").agg(F.max("run_id").alias("run_id"))

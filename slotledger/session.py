@@ -26,6 +26,8 @@ def local_session(cores: int | str = 8, app: str = "slotledger", **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
+        # no Python stack capture per column expression while plans are built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
