@@ -1 +1,72 @@
-"""Registered queries."""
+"""Audit of manifests and of inventories over time, on manifests derived from the event panel."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotledger.bindings import panels as p
+from slotledger.catalog import reports as rep
+from slotledger.catalog import sql as q
+from slotledger.catalog.base import BACKTEST_SPECS, ev_days, query
+from slotledger.functions import timecols as t
+from slotledger.models.naive import naive_points
+from slotledger.operators import integrity
+from slotledger.plans import backtest as bt
+
+CFG = p.QUARTER
+
+
+def ledger_files(spark, sf):
+    """One path and content hash per forecast file: its point values in slot order."""
+    days = ev_days(spark, sf)
+    points = naive_points(days, bt.targets_of(days, CFG), CFG, BACKTEST_SPECS).filter(F.col("horizon_days") == 1)
+    text = F.concat_ws(",", F.transform("point", lambda v: F.format_string("%.2f", v)))
+    name = F.concat_ws("/", "series_id", F.date_format("issue_date", "yyyy-MM-dd"), F.concat(F.col("model"), F.lit(".v1.parquet")))
+    return points.select("series_id", "issue_date", "model", name.alias("path"), F.sha2(text, 256).alias("sha256"))
+
+
+_FILES = [
+    *q.panel("ev15"), *q.points("ev15"),
+    """files AS (SELECT series_id, issue_date, model, series_id || '/' || strftime(issue_date, '%Y-%m-%d') || '/' || model || '.v1.parquet' AS path,
+    sha256(string_agg(printf('%.2f', p), ',' ORDER BY s)) AS sha FROM pts WHERE h = 1 GROUP BY ALL)""",
+]
+
+
+@query(
+    "manifest_audit",
+    q.with_(
+        *_FILES, rep.ISSUED,
+        # weekly manifests record a stale hash, manifests of the first issue days carry no file
+        """mani AS (SELECT f.*, i.at_s, CASE WHEN model = 'naive_weekly' THEN sha256(sha) ELSE sha END AS rec FROM files f JOIN issued i ON i.series_id = f.series_id AND i.issue_date = f.issue_date)""",
+        "kept AS (SELECT * FROM files WHERE issue_date > DATE '2024-01-04')",
+        f"""v AS (SELECT coalesce(k.path, m.path) AS path, unnest([CASE WHEN m.path IS NULL THEN 'manifest missing' END, CASE WHEN k.path IS NULL THEN 'file missing' END,
+      CASE WHEN k.path IS NOT NULL AND m.path IS NOT NULL AND k.sha <> m.rec THEN 'content changed' END,
+      CASE WHEN k.path IS NOT NULL AND m.path IS NOT NULL AND strftime({q.local('m.at_s')}, '%H:%M') >= '12:00' THEN 'issued outside the window' END]) AS violation
+    FROM kept k FULL JOIN mani m ON m.path = k.path)""",
+    )
+    + "SELECT replace(path, '.parquet', '') AS stem, violation FROM v WHERE violation IS NOT NULL",
+)
+def manifest_audit(spark, sf):
+    """Violations of a ledger with stale hashes, absent files and late issues."""
+    files = ledger_files(spark, sf)
+    issued = rep.ev_issued(spark, sf)
+    stale = F.when(F.col("model") == "naive_weekly", F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256"))
+    manifests = files.join(issued, ["series_id", "issue_date"]).select(
+        F.regexp_replace("path", "parquet$", "json").alias("path"), "issue_date", t.utc_text(F.col("issued_at_utc")).alias("issued_at_utc"), stale.alias("parquet_sha256")
+    )
+    kept = files.filter(F.col("issue_date") > "2024-01-04").select("path", "sha256")
+    return integrity.manifest_audit(kept, manifests, CFG)
+
+
+@query(
+    "immutability_diff",
+    q.with_(*_FILES)
+    + """SELECT path, CASE WHEN issue_date >= DATE '2024-01-25' THEN 'D' ELSE 'M' END AS change FROM files
+WHERE issue_date >= DATE '2024-01-25' OR model = 'naive_last_day'""",
+)
+def immutability_diff(spark, sf):
+    """Later inventory without the newest issues and with one model rewritten."""
+    old = ledger_files(spark, sf)
+    rewritten = F.when(F.col("model") == "naive_last_day", F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256"))
+    new = old.filter(F.col("issue_date") < "2024-01-25").withColumn("sha256", rewritten)
+    return integrity.immutability_diff(old, new)

@@ -1 +1,52 @@
-"""Registered queries."""
+"""Learned models as live runs on the latest days of the line panel; rows-only checks."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from slotledger.bindings import panels as p
+from slotledger.catalog.base import query, r, utc
+from slotledger.catalog.shaping import line_covariates
+from slotledger.models import forest, lasso
+from slotledger.operators import bands
+from slotledger.session import materialize, spread
+
+H = p.HOURLY
+LIVE_DAYS = 6
+LASSO = replace(lasso.LASSO_SPEC, error_days=5, min_error_days=3)
+FOREST = replace(forest.FOREST_SPEC, error_days=5, min_error_days=3)
+
+
+def recent_targets(days, back: int):
+    """The newest ``back`` observed days of each series and the days to be forecast."""
+    last = days.groupBy("series_id").agg(F.max("day").alias("last"))
+    span = F.sequence(F.date_sub("last", back - 1), F.date_add("last", max(H.horizons)))
+    return spread(last.select("series_id", F.explode(span).alias("target_date")), "series_id", "target_date")
+
+
+def _rows(banded):
+    out = bands.forecast_rows(banded, H)
+    return out.select("series_id", "model", "horizon_days", "issue_date", "target_date", utc("slot_utc").alias("slot"), r("q10", 3).alias("q10"), r("q50", 3).alias("q50"), r("q90", 3).alias("q90"))
+
+
+@query("lasso_autoregression")
+def lasso_autoregression(spark, sf):
+    """Per-hour lasso over up to two years of history, with bands from its last five days."""
+    days = p.line_days(spark, sf)
+    points = materialize(lasso.lasso_points(days, recent_targets(days, LIVE_DAYS), H, spec=LASSO))
+    return _rows(bands.empirical_bands(points, days, H, [LASSO.error_days]))
+
+
+@query("pooled_quantile_regression")
+def pooled_quantile_regression(spark, sf):
+    """Quantile forest pooled over hours and series, refit weekly, bands calibrated conformally."""
+    days = materialize(p.line_days(spark, sf))
+    last = days.agg(F.max("day").alias("d")).first()["d"]
+    from datetime import timedelta
+
+    points = forest.forest_points(
+        days, line_covariates(spark, sf), last - timedelta(days=LIVE_DAYS), last, H, FOREST, trees=10, depth=6
+    )
+    return _rows(bands.conformal_bands(materialize(points), days, H, [FOREST.error_days]))

@@ -13,6 +13,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def field_of(arr: Column | str, name: str) -> Column:
+    """One field of every struct in an array."""
+    return F.transform(arr, lambda e: e[name])
+
+
 def present(arr: Column) -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 

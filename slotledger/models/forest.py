@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig, ModelSpec
+from slotledger.functions.arrays import field_of
 from slotledger.functions.losses import sort_quantiles
 from slotledger.operators import features as feat
 from slotledger.operators import shaping
@@ -121,7 +122,7 @@ def forest_points(
     )
     arrays = packed.filter(F.size("h") == 24).select(
         "series_id", "horizon_days", "issue_date", "target_date",
-        *[F.transform("h", lambda x, c=c: x[c]).alias(c) for c in ("raw10", "raw50", "raw90")],
+        *[field_of("h", c).alias(c) for c in ("raw10", "raw50", "raw90")],
     )
     issues = arrays.select("series_id", "issue_date").distinct()
     shapes = shaping.shape_vectors(shaping.intra_hour_shape(days, cfg, issues), cfg)

@@ -158,10 +158,15 @@ def lasso_hourly(
     block = lambda c: F.floor(c / issues_per_task)
     used = rows.filter("asked").select("series_id", "horizon_days", block(F.col("target_no")).alias("block")).distinct()
     # targets of a block train on days from (first issue - longest) to (last issue)
+    reach = used.groupBy("series_id", "horizon_days").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    near = rows.join(reach, ["series_id", "horizon_days"])
     first, last = block(F.col("target_no")), block(F.col("target_no") + longest + F.col("horizon_days"))
-    spread = rows.withColumn("block", F.explode(F.sequence(first, last)))
-    groups = spread.join(used, ["series_id", "horizon_days", "block"], "left_semi").withColumn(
-        "asked", F.col("asked") & (F.col("block") == first)
+    near = near.withColumn("first", F.greatest(first, "lo")).withColumn("last", F.least(last, F.col("hi")))
+    spread_rows = near.filter(F.col("first") <= F.col("last")).withColumn(
+        "block", F.explode(F.sequence("first", "last"))
+    )
+    groups = spread_rows.join(used, ["series_id", "horizon_days", "block"], "left_semi").select(
+        "series_id", "horizon_days", "block", "target_no", "x", "y", (F.col("asked") & (F.col("block") == first)).alias("asked")
     )
     fitted = groups.groupBy("series_id", "horizon_days", "block").applyInPandas(
         _fit_block(tuple(windows)),

@@ -97,13 +97,15 @@ def aggregate_weather(payloads: DataFrame, points: DataFrame, cfg: LedgerConfig)
     """
     parsed = payloads.withColumn("h", F.from_json("payload", weather_schema())["hourly"])
     later = lambda arr: F.concat(F.slice(arr, F.lit(2), F.size(arr)), F.array(F.lit(None).cast("double")))
-    per_lead = []
-    for n in WEATHER_LEADS:
+
+    def lead_cells(n: int) -> Column:
         wind, solar, temp = (F.col(f"h.{v}_previous_day{n}") for v in WEATHER_VARIABLES)
-        zipped = F.arrays_zip(
+        cells = F.arrays_zip(
             F.col("h.time").alias("time"), wind.alias("wind"), later(solar).alias("solar"), temp.alias("temp")
         )
-        per_lead.append(F.transform(zipped, lambda z, n=n: F.struct(F.lit(n).alias("lead_days"), z.alias("z"))))
+        return F.transform(cells, lambda z: F.struct(F.lit(n).alias("lead_days"), z.alias("z")))
+
+    per_lead = [lead_cells(n) for n in WEATHER_LEADS]
     rows = parsed.select("series_id", "point", F.explode(F.concat(*per_lead)).alias("r"))
     rows = rows.join(F.broadcast(points), "point").select(
         "series_id",
