@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -14,9 +15,9 @@ from slotledger.operators import bands
 from slotledger.session import materialize, spread
 
 H = p.HOURLY
-LIVE_DAYS = 6
-LASSO = replace(lasso.LASSO_SPEC, error_days=5, min_error_days=3)
-FOREST = replace(forest.FOREST_SPEC, error_days=5, min_error_days=3)
+LIVE_DAYS = 4
+LASSO = replace(lasso.LASSO_SPEC, error_days=3, min_error_days=2)
+FOREST = replace(forest.FOREST_SPEC, error_days=3, min_error_days=2)
 
 
 def recent_targets(days, back: int):
@@ -33,9 +34,9 @@ def _rows(banded):
 
 @query("lasso_autoregression")
 def lasso_autoregression(spark, sf):
-    """Per-hour lasso over up to two years of history, with bands from its last five days."""
+    """Per-hour lasso over up to two years of history, with bands from its last three days."""
     days = p.line_days(spark, sf)
-    points = materialize(lasso.lasso_points(days, recent_targets(days, LIVE_DAYS), H, spec=LASSO))
+    points = materialize(lasso.lasso_points(days, recent_targets(days, LIVE_DAYS), H, spec=LASSO, issues_per_task=1))
     return _rows(bands.empirical_bands(points, days, H, [LASSO.error_days]))
 
 
@@ -44,8 +45,6 @@ def pooled_quantile_regression(spark, sf):
     """Quantile forest pooled over hours and series, refit weekly, bands calibrated conformally."""
     days = materialize(p.line_days(spark, sf))
     last = days.agg(F.max("day").alias("d")).first()["d"]
-    from datetime import timedelta
-
     points = forest.forest_points(
         days, line_covariates(spark, sf), last - timedelta(days=LIVE_DAYS), last, H, FOREST, trees=10, depth=6
     )

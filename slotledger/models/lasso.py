@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig, ModelSpec
 from slotledger.operators import shaping
+from slotledger.session import spread
 
 LASSO_SPEC = ModelSpec("lasso_ar", error_days=60, min_error_days=20)
 WINDOWS = (182, 364, 728)
@@ -168,6 +169,7 @@ def lasso_hourly(
     groups = spread_rows.join(used, ["series_id", "horizon_days", "block"], "left_semi").select(
         "series_id", "horizon_days", "block", "target_no", "x", "y", (F.col("asked") & (F.col("block") == first)).alias("asked")
     )
+    groups = spread(groups, "series_id", "horizon_days", "block")
     fitted = groups.groupBy("series_id", "horizon_days", "block").applyInPandas(
         _fit_block(tuple(windows)),
         "series_id string, horizon_days int, target_no int, hourly array<double>",
@@ -183,10 +185,11 @@ def lasso_hourly(
 
 
 def lasso_points(
-    days: DataFrame, asked: DataFrame, cfg: LedgerConfig, windows: Sequence[int] = WINDOWS, spec: ModelSpec = LASSO_SPEC
+    days: DataFrame, asked: DataFrame, cfg: LedgerConfig, windows: Sequence[int] = WINDOWS,
+    spec: ModelSpec = LASSO_SPEC, issues_per_task: int = 4,
 ) -> DataFrame:
     """Point vectors in the layout every band operator takes."""
-    hourly = lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, windows)
+    hourly = lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, windows, issues_per_task)
     issues = hourly.select("series_id", "issue_date").distinct()
     shapes = shaping.shape_vectors(shaping.intra_hour_shape(days, cfg, issues), cfg)
     laid = shaping.to_slots(hourly, shapes, cfg)

@@ -50,7 +50,10 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    cached = df.persist()  # a checkpoint would otherwise compute its input twice
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
