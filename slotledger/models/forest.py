@@ -124,7 +124,8 @@ def forest_points(
         "series_id", "horizon_days", "issue_date", "target_date",
         *[field_of("h", c).alias(c) for c in ("raw10", "raw50", "raw90")],
     )
-    issues = arrays.select("series_id", "issue_date").distinct()
+    span = F.sequence(F.lit(first_issue).cast("date"), F.lit(last_issue).cast("date"))
+    issues = days.select("series_id").distinct().select("series_id", F.explode(span).alias("issue_date"))
     shapes = shaping.shape_vectors(shaping.intra_hour_shape(days, cfg, issues), cfg)
     laid = shaping.to_slots(arrays, shapes, cfg, ("raw10", "raw50", "raw90"))
     return laid.select(

@@ -169,7 +169,7 @@ def lasso_hourly(
     groups = spread_rows.join(used, ["series_id", "horizon_days", "block"], "left_semi").select(
         "series_id", "horizon_days", "block", "target_no", "x", "y", (F.col("asked") & (F.col("block") == first)).alias("asked")
     )
-    groups = spread(groups, "series_id", "horizon_days", "block")
+    groups = spread(groups, "series_id", "horizon_days", "block", factor=4)
     fitted = groups.groupBy("series_id", "horizon_days", "block").applyInPandas(
         _fit_block(tuple(windows)),
         "series_id string, horizon_days int, target_no int, hourly array<double>",
@@ -190,7 +190,11 @@ def lasso_points(
 ) -> DataFrame:
     """Point vectors in the layout every band operator takes."""
     hourly = lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, windows, issues_per_task)
-    issues = hourly.select("series_id", "issue_date").distinct()
+    # from what was asked, not from the fits, which would run a second time
+    horizons = F.explode(F.array(*[F.lit(h) for h in cfg.horizons])).alias("h")
+    issues = asked.select("series_id", "target_date", horizons).select(
+        "series_id", F.date_sub("target_date", F.col("h")).alias("issue_date")
+    ).distinct()
     shapes = shaping.shape_vectors(shaping.intra_hour_shape(days, cfg, issues), cfg)
     laid = shaping.to_slots(hourly, shapes, cfg)
     return laid.select(

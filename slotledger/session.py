@@ -56,11 +56,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame, *columns: str, factor: int = 1) -> DataFrame:
     """Hash-distribute rows that were generated inside few tasks before heavy work on them.
 
     A number of partitions is given because runtime merging goes by bytes, and generated
-    requests are few bytes that stand for much work.
+    requests are few bytes that stand for much work. ``factor`` asks for more and smaller tasks
+    where single groups are heavy.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *columns)

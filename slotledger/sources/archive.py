@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slotledger.config import LedgerConfig
 from slotledger.functions import timecols as t
 from slotledger.operators.observations import latest_wins
+from slotledger.session import materialize
 from slotledger.sources.feeds import WEATHER_FEATURES
 
 
@@ -40,10 +41,11 @@ def upsert_months(
         fresh.repartition("month").write.partitionBy("month").parquet(path)
         return fresh.groupBy("month").agg(F.count("*").alias("changed_rows"))
     old = spark.read.parquet(path).select(*columns)
-    touched = old.join(F.broadcast(fresh.select("month").distinct()), "month", "left_semi")
-    changed = changed_months(touched, fresh, keys, values).persist()
+    touched = old.join(fresh.select("month").distinct(), "month", "left_semi")
+    # fixed before the write: afterwards the same comparison would find no change
+    changed = materialize(changed_months(touched, fresh, keys, values))
     both = touched.withColumn("rank", F.lit(0)).unionByName(fresh.withColumn("rank", F.lit(1)))
-    merged = latest_wins(both.join(F.broadcast(changed.select("month")), "month", "left_semi"), list(keys), ["rank"])
+    merged = latest_wins(both.join(changed.select("month"), "month", "left_semi"), list(keys), ["rank"])
     staging = path.rstrip("/") + "_staging"
     merged.drop("rank").write.mode("overwrite").parquet(staging)
     (

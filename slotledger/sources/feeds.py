@@ -99,7 +99,9 @@ def aggregate_weather(payloads: DataFrame, points: DataFrame, cfg: LedgerConfig)
     later = lambda arr: F.concat(F.slice(arr, F.lit(2), F.size(arr)), F.array(F.lit(None).cast("double")))
 
     def lead_cells(n: int) -> Column:
-        wind, solar, temp = (F.col(f"h.{v}_previous_day{n}") for v in WEATHER_VARIABLES)
+        # a variable the payload lacks counts as unknown at every hour
+        nothing = F.array().cast("array<double>")
+        wind, solar, temp = (F.coalesce(F.col(f"h.{v}_previous_day{n}"), nothing) for v in WEATHER_VARIABLES)
         cells = F.arrays_zip(
             F.col("h.time").alias("time"), wind.alias("wind"), later(solar).alias("solar"), temp.alias("temp")
         )

@@ -304,11 +304,11 @@ def test_audit_finds_every_kind_of_violation(spark):
         files.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), manifests.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), CFG).collect()}
     assert found == {("alone", "manifest missing"), ("gone", "file missing"), ("changed", "content changed"),
                      ("moved", "folder differs from issue date"), ("late", "issued outside the window")}
-    before = files.persist()
-    before.count()
+    snapshot = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/inventory"
+    files.write.parquet(snapshot)
     open(f"{root}/2026-05-22/good.parquet", "wb").write(b"tampered")
     os.remove(f"{root}/2026-05-22/late.parquet")
-    diff = integrity.immutability_diff(before, integrity.file_inventory(spark, root))
+    diff = integrity.immutability_diff(spark.read.parquet(snapshot), integrity.file_inventory(spark, root))
     assert {(r["path"].rsplit("/", 1)[1], r["change"]) for r in diff.collect()} == {("good.parquet", "M"), ("late.parquet", "D")}
 
 
