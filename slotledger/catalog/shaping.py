@@ -162,9 +162,10 @@ def _gbm_sql() -> str:
     return q.with_(
         *q.panel("li60"), *_hm(22), *_CM_SQL, HOLIDAYS_SQL,
         "pd AS (SELECT series_id, day, avg(v) AS pm, min(v) AS pn, max(v) AS px FROM hmx GROUP BY ALL)",
-        "wm AS (SELECT a.series_id, a.day, CASE WHEN count(b.pm) >= 5 THEN avg(b.pm) END AS wk FROM pd a JOIN pd b ON b.series_id = a.series_id AND b.day <= a.day AND b.day > a.day - 7 GROUP BY ALL)",
+        _index("ix"),
+        "wm AS (SELECT a.series_id, a.day, CASE WHEN count(b.pm) >= 5 THEN avg(b.pm) END AS wk FROM ix a JOIN pd b ON b.series_id = a.series_id AND b.day <= a.day AND b.day > a.day - 7 GROUP BY ALL)",
         "cd AS (SELECT series_id, lead_days, day, avg(wind_power) AS wp, avg(solar) AS so, avg(temp) AS te FROM cmx GROUP BY ALL)",
-        "tg AS (SELECT DISTINCT d.series_id, CAST(d.day + k.k AS DATE) AS target_date FROM dd d, (VALUES (0), (1), (2), (7)) k(k))",
+        "tg AS (SELECT DISTINCT d.series_id, CAST(d.day + k.k AS DATE) AS target_date FROM ix d, (VALUES (0), (1), (2), (7)) k(k))",
         f"""gx AS (SELECT t.series_id, t.target_date, CAST(g.hour AS DOUBLE) AS hour, l1.v AS p_last_hour, l2.v AS p_last2_hour, l7.v AS p_week_hour, y.v AS price, c.wind_power, c.wind_speed, c.solar, c.temp,
     a.pm AS p_last_mean, a.pn AS p_last_min, a.px AS p_last_max, w.wk AS p_week_mean, n.wp AS wind_power_day, n.so AS solar_day, n.te AS temp_day, n.wp - o.wp AS wind_power_change, n.so - o.so AS solar_change,
     isodow(t.target_date) - 1 AS weekday, h.d IS NOT NULL AS holiday
