@@ -3,6 +3,9 @@
 ``events`` gives one series per event type (quarter-hours or hours), ``lineitem`` one hourly
 series per line status over several years, which brings every switch of the local clock. Values
 are whole numbers held as doubles, so sums do not depend on the order of addition.
+
+Packed days are checkpointed: a plan reads them several times (profiles, actuals, due days), and
+without that every use would scan and aggregate the raw table again.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from slotledger.config import NAIVE_SPECS, LedgerConfig
 from slotledger.operators import observations as o
+from slotledger.session import materialize
 
 QUARTER = LedgerConfig(near_tolerance=500.0)
 HOURLY = LedgerConfig(slot_minutes=60, near_tolerance=500.0)
@@ -53,12 +57,10 @@ def event_days(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = QUARTER, fi
     """Packed days of the event series; with ``fill`` a slot without events counts as zero."""
     obs = event_slots(spark, sf_dir, cfg)
     packed = o.pack_days(obs, cfg)
-    if not fill:
-        return packed
-    return zero_filled(packed, -EVENT_SHIFT)
+    return materialize(zero_filled(packed, -EVENT_SHIFT) if fill else packed)
 
 
-def zero_filled(packed: DataFrame, zero: float, cfg: LedgerConfig | None = None) -> DataFrame:
+def zero_filled(packed: DataFrame, zero: float) -> DataFrame:
     filled = F.transform("values", lambda x: F.coalesce(x, F.lit(float(zero))))
     return packed.select("series_id", "day", "n_slots", F.col("n_slots").alias("n_present"), filled.alias("values"))
 
@@ -78,4 +80,4 @@ def line_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_days(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
     packed = o.pack_days(line_slots(spark, sf_dir), HOURLY)
-    return zero_filled(packed, 0.0) if fill else packed
+    return materialize(zero_filled(packed, 0.0) if fill else packed)
