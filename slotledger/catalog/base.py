@@ -46,17 +46,17 @@ def ev_days(spark: SparkSession, sf: str) -> DataFrame:
     return p.event_days(spark, sf, p.QUARTER)
 
 
-def ev_scores(spark: SparkSession, sf: str) -> DataFrame:
+def ev_scores(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
     """Score rows of all rules over every day of the event panel."""
-    return bt.naive_backtest(ev_days(spark, sf), p.QUARTER, BACKTEST_SPECS)
+    return bt.naive_backtest(ev_days(spark, sf) if days is None else days, p.QUARTER, BACKTEST_SPECS)
 
 
-def ev_bands(spark: SparkSession, sf: str) -> DataFrame:
-    return bt.naive_bands(ev_days(spark, sf), p.QUARTER, BACKTEST_SPECS)
+def ev_bands(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    return bt.naive_bands(ev_days(spark, sf) if days is None else days, p.QUARTER, BACKTEST_SPECS)
 
 
-def ev_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return bt.naive_windows(ev_days(spark, sf), p.QUARTER, BACKTEST_SPECS)
+def ev_windows(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    return bt.naive_windows(ev_days(spark, sf) if days is None else days, p.QUARTER, BACKTEST_SPECS)
 
 
 def backtest_specs():

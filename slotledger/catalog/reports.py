@@ -98,7 +98,7 @@ def status_ledger(spark, sf):
 
     days = ev_days(spark, sf)
     due = scoring.due_grid(days.select("series_id", F.col("day").alias("target_date")), p.SHORT_SPECS, CFG)
-    scores = scoring.score_vectors(due, ev_bands(spark, sf), days, CFG)
+    scores = scoring.score_vectors(due, ev_bands(spark, sf, days), days, CFG)
     made = ev_issued(spark, sf).crossJoin(
         F.broadcast(spark.createDataFrame([(s.name, s.version) for s in p.SHORT_SPECS], "model string, model_version string"))
     )
@@ -118,7 +118,8 @@ def status_ledger(spark, sf):
   CASE WHEN count(y) = count(*) THEN {q.r('avg(abs(y - q50))')} END AS mae FROM pv GROUP BY series_id, model, h, issue_date, target_date""",
 )
 def forecast_day_card(spark, sf):
-    c = reports.forecast_day_card(ev_bands(spark, sf), ev_days(spark, sf), CFG)
+    days = ev_days(spark, sf)
+    c = reports.forecast_day_card(ev_bands(spark, sf, days), days, CFG)
     return c.select("series_id", "model_key", "horizon_days", "issue_date", "target_date", r("day_mean").alias("day_mean"), "min", "min_at", "max", "max_at", r("mae").alias("mae"))
 
 
@@ -197,8 +198,8 @@ FROM cards c LEFT JOIN diag d USING (series_id, model_key, horizon_days, target_
 )
 def failure_cards(spark, sf):
     days = ev_days(spark, sf)
-    daily = summary.daily_scores(ev_scores(spark, sf))
-    hints = reports.miss_diagnostics(days, ev_bands(spark, sf), CFG)
+    daily = summary.daily_scores(ev_scores(spark, sf, days))
+    hints = reports.miss_diagnostics(days, ev_bands(spark, sf, days), CFG)
     cards = _diag_columns(reports.failure_cards(daily, hints, CFG))
     return cards.select(
         "source", "series_id", "model_key", "horizon_days", "target_date", "rank", r("mae", 4).alias("mae"), "reasons", "worst_at",

@@ -20,19 +20,20 @@ SC_LIVE = [*q.ev_base(), *q.scores("2024-01-10")]
 
 def ev_cube(spark, sf):
     """Metric cube of the replay, rounded for comparison."""
-    slots = summary.observed_slots(ev_days(spark, sf), CFG)
-    cube = summary.metric_cube(ev_scores(spark, sf), CFG, slots, rounded=False)
+    days = ev_days(spark, sf)
+    cube = summary.metric_cube(ev_scores(spark, sf, days), CFG, summary.observed_slots(days, CFG), rounded=False)
     exact = ["series_id", "window", "model_key", "horizon_days", "segment", "days_due", "days_forecast", "n_slots"]
     return cube.select(*exact, *[r(c, 3).alias(c) for c in ("mae", "rmse", "pinball", "coverage_80")], r("skill_mae", 4).alias("skill_mae"))
 
 
-def ev_latest(spark, sf):
-    return summary.latest_targets(ev_days(spark, sf).withColumnRenamed("day", "target_date"))
+def ev_latest(days):
+    return summary.latest_targets(days.withColumnRenamed("day", "target_date"))
 
 
 def ev_tests(spark, sf):
-    daily = summary.daily_scores(ev_scores(spark, sf))
-    tests = summary.diebold_mariano(daily, CFG, ev_latest(spark, sf), rounded=False)
+    days = ev_days(spark, sf)
+    daily = summary.daily_scores(ev_scores(spark, sf, days))
+    tests = summary.diebold_mariano(daily, CFG, ev_latest(days), rounded=False)
     keys = ["series_id", "window", "horizon_days", "model_a", "model_b", "n_days"]
     return tests.select(*keys, r("statistic", 3).alias("statistic"), r("p_value", 4).alias("p_value"), r("mean_daily_mae_diff", 3).alias("mean_daily_mae_diff"))
 
@@ -63,7 +64,7 @@ def score_slots(spark, sf):
     """Stored forecast rows against actuals for everything due since the live start."""
     days = ev_days(spark, sf)
     due = scoring.due_grid(days.select("series_id", F.col("day").alias("target_date")), p.SHORT_SPECS, CFG)
-    stored = bands.forecast_rows(ev_bands(spark, sf), CFG)
+    stored = bands.forecast_rows(ev_bands(spark, sf, days), CFG)
     return _slot_columns(scoring.score_slots(due, stored, days, CFG))
 
 
@@ -157,7 +158,8 @@ def skill_vs_reference(spark, sf):
   count(*) AS days, {q.r('avg(mae)', 4)} AS mean_daily_mae FROM dw WHERE status = 'scored' GROUP BY ALL""",
 )
 def rolling_windows(spark, sf):
-    d = summary.in_windows(summary.daily_scores(ev_scores(spark, sf)), CFG, ev_latest(spark, sf)).filter(summary.scored())
+    days = ev_days(spark, sf)
+    d = summary.in_windows(summary.daily_scores(ev_scores(spark, sf, days)), CFG, ev_latest(days)).filter(summary.scored())
     return d.groupBy("series_id", "window", "model_key", "horizon_days").agg(
         F.min("target_date").alias("from_date"), F.max("target_date").alias("to_date"), F.count("*").alias("days"),
         r(F.avg("mae"), 4).alias("mean_daily_mae"),
@@ -205,8 +207,9 @@ _SEG = """CASE WHEN isodow(target_date) >= 6 THEN 'weekend' ELSE 'weekday' END""
 )
 def segments(spark, sf):
     """Rows and total per segment; a slot counts in every segment it belongs to."""
-    sc = ev_scores(spark, sf)
-    tagged = summary.segments_of(sc, summary.spike_thresholds(summary.observed_slots(ev_days(spark, sf), CFG), CFG))
+    days = ev_days(spark, sf)
+    thresholds = summary.spike_thresholds(summary.observed_slots(days, CFG), CFG)
+    tagged = summary.segments_of(ev_scores(spark, sf, days), thresholds)
     return tagged.groupBy("series_id", model_key().alias("model_key"), "horizon_days", "segment").agg(
         F.count("*").alias("n_rows"), F.sum("actual").alias("total")
     )

@@ -67,10 +67,10 @@ def cheapest_window(spark, sf):
     )
 
 
-def ev_realized(spark, sf):
-    days = ev_days(spark, sf)
+def ev_realized(spark, sf, days=None):
+    days = ev_days(spark, sf) if days is None else days
     due = bt.backtest_due(days, CFG, BACKTEST_SPECS)
-    return w.realized_windows(due, ev_windows(spark, sf), days, CFG)
+    return w.realized_windows(due, ev_windows(spark, sf, days), days, CFG)
 
 
 @query(
@@ -109,8 +109,9 @@ WS_COLUMNS = (
 
 
 def ev_window_summary(spark, sf):
-    latest = summary.latest_targets(ev_days(spark, sf).withColumnRenamed("day", "target_date"))
-    s = summary.window_summary(ev_realized(spark, sf), CFG, latest, rounded=False)
+    days = ev_days(spark, sf)
+    latest = summary.latest_targets(days.withColumnRenamed("day", "target_date"))
+    s = summary.window_summary(ev_realized(spark, sf, days), CFG, latest, rounded=False)
     rates = ("hit_rate", "mean_p_cheapest", "brier_cheapest", "near_rate", "mean_p_near", "brier_near")
     return s.select(
         "series_id", "window", "model_key", "horizon_days", "days_due", "days_scored",
