@@ -44,7 +44,7 @@ STEPS = 12
 #: Distance bins: 16 per factor e, from e^-10 to e^20.
 PER_E, BINS = 16, 480
 #: Smallest standard deviation of each statistic: differences below it mean nothing.
-FLOOR = (0.03, 0.25, 0.05, 0.05)
+FLOOR = (0.03, 0.25, 0.15, 0.12)
 P = len(FLOOR)
 CHI2_MEDIAN = 3.3567  # of four degrees of freedom
 
