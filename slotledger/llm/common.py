@@ -64,6 +64,12 @@ def id_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("bigint"), F.lit(SMALLEST))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(__row, __id, __crc): whole rows under one name, so that no column of theirs clashes, and their key."""
+    row = F.struct(*[docs[c] for c in docs.columns])
+    return docs.select(row.alias("__row"), id_of(docs).alias("__id"), F.crc32(text_of(docs).cast("binary")).alias("__crc"))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; empty for a text without words."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")

@@ -74,14 +74,16 @@ def _let(value: Column, then) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Distinct bigrams of an array of words."""
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 2**31 - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def matches(unit: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """(license, dice) of the templates a unit matches."""
     kinds = [(name, grams) for name, text in templates if (grams := _bigrams(text))]
-    low = min(len(g) for _, g in kinds) * threshold / (2 - threshold)
-    high = max(len(g) for _, g in kinds) * (2 - threshold) / threshold
+    # a little slack, so that rounding prunes no exact tie
+    least, most = (1 - 1e-9) * threshold / (2 - threshold), (1 + 1e-9) * (2 - threshold) / threshold
+    low, high = min(len(g) for _, g in kinds) * least, max(len(g) for _, g in kinds) * most
     none = F.array().cast("array<struct<license:string,dice:double>>")
 
     def score(g: Column) -> Column:
@@ -89,7 +91,7 @@ def matches(unit: Column, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
         def one(name: str, grams: list[str]) -> Column:
             m = len(grams)
-            fits = n.between(F.lit(m * threshold / (2 - threshold)), F.lit(m * (2 - threshold) / threshold))
+            fits = n.between(F.lit(m * least), F.lit(m * most))
             dice = F.lit(2.0) * F.size(F.array_intersect(g, F.array(*map(F.lit, grams)))) / (n + m)
             return F.when(fits, F.struct(F.lit(name).alias("license"), dice.alias("dice")))
 
@@ -131,7 +133,7 @@ words AS (SELECT doc_id, unit, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w
 grams AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
   FROM words WHERE len(w) >= 2),
 scored AS (SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice
-  FROM grams, kinds WHERE len(g) BETWEEN len(t) * {THRESHOLD}::DOUBLE / {2 - THRESHOLD}::DOUBLE AND len(t) * {2 - THRESHOLD}::DOUBLE / {THRESHOLD}::DOUBLE),
+  FROM grams, kinds),
 hits AS (SELECT * FROM scored WHERE dice >= {THRESHOLD}::DOUBLE),
 best AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, round(max(dice), 6) AS dice,
     array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses, count(DISTINCT unit) AS n_units FROM hits GROUP BY doc_id)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import WORD, documents, id_of, stored, text_of
+from slotledger.llm.common import WORD, documents, id_of, packed, stored, text_of
 
 MIN_WORDS = 50
 
@@ -120,7 +120,7 @@ def _runs(aligned: set[int], hashes: list[int], words: list[int], min_words: int
 
 
 def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __crc, cut): the line numbers to delete, for documents that lose any."""
+    """(__id, __crc, __cut): the line numbers to delete, for documents that lose any."""
     lines = stored(
         docs.select(id_of(docs).alias("__id"), F.crc32(text_of(docs).cast("binary")).alias("__crc"), line_hashes(text_of(docs)).alias("__lines"))
         .select("__id", "__crc", F.col("__lines.h").alias("__h"), F.col("__lines.n").alias("__n")),
@@ -159,32 +159,34 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def runs(at: pd.Series, h: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([_runs(set(x), list(y), list(z), min_words) for x, y, z in zip(at, h, n, strict=True)], dtype=object)
 
-    cut = united.join(once, ["__id", "__crc"]).select("__id", "__crc", runs("at", "__h", "__n").alias("cut"))
-    return cut.where(F.size("cut") > 0)
+    cut = united.join(once, ["__id", "__crc"]).select("__id", "__crc", runs("at", "__h", "__n").alias("__cut"))
+    return cut.where(F.size("__cut") > 0)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with aligned passages deleted, plus n_lines and n_cut (lines deleted)."""
     cut = cut_lines(docs, min_words)
-    keyed = docs.withColumns({"__id": id_of(docs), "__crc": F.crc32(text_of(docs).cast("binary"))})
-    joined = keyed.join(cut, ["__id", "__crc"], "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("cut", i))
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_cut")]
-    return joined.select(
-        *names, text.alias("text"), n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("bigint").alias("n_cut")
-    )
+    joined = packed(docs).join(cut, ["__id", "__crc"], "left")
+    old = F.col("__row.text")
+    lines = F.split(old, "\n")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("__cut", i))
+    text = F.when(F.col("__cut").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(old.isNull(), 0).otherwise(F.size(lines))
+    others = [F.col("__row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_cut")]
+    n_cut = F.coalesce(F.size("__cut"), F.lit(0)).cast("bigint")
+    return joined.select(*others, text.alias("text"), n_lines.cast("bigint").alias("n_lines"), n_cut.alias("n_cut"))
 
 
 def cut_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with their own columns; n_chars, where there is one, counts the new text."""
-    out = dedup_lines(docs, min_words)
+    """The documents with their own columns; n_chars, where there is one, counts the new text where it changed."""
+    cut = cut_lines(docs, min_words)
+    joined = packed(docs).join(cut, ["__id", "__crc"], "left")
+    kept = F.filter(F.split("__row.text", "\n"), lambda x, i: ~F.array_contains("__cut", i))
+    new = F.array_join(kept, "\n")
+    row = F.col("__row").withField("text", new)
     if "n_chars" in docs.columns:
-        length = F.when(F.col("n_cut") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.char_length(new).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("__cut").isNull(), F.col("__row")).otherwise(row).alias("__row")).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

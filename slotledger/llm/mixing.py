@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from slotledger.llm.common import MAX_BUCKETS, WORD, documents, id_of, offsets, stored, text_of
+from slotledger.llm.common import MAX_BUCKETS, WORD, documents, id_of, offsets, packed, stored, text_of
 
 ALPHA = 0.7
 MAX_EPOCHS = 2
@@ -34,7 +34,11 @@ LEVELS = ("domain", "lang", "source")
 
 def domain_of(source: Column) -> Column:
     number = F.nullif(F.regexp_extract(F.coalesce(source, F.lit("")), r"([0-9]{1,9})$", 1), F.lit("")).cast("bigint")
-    return F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), (F.floor(number / 5) % len(DOMAINS) + 1).cast("int")), F.lit("other"))
+    place = F.floor(number / 5) % len(DOMAINS)
+    name = F.lit(DOMAINS[-1])
+    for i, domain in enumerate(DOMAINS[:-1]):
+        name = F.when(place == i, domain).otherwise(name)
+    return F.when(number.isNull(), "other").otherwise(name)
 
 
 def slim(docs: DataFrame) -> DataFrame:
@@ -116,9 +120,8 @@ def mix(docs: DataFrame, total: float | None = None, alpha: float = ALPHA, max_e
 def materialise(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as its epochs hold it."""
     chosen = mix(docs, **options).where("copies > 0").select("__id", "__crc", "copies").dropDuplicates(["__id", "__crc"])
-    keyed = docs.withColumns({"__id": id_of(docs), "__crc": F.crc32(text_of(docs).cast("binary"))})
-    out = keyed.join(chosen, ["__id", "__crc"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return out.select(*docs.columns)
+    out = packed(docs).join(chosen, ["__id", "__crc"])
+    return out.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

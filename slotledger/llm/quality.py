@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from slotledger.llm.common import documents, id_of, stored, text_of
+from slotledger.llm.common import documents, id_of, packed, stored, text_of
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -145,7 +145,7 @@ def distance(prefix: str = "") -> Column:
     total = terms[0]
     for t in terms[1:]:
         total = total + t
-    return F.greatest(total, F.lit(0.0))
+    return F.when(total.isNotNull(), F.greatest(total, F.lit(0.0)))
 
 
 def distance_bin(d2: Column) -> Column:
@@ -245,8 +245,7 @@ def verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
 def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """The documents that pass."""
     bad = verdicts(docs, tail).where("not kept").select("__id", "__crc").distinct()
-    keyed = docs.withColumns({"__id": id_of(docs), "__crc": F.crc32(text_of(docs).cast("binary"))})
-    return keyed.join(bad, ["__id", "__crc"], "left_anti").select(*docs.columns)
+    return packed(docs).join(bad, ["__id", "__crc"], "left_anti").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,13 +5,13 @@ to 32 fixed reference fingerprints are computed once. By the triangle inequality
 of these numbers, so a candidate pair with a larger difference anywhere is discarded; survivors are verified bit by bit.
 
 Candidate pairs come from equal bits. Up to radius 2 the 64 bits are four quarters: two of them are equal in any linked pair, so the six
-pairs of quarters miss no link. For wider radii seeded sets of bits are drawn, as many as reach ``recall`` at the likeness asked for; their number
-of bits grows with the logarithm of the table.
+pairs of quarters miss no link. Near-duplicates by likeness take a second fingerprint (the hashes mixed once more), and seeded sets of the
+128 bits are drawn, as many as reach ``recall`` at the likeness asked for; their number of bits grows with the logarithm of the table.
 
 Texts with equal fingerprints are one node. Buckets of at most ``COLD`` fingerprints are joined in pairs. A larger bucket is never
 paired up: up to radius 2, all its fingerprints one bit flip away from a common value are linked to the smallest of them (two fingerprints within
-2 bits always share such a value, and those that share one are within 2), so no link is lost; for wider radii the bucket is split by
-further bits and its members are linked to the smallest of their part.
+2 bits always share such a value, and those that share one are within 2), so no link is lost; in the search by likeness the bucket is split
+by further bits and its members are compared with the smallest of their part.
 
 Defined results: null text: empty; no words: fingerprint zero, linked like any other; repeated rows share their component; an empty table gives
 no rows; a null id counts as the smallest.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import documents, id_of, stored, text_of
+from slotledger.llm.common import documents, id_of, packed, stored, text_of
 
 WORDS = 3
 RADIUS = 2
@@ -47,15 +47,8 @@ def pivots(n: int = N_PIVOTS, seed: int = 1) -> list[int]:
     return [_signed(draw.getrandbits(64)) for _ in range(n)]
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    import xxhash
-
-    w = text.encode("utf-8", "surrogatepass").lower().split()  # both touch ASCII alone
-    if not w:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    runs = (b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1)))
-    hashes = np.fromiter((digest(r, HASH_SEED) for r in runs), dtype=np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where over half of the hashes have it."""
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -63,17 +56,39 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, __id, __crc, fp (signed)."""
+def hashes_of(text: str, words: int = WORDS) -> np.ndarray:
+    """A hash per shingle, repeats included; none for a text without words."""
+    import xxhash
+
+    w = text.encode("utf-8", "surrogatepass").lower().split()  # both touch ASCII alone
+    digest = xxhash.xxh64_intdigest
+    runs = (b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1) if w else 0))
+    return np.fromiter((digest(r, HASH_SEED) for r in runs), dtype=np.uint64)
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    return majority(hashes_of(text, words))
+
+
+def second(hashes: np.ndarray) -> int:
+    """Another fingerprint, from the same hashes mixed once more."""
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return majority((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, twice: bool = False) -> DataFrame:
+    """doc_id, __id, __crc, fp and, if ``twice``, fp2 (signed)."""
+    names = ["doc_id", "__id", "__crc", "fp", *["fp2"] * twice]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t.as_py(), words)) for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64())], names=["doc_id", "__id", "__crc", "fp"])
+            every = [hashes_of(t.as_py(), words) for t in b.column(3)]
+            fps = [pa.array([_signed(f(h)) for h in every], pa.int64()) for f in (majority, second)[: 1 + twice]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *fps], names=names)
 
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), id_of(docs).alias("__id"), F.crc32(text.cast("binary")).alias("__crc"), text.alias("__text"))
-    return stored(rows.mapInArrow(make, "doc_id bigint, __id bigint, __crc bigint, fp bigint"), "fingerprints")
+    return stored(rows.mapInArrow(make, ", ".join(f"{n} bigint" for n in names)), "fingerprints")
 
 
 def quarter_masks() -> list[int]:
@@ -81,28 +96,29 @@ def quarter_masks() -> list[int]:
     return [a | b for a, b in itertools.combinations(quarters, 2)]
 
 
-def drawn_masks(n: int, likeness: float, recall: float, seed: int = 7) -> list[int]:
-    """Sets of bits that a pair of Jaccard ``likeness`` shares at least once with chance ``recall``."""
+def drawn_masks(n: int, likeness: float, recall: float, seed: int = 7) -> list[tuple[int, int]]:
+    """Sets of bits of two fingerprints that a pair of Jaccard ``likeness`` shares at least once with chance ``recall``."""
     bits = max(12, math.ceil(math.log2(max(n, 2))) - 2)
     agree = 1 - math.acos(2 * likeness / (1 + likeness)) / math.pi
     count = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
     draw = random.Random(seed)
-    return [sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(count)]
+    masks = [sum(1 << b for b in draw.sample(range(128), bits)) for _ in range(count)]
+    return [(m & (2**64 - 1), m >> 64) for m in masks]
 
 
 def pivot_table(fps: DataFrame, n: int = N_PIVOTS) -> DataFrame:
-    """Distinct fingerprints with their distances to the references, eight to a number (d0, d1, ...)."""
-    out = fps.select("fp").distinct()
+    """Distinct fingerprints (of one fp the smallest fp2) with their distances to the references, eight to a number (d0, d1, ...)."""
+    out = fps.groupBy("fp").agg(F.min("fp2").alias("fp2")) if "fp2" in fps.columns else fps.select("fp").distinct()
     refs = pivots(n)
     for k in range(0, n, 8):
-        packed = F.lit(0).cast("bigint")
+        packed_ = F.lit(0).cast("bigint")
         for i, p in enumerate(refs[k : k + 8]):
-            packed = packed.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("bigint"), 8 * i))
-        out = out.withColumn(f"d{k // 8}", packed)
+            packed_ = packed_.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("bigint"), 8 * i))
+        out = out.withColumn(f"d{k // 8}", packed_)
     return out
 
 
-def near_in_table(radius: int, n: int = N_PIVOTS) -> Column:
+def near_in_table(radius: int, n: int) -> Column:
     """No coordinate differs by more than the radius (a. and b. are rows of the pivot table)."""
     cond = F.lit(True)
     for k in range(n):
@@ -111,34 +127,57 @@ def near_in_table(radius: int, n: int = N_PIVOTS) -> Column:
     return cond
 
 
-def links(table: DataFrame, masks: list[int], radius: int) -> DataFrame:
-    """(a, b), a < b: verified links between distinct fingerprints; in hot buckets as many as connect the same groups."""
-    columns = [c for c in table.columns if c != "fp"]
-    masked = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    keyed = table.select("fp", *columns, F.explode(masked).alias("k")).select("fp", *columns, "k.c", "k.key")
+def apart(name: str) -> Column:
+    return F.bit_count(F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}")))
+
+
+def buckets(table: DataFrame, keys: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the table once per key they share with others (c: number of the key), in cold and in hot buckets."""
+    names = table.columns
+    every = F.array(*[F.struct(F.lit(i).alias("c"), k.alias("key")) for i, k in enumerate(keys)])
+    keyed = table.select(*names, F.explode(every).alias("k")).select(*names, "k.c", "k.key")
     sizes = keyed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = stored(keyed.join(sizes, ["c", "key"]), "buckets")
-    cold, hot = keyed.where(f"n <= {COLD}"), keyed.where(f"n > {COLD}")
-    apart = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    pairs = cold.alias("a").join(
-        cold.alias("b"),
-        (F.col("a.c") == F.col("b.c")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near_in_table(radius) & (apart <= radius),
-    ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    if radius <= 2:
-        flips = F.array(*[F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(64)]])
-        near = hot.select("fp").distinct().select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
-        met = near.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a <> top").select("z", "a")
-        star = near.join(met, "z").where("fp <> a").select("a", F.col("fp").alias("b"))
-    else:
-        draw = random.Random(11)
-        more = F.array(*[F.lit(_signed(sum(1 << b for b in draw.sample(range(64), 12)))) for _ in masks])
-        part = hot.select("fp", "c", "key", F.col("fp").bitwiseAND(F.element_at(more, F.col("c") + 1)).alias("z"))
-        least = part.groupBy("c", "key", "z").agg(F.min("fp").alias("a"))
-        star = part.join(least, ["c", "key", "z"]).where("fp <> a").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) <= radius)
-        star = star.select("a", F.col("fp").alias("b"))
+    return keyed.where(f"n <= {COLD}"), keyed.where(f"n > {COLD}")
+
+
+def paired(cold: DataFrame, radius: int, n_pivots: int, verified: Column) -> DataFrame:
+    """(a, b), a < b, of rows in one bucket: by the pivot table, then verified."""
+    same = (F.col("a.c") == F.col("b.c")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    pairs = cold.alias("a").join(cold.alias("b"), same & near_in_table(radius, n_pivots) & verified)
+    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def links(table: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """(a, b), a < b: links of a radius up to 2; in hot buckets not all of them, but as many as connect the same groups."""
+    cold, hot = buckets(table, [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
+    pairs = paired(cold, radius, N_PIVOTS, apart("fp") <= radius)
+    flips = F.array(*[F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(64)]])
+    near = hot.select("fp").distinct().select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
+    met = near.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a <> top").select("z", "a")
+    star = near.join(met, "z").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(star).distinct()
 
 
+#: Search by likeness: bits that may differ in the first fingerprint and in both; references of its pivot table.
+WIDE, WIDE_BOTH, WIDE_PIVOTS = 22, 34, 8
+
+
+def wide_links(table: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(a, b), a < b: pairs to be verified by their shingles."""
+    both = lambda m: F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(m[0]))), F.col("fp2").bitwiseAND(F.lit(_signed(m[1]))))
+    cold, hot = buckets(table, [both(m) for m in masks])
+    verified = (apart("fp") <= WIDE) & (apart("fp") + apart("fp2") <= WIDE_BOTH)
+    pairs = paired(cold, WIDE, WIDE_PIVOTS, verified)
+    draw = random.Random(11)
+    more = F.array(*[F.lit(_signed(sum(1 << b for b in draw.sample(range(64), 12)))) for _ in masks])
+    part = hot.select("fp", "fp2", "c", "key", F.col("fp").bitwiseAND(F.get(more, F.col("c"))).alias("z"))
+    least = part.groupBy("c", "key", "z").agg(F.min(F.struct("fp", "fp2")).alias("low"))
+    least = least.select("c", "key", "z", "low.fp", "low.fp2")
+    star = part.alias("b").join(least.alias("a"), ["c", "key", "z"]).where("b.fp <> a.fp").where(verified)
+    return pairs.union(star.select(F.col("a.fp"), F.col("b.fp"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node with an edge.
 
@@ -177,11 +216,11 @@ def with_least(fps: DataFrame, roots: DataFrame) -> DataFrame:
     return fps.join(named, "fp")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, recall: float = 0.95, radius: int = 14) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, recall: float = 0.98) -> DataFrame:
     """doc_id, __id, __crc, component_id: groups linked by SimHash candidates whose shingle sets have that Jaccard likeness."""
-    fps = fingerprints(docs, words)
-    table = pivot_table(fps)
-    found = stored(links(table, drawn_masks(table.count(), likeness, recall), radius), "candidates")
+    fps = fingerprints(docs, words, twice=True)
+    table = pivot_table(fps, WIDE_PIVOTS)
+    found = stored(wide_links(table, drawn_masks(table.count(), likeness, recall)), "candidates")
     reps = fps.groupBy("fp").agg(F.min(F.struct("__id", "__crc")).alias("r")).select("fp", "r.__id", "r.__crc")
     asked = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
     keyed = docs.select(id_of(docs).alias("__id"), text_of(docs).alias("__text")).withColumn("__crc", F.crc32(F.col("__text").cast("binary")))
@@ -211,8 +250,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents, one of each group: the one with the smallest id (of equal ids the smallest checksum)."""
     groups = near_duplicates(docs, **options)
     keep = groups.groupBy("component_id").agg(F.min(F.struct("__id", "__crc")).alias("r")).select("r.__id", "r.__crc")
-    keyed = docs.withColumns({"__id": id_of(docs), "__crc": F.crc32(text_of(docs).cast("binary"))})
-    return keyed.join(keep, ["__id", "__crc"]).dropDuplicates(["__id", "__crc"]).select(*docs.columns)
+    return packed(docs).join(keep, ["__id", "__crc"]).dropDuplicates(["__id", "__crc"]).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
