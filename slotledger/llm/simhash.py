@@ -11,7 +11,8 @@ pairs of quarters miss no link. Near-duplicates by likeness take a second finger
 Texts with equal fingerprints are one node. Buckets of at most ``COLD`` fingerprints are joined in pairs. A larger bucket is never
 paired up: up to radius 2, all its fingerprints one bit flip away from a common value are linked to the smallest of them (two fingerprints within
 2 bits always share such a value, and those that share one are within 2), so no link is lost; in the search by likeness the bucket is split
-by further bits and its members are compared with the smallest of their part.
+by further bits, in three ways, and its members are compared with the smallest of their parts. That search first compares every member of a bucket with its
+smallest alone, and then only the pairs of small buckets that are not yet in one group: a large group of near copies costs a few comparisons each.
 
 Defined results: null text: empty; no words: fingerprint zero, linked like any other; repeated rows share their component; an empty table gives
 no rows; a null id counts as the smallest.
@@ -131,14 +132,14 @@ def apart(name: str) -> Column:
     return F.bit_count(F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}")))
 
 
-def buckets(table: DataFrame, keys: list[Column]) -> tuple[DataFrame, DataFrame]:
+def buckets(table: DataFrame, keys: list[Column], cold: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the table once per key they share with others (c: number of the key), in cold and in hot buckets."""
     names = table.columns
     every = F.array(*[F.struct(F.lit(i).alias("c"), k.alias("key")) for i, k in enumerate(keys)])
     keyed = table.select(*names, F.explode(every).alias("k")).select(*names, "k.c", "k.key")
     sizes = keyed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = stored(keyed.join(sizes, ["c", "key"]), "buckets")
-    return keyed.where(f"n <= {COLD}"), keyed.where(f"n > {COLD}")
+    return keyed.where(f"n <= {cold}"), keyed.where(f"n > {cold}")
 
 
 def paired(cold: DataFrame, radius: int, n_pivots: int, verified: Column) -> DataFrame:
@@ -150,7 +151,7 @@ def paired(cold: DataFrame, radius: int, n_pivots: int, verified: Column) -> Dat
 
 def links(table: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """(a, b), a < b: links of a radius up to 2; in hot buckets not all of them, but as many as connect the same groups."""
-    cold, hot = buckets(table, [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
+    cold, hot = buckets(table, [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks], COLD)
     pairs = paired(cold, radius, N_PIVOTS, apart("fp") <= radius)
     flips = F.array(*[F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(64)]])
     near = hot.select("fp").distinct().select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
@@ -161,21 +162,36 @@ def links(table: DataFrame, masks: list[int], radius: int) -> DataFrame:
 
 #: Search by likeness: bits that may differ in the first fingerprint and in both; references of its pivot table.
 WIDE, WIDE_BOTH, WIDE_PIVOTS = 22, 34, 8
+#: Chance puts about four fingerprints into a bucket; one with more than this many holds near copies and is split, in so many ways.
+WIDE_COLD, SPLITS = 16, 3
 
 
-def wide_links(table: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    """(a, b), a < b: pairs to be verified by their shingles."""
+def wide_buckets(table: DataFrame, masks: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
     both = lambda m: F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(m[0]))), F.col("fp2").bitwiseAND(F.lit(_signed(m[1]))))
-    cold, hot = buckets(table, [both(m) for m in masks])
-    verified = (apart("fp") <= WIDE) & (apart("fp") + apart("fp2") <= WIDE_BOTH)
-    pairs = paired(cold, WIDE, WIDE_PIVOTS, verified)
+    return buckets(table, [both(m) for m in masks], WIDE_COLD)
+
+
+def _verified() -> Column:
+    return (apart("fp") <= WIDE) & (apart("fp") + apart("fp2") <= WIDE_BOTH)
+
+
+def wide_stars(cold: DataFrame, hot: DataFrame, n_masks: int) -> DataFrame:
+    """(a, b): each member of a bucket (of a hot one: of a part of it) with the smallest one; a row per member at most."""
     draw = random.Random(11)
-    more = F.array(*[F.lit(_signed(sum(1 << b for b in draw.sample(range(64), 12)))) for _ in masks])
-    part = hot.select("fp", "fp2", "c", "key", F.col("fp").bitwiseAND(F.get(more, F.col("c"))).alias("z"))
-    least = part.groupBy("c", "key", "z").agg(F.min(F.struct("fp", "fp2")).alias("low"))
-    least = least.select("c", "key", "z", "low.fp", "low.fp2")
-    star = part.alias("b").join(least.alias("a"), ["c", "key", "z"]).where("b.fp <> a.fp").where(verified)
-    return pairs.union(star.select(F.col("a.fp"), F.col("b.fp"))).distinct()
+    names = ["fp", "fp2", "d0", "c", "key"]
+    more = [F.array(*[F.lit(_signed(sum(1 << b for b in draw.sample(range(64), 8)))) for _ in range(n_masks)]) for _ in range(SPLITS)]
+    split = hot.select(*names, F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.get(m, F.col("c")))) for i, m in enumerate(more)])).alias("z"))
+    part = cold.select(*names, F.lit(0).cast("bigint").alias("z")).union(split)
+    least = part.groupBy("c", "key", "z").agg(F.min(F.struct("fp", "fp2", "d0")).alias("low")).select("c", "key", "z", "low.*")
+    star = part.alias("b").join(least.alias("a"), ["c", "key", "z"]).where(F.col("a.fp") < F.col("b.fp"))
+    star = star.where(near_in_table(WIDE, WIDE_PIVOTS) & _verified())
+    return star.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+
+
+def wide_pairs(cold: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs of cold buckets that ``roots`` does not connect yet."""
+    named = cold.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    return paired(named, WIDE, WIDE_PIVOTS, _verified() & (F.col("a.root") != F.col("b.root"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,8 +236,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, reca
     """doc_id, __id, __crc, component_id: groups linked by SimHash candidates whose shingle sets have that Jaccard likeness."""
     fps = fingerprints(docs, words, twice=True)
     table = pivot_table(fps, WIDE_PIVOTS)
-    found = stored(wide_links(table, drawn_masks(table.count(), likeness, recall)), "candidates")
+    masks = drawn_masks(table.count(), likeness, recall)
+    cold, hot = wide_buckets(table, masks)
     reps = fps.groupBy("fp").agg(F.min(F.struct("__id", "__crc")).alias("r")).select("fp", "r.__id", "r.__crc")
+    # stars first: they connect large groups with a link or two per document; of all other pairs only those between groups are left
+    first = stored(alike(docs, reps, stored(wide_stars(cold, hot, len(masks)), "candidates"), words, likeness), "links")
+    roots = components(first)
+    rest = alike(docs, reps, stored(wide_pairs(cold, roots), "candidates"), words, likeness)
+    return with_least(fps, components(first.union(rest)))
+
+
+def alike(docs: DataFrame, reps: DataFrame, found: DataFrame, words: int, likeness: float) -> DataFrame:
+    """The candidates (a, b) whose texts' shingle sets have the Jaccard likeness."""
     asked = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
     keyed = docs.select(id_of(docs).alias("__id"), text_of(docs).alias("__text")).withColumn("__crc", F.crc32(F.col("__text").cast("binary")))
     texts = keyed.join(reps.join(asked, "fp"), ["__id", "__crc"]).select("fp", "__text")
@@ -234,8 +260,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, reca
     sets_of = stored(texts.mapInArrow(sets, "fp bigint, s array<bigint>").dropDuplicates(["fp"]), "shingles")
     both = found.join(sets_of.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets_of.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    edges = both.where(shared >= likeness * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    return with_least(fps, components(edges))
+    return both.where(shared >= likeness * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def shingle_set(text: str, words: int) -> list[int]:
