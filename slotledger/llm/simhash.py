@@ -232,7 +232,7 @@ def with_least(fps: DataFrame, roots: DataFrame) -> DataFrame:
     return fps.join(named, "fp")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, recall: float = 0.98) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, recall: float = 0.99) -> DataFrame:
     """doc_id, __id, __crc, component_id: groups linked by SimHash candidates whose shingle sets have that Jaccard likeness."""
     fps = fingerprints(docs, words, twice=True)
     table = pivot_table(fps, WIDE_PIVOTS)
