@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.bindings import panels as p
@@ -326,7 +329,9 @@ def export_actuals(spark, sf):
 def data_dictionary(spark, sf):
     fc = exports.export_forecasts(bands.forecast_rows(ev_bands(spark, sf), Q), Q)
     act = exports.export_actuals(p.event_slots(spark, sf, Q), Q)
-    return exports.data_dictionary("forecasts", fc).unionByName(exports.data_dictionary("actuals", act))
+    scores = exports.export_scores(ev_scores(spark, sf), Q)
+    tables = {"forecasts": fc, "actuals": act, "scores": scores}
+    return reduce(DataFrame.unionByName, [exports.data_dictionary(name, table) for name, table in tables.items()])
 
 
 @query(

@@ -1,10 +1,12 @@
-"""Learned models as live runs on the latest days of the line panel; rows-only checks."""
+"""Learned models as live runs on the line panel: the newest refit interval of the lasso, the newest days of the forest."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.bindings import panels as p
@@ -16,7 +18,6 @@ from slotledger.session import materialize, spread
 
 H = p.HOURLY
 LIVE_DAYS = 4
-LASSO = replace(lasso.LASSO_SPEC, error_days=3, min_error_days=2)
 FOREST = replace(forest.FOREST_SPEC, error_days=3, min_error_days=2)
 
 
@@ -34,10 +35,16 @@ def _rows(banded):
 
 @query("lasso_autoregression")
 def lasso_autoregression(spark, sf):
-    """Per-hour lasso over up to two years of history, with bands from its last three days."""
+    """Every target of the newest refit interval from one pooled fit per horizon and window, with the model's own error windows."""
     days = p.line_days(spark, sf)
-    points = materialize(lasso.lasso_points(days, recent_targets(days, LIVE_DAYS), H, spec=LASSO, issues_per_task=1))
-    return _rows(bands.empirical_bands(points, days, H, [LASSO.error_days]))
+    asked = materialize(recent_targets(days, lasso.REFIT_DAYS))
+    last = asked.groupBy("series_id").agg(F.date_sub(F.max("target_date"), lasso.REFIT_DAYS + max(H.horizons)).alias("anchor"))
+    parts = []
+    for row in last.select("anchor").distinct().collect():  # one date per group of series that end together
+        own = asked.join(last.filter(F.col("anchor") == F.lit(row["anchor"])), "series_id", "left_semi")
+        parts.append(lasso.lasso_points(days, own, H, row["anchor"]))
+    points = materialize(reduce(DataFrame.unionByName, parts))
+    return _rows(bands.empirical_bands(points, days, H, [lasso.LASSO_SPEC.error_days]))
 
 
 @query("pooled_quantile_regression")

@@ -1,200 +1,115 @@
-"""Lasso autoregression: one penalised linear model per series, horizon, hour, window and issue.
+"""Lasso autoregression: a penalised linear model pooled over series and hours of the day.
 
-Design, windows, completeness and averaging are DataFrame work; each task fits the hours of a few
-neighbouring issue days, whose training days overlap almost entirely.
+A fit takes every complete hour of a training window that ends with the anchor day, for all series at once, with Spark ML's
+``LinearRegression``; windows of several lengths are fitted and their forecasts averaged. The penalty is the one of a short list
+with the smallest Akaike criterion. An anchor serves every later issue until the next refit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from datetime import date
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig, ModelSpec
+from slotledger.functions.arrays import array_mean, field_of
 from slotledger.operators import shaping
-from slotledger.session import spread
+from slotledger.session import materialize
 
 LASSO_SPEC = ModelSpec("lasso_ar", error_days=60, min_error_days=20)
 WINDOWS = (182, 364, 728)
-N_LAGGED = 96
+PENALTIES = (0.1, 0.01, 0.001)
 MIN_SHARE = 0.9
+#: Days that one fit serves.
+REFIT_DAYS = 364
+HOUR_KEYS = ("series_id", "horizon_days", "target_date", "hour")
 
 
-def lasso_by_aic(gram: np.ndarray, xty: np.ndarray, yty: float, n: int, noise: float) -> np.ndarray:
-    """Coefficients of the lasso path's knot with the smallest Akaike criterion.
+def hourly_design(matrix: DataFrame, horizon: int) -> DataFrame:
+    """One row per target hour: ``levels`` (scaled before a fit), ``marks`` (dummies) and the target ``y``.
 
-    Follows the piecewise linear path from the empty model on second moments of centred data; the
-    degrees of freedom of a knot are its nonzero coefficients (Zou, Hastie and Tibshirani 2007).
+    Levels are the four lagged values of the same hour, the means of those days, and the last hour known.
+    Rows with an unknown level are left out; ``y`` is NULL for days to come.
     """
-    p = len(xty)
-    beta, active, dropped = np.zeros(p), [], -1
-    best, best_score = beta.copy(), yty / noise
-    corr = xty.copy()
-    floor = 1e-10 * max(np.abs(corr).max(), 1e-300)
-    for _ in range(8 * p):
-        size = np.abs(corr)
-        outside = np.ones(p, dtype=bool)
-        outside[active] = False
-        level = size[active].max() if active else size.max()
-        if level <= floor:
-            break
-        if dropped < 0 and outside.any():
-            entrants = np.where(outside & (size >= level * (1 - 1e-9)))[0]
-            if len(entrants):
-                active.append(int(entrants[np.argmax(size[entrants])]))
-                outside[active[-1]] = False
-        idx = np.array(active)
-        sign = np.sign(corr[idx])
-        try:
-            step = np.linalg.solve(gram[np.ix_(idx, idx)], sign)
-        except np.linalg.LinAlgError:
-            break
-        slope = gram[:, idx] @ step
-        limit, hit = level, -1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            joins = np.minimum(
-                np.where(slope < 1 - 1e-12, (level - corr) / (1 - slope), np.inf),
-                np.where(slope > -1 + 1e-12, (level + corr) / (1 + slope), np.inf),
-            )
-            joins[~outside] = np.inf
-            if dropped >= 0:
-                joins[dropped] = np.inf
-            joins[joins <= 1e-12 * level] = np.inf
-            leaves = np.where(step != 0, -beta[idx] / step, np.inf)
-            leaves[leaves <= 1e-12 * level] = np.inf
-        if outside.any():
-            limit = min(limit, joins.min())
-        if leaves.min() < limit:
-            hit, limit = int(leaves.argmin()), leaves.min()
-        beta[idx] += limit * step
-        corr = corr - limit * slope
-        dropped = -1
-        if hit >= 0:
-            dropped = active.pop(hit)
-            beta[dropped] = 0.0
-        rss = max(yty - 2 * beta @ xty + beta @ gram @ beta, 0.0)
-        score = rss / noise + 2 * np.count_nonzero(beta)
-        if score < best_score:
-            best, best_score = beta.copy(), score
-        if not active:
-            break
+    wide = shaping.lag_features(matrix, horizon).filter(~F.exists("x_lags", lambda v: v.isNull()))
+    days = [F.slice("x_lags", 24 * k + 1, 24) for k in range(4)]
+    hour = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")
+    rows = wide.select("series_id", "horizon_days", "target_date", "x_lags", "x_calendar", F.col("y").alias("hours"), *[array_mean(d).alias(f"mean{k}") for k, d in enumerate(days)], hour)
+    levels = [*[F.get("x_lags", F.col("hour") + 24 * k) for k in range(4)], *[F.col(f"mean{k}") for k in range(4)], F.get("x_lags", F.lit(23))]
+    dummies = F.transform(F.sequence(F.lit(0), F.lit(22)), lambda k: (k == F.col("hour")).cast("double"))
+    marks = F.concat(F.transform("x_calendar", lambda v: v.cast("double")), dummies)
+    return rows.select(*HOUR_KEYS, F.array(*levels).alias("levels"), marks.alias("marks"), F.get("hours", F.col("hour")).alias("y"))
+
+
+def training_rows(rows: DataFrame, anchor: date, window: int) -> DataFrame:
+    """Hours of the window's days up to the anchor, of series that have enough of its days."""
+    target = F.col("target_date")
+    inside = rows.filter((target <= F.lit(anchor)) & (target > F.date_sub(F.lit(anchor), window)) & F.col("y").isNotNull())
+    enough = inside.groupBy("series_id").agg(F.count_distinct("target_date").alias("n")).filter(F.col("n") >= MIN_SHARE * window)
+    return inside.join(enough.select("series_id"), "series_id", "left_semi")
+
+
+def scaled(rows: DataFrame, scale: DataFrame) -> DataFrame:
+    """Features and label on the asinh of robustly scaled values; series without a scale drop out."""
+    small = lambda v: F.asinh((v - F.col("center")) / F.col("scale"))
+    features = array_to_vector(F.concat(F.transform("levels", small), "marks"))
+    return rows.join(scale, "series_id").withColumns({"features": features, "label": small(F.col("y"))})
+
+
+def best_fit(train: DataFrame, penalties: Sequence[float] = PENALTIES):
+    """The model of the penalty with the smallest Akaike criterion; the larger penalty on ties."""
+    best, lowest = None, math.inf
+    for penalty in sorted(penalties, reverse=True):
+        model = LinearRegression(elasticNetParam=1.0, regParam=penalty).fit(train)
+        n, mse = model.summary.numInstances, max(model.summary.meanSquaredError, 1e-300)
+        aic = n * math.log(mse) + 2 * model.coefficients.numNonzeros()
+        if aic < lowest:
+            best, lowest = model, aic
     return best
 
 
-def _scales(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    center = np.median(m, axis=0)
-    mad = np.median(np.abs(m - center), axis=0) / 0.6745
-    return center, np.where(mad > 1e-9, mad, 1.0)
-
-
-def fit_predict(x: np.ndarray, y: np.ndarray, x_new: np.ndarray) -> np.ndarray:
-    """24 hourly forecasts from one training window, on asinh of robustly scaled values."""
-    lags = slice(0, N_LAGGED)
-    xm, xs = _scales(x[:, lags])
-    ym, ys = _scales(y)
-    z = np.hstack([np.arcsinh((x[:, lags] - xm) / xs), x[:, N_LAGGED:]])
-    z_new = np.hstack([np.arcsinh((x_new[lags] - xm) / xs), x_new[N_LAGGED:]])
-    w = np.arcsinh((y - ym) / ys)
-    zc, wc = z - z.mean(axis=0), w - w.mean(axis=0)
-    n, p = z.shape
-    gram, cross = zc.T @ zc, zc.T @ wc
-    ols, *_ = np.linalg.lstsq(zc, wc, rcond=None)
-    noise = ((wc - zc @ ols) ** 2).sum(axis=0) / (n - p - 1)
-    out = np.empty(w.shape[1])
-    for k in range(w.shape[1]):
-        coef = lasso_by_aic(gram, cross[:, k], float(wc[:, k] @ wc[:, k]), n, max(noise[k], 1e-12))
-        out[k] = (z_new - z.mean(axis=0)) @ coef + w[:, k].mean()
-    return np.sinh(out) * ys + ym
-
-
-def _fit_block(windows: Sequence[int]):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("target_no")
-        known = pdf["x"].notna() & pdf["y"].notna()
-        rows = []
-        for _, ask in pdf[pdf["asked"] & pdf["x"].notna()].iterrows():
-            issue = ask["target_no"] - ask["horizon_days"]
-            parts = []
-            for w in windows:
-                train = pdf[known & (pdf["target_no"] > issue - w) & (pdf["target_no"] <= issue)]
-                width = len(ask["x"])
-                if len(train) < MIN_SHARE * w or len(train) <= width + 2:
-                    continue
-                parts.append(fit_predict(np.vstack(train["x"]), np.vstack(train["y"]), np.asarray(ask["x"])))
-            if parts:
-                rows.append((ask["series_id"], int(ask["horizon_days"]), int(ask["target_no"]), np.mean(parts, axis=0)))
-        return pd.DataFrame(rows, columns=["series_id", "horizon_days", "target_no", "hourly"])
-
-    return fit
-
-
 def lasso_hourly(
-    matrix: DataFrame, asked: DataFrame, cfg: LedgerConfig, windows: Sequence[int] = WINDOWS, issues_per_task: int = 4
+    matrix: DataFrame, asked: DataFrame, cfg: LedgerConfig, anchor: date, windows: Sequence[int] = WINDOWS,
+    penalties: Sequence[float] = PENALTIES,
 ) -> DataFrame:
-    """Hourly forecasts for the asked ``(series_id, target_date)`` at every horizon.
-
-    A training day is sent to every block of ``issues_per_task`` issue days whose longest window
-    reaches it; a group is bounded by that window, whatever the length of the history.
-    """
-    longest = max(windows)
+    """Hourly forecasts of the asked ``(series_id, target_date)`` issued on the anchor day or later."""
     parts = []
     for h in cfg.horizons:
-        design = shaping.lag_features(matrix, h).select(
-            "series_id",
-            "target_date",
-            "horizon_days",
-            F.unix_date("target_date").alias("target_no"),
-            F.when(
-                ~F.exists(F.concat("x_lags", "x_calendar"), lambda v: v.isNull()), F.concat("x_lags", "x_calendar")
-            ).alias("x"),
-            F.col("y").alias("y"),
-        )
-        mark = asked.select("series_id", "target_date", F.lit(True).alias("asked"))
-        parts.append(design.join(mark, ["series_id", "target_date"], "left"))
-    rows = reduce(DataFrame.unionByName, parts).withColumn("asked", F.coalesce("asked", F.lit(False)))
-    block = lambda c: F.floor(c / issues_per_task)
-    used = rows.filter("asked").select("series_id", "horizon_days", block(F.col("target_no")).alias("block")).distinct()
-    # targets of a block train on days from (first issue - longest) to (last issue)
-    reach = used.groupBy("series_id", "horizon_days").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    near = rows.join(reach, ["series_id", "horizon_days"])
-    first, last = block(F.col("target_no")), block(F.col("target_no") + longest + F.col("horizon_days"))
-    near = near.withColumn("first", F.greatest(first, "lo")).withColumn("last", F.least(last, F.col("hi")))
-    spread_rows = near.filter(F.col("first") <= F.col("last")).withColumn(
-        "block", F.explode(F.sequence("first", "last"))
-    )
-    groups = spread_rows.join(used, ["series_id", "horizon_days", "block"], "left_semi").select(
-        "series_id", "horizon_days", "block", "target_no", "x", "y", (F.col("asked") & (F.col("block") == first)).alias("asked")
-    )
-    groups = spread(groups, "series_id", "horizon_days", "block", factor=4)
-    fitted = groups.groupBy("series_id", "horizon_days", "block").applyInPandas(
-        _fit_block(tuple(windows)),
-        "series_id string, horizon_days int, target_no int, hourly array<double>",
-    )
-    target = F.date_from_unix_date("target_no")
-    return fitted.select(
-        "series_id",
-        "horizon_days",
-        target.alias("target_date"),
-        F.date_sub(target, F.col("horizon_days")).alias("issue_date"),
-        "hourly",
+        rows = materialize(hourly_design(matrix, h))
+        ask = rows.join(asked.select("series_id", "target_date").distinct(), ["series_id", "target_date"], "left_semi")
+        ask = ask.filter(F.date_sub("target_date", h) >= F.lit(anchor))
+        for window in windows:
+            train = training_rows(rows, anchor, window)
+            scale = shaping.robust_scale(train, ["series_id"], "y")
+            fitted = materialize(scaled(train, scale).select("features", "label"))
+            if fitted.isEmpty():
+                continue
+            predicted = best_fit(fitted, penalties).transform(scaled(ask, scale))
+            value = F.sinh("prediction") * F.col("scale") + F.col("center")
+            parts.append(predicted.select(*HOUR_KEYS, value.alias("value")))
+    if not parts:  # no window has enough training days: no forecast
+        empty = "series_id string, horizon_days int, target_date date, issue_date date, hourly array<double>"
+        return matrix.sparkSession.createDataFrame([], empty)
+    hourly = reduce(DataFrame.unionByName, parts).groupBy(*HOUR_KEYS).agg(F.avg("value").alias("value"))
+    packed = hourly.groupBy(*HOUR_KEYS[:3]).agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("cells"))
+    return packed.filter(F.size("cells") == 24).select(
+        *HOUR_KEYS[:3], F.date_sub("target_date", F.col("horizon_days")).alias("issue_date"), field_of("cells", "value").alias("hourly")
     )
 
 
 def lasso_points(
-    days: DataFrame, asked: DataFrame, cfg: LedgerConfig, windows: Sequence[int] = WINDOWS,
-    spec: ModelSpec = LASSO_SPEC, issues_per_task: int = 4,
+    days: DataFrame, asked: DataFrame, cfg: LedgerConfig, anchor: date, windows: Sequence[int] = WINDOWS,
+    penalties: Sequence[float] = PENALTIES, spec: ModelSpec = LASSO_SPEC,
 ) -> DataFrame:
     """Point vectors in the layout every band operator takes."""
-    hourly = lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, windows, issues_per_task)
-    # from what was asked, not from the fits, which would run a second time
-    horizons = F.explode(F.array(*[F.lit(h) for h in cfg.horizons])).alias("h")
-    issues = asked.select("series_id", "target_date", horizons).select(
-        "series_id", F.date_sub("target_date", F.col("h")).alias("issue_date")
-    ).distinct()
+    hourly = materialize(lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, anchor, windows, penalties))
+    issues = hourly.select("series_id", "issue_date").distinct()
     shapes = shaping.shape_vectors(shaping.intra_hour_shape(days, cfg, issues), cfg)
     laid = shaping.to_slots(hourly, shapes, cfg)
     return laid.select(

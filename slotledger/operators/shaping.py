@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotledger.config import LedgerConfig
 from slotledger.functions import arrays as a
 from slotledger.functions import timecols as t
+from slotledger.functions.quantiles import exact_quantile
 from slotledger.functions.holidays import calendar_features
 
 
@@ -221,11 +222,9 @@ def to_slots(hourly: DataFrame, shapes: DataFrame, cfg: LedgerConfig, columns: t
 
 def robust_scale(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and MAD/0.6745 per group of a training window; a flat column scales by one."""
-    med = rows.groupBy(*keys).agg(F.median(value).alias("center"))
-    spread = rows.join(med, keys).groupBy(*keys).agg(
-        F.first("center").alias("center"),
-        (F.median(F.abs(F.col(value) - F.col("center"))) / 0.6745).alias("mad"),
-    )
+    med = exact_quantile(rows, keys, value, 0.5, "center")
+    away = rows.join(med, keys).withColumn("away", F.abs(F.col(value) - F.col("center")))
+    spread = exact_quantile(away, keys, "away", 0.5, "mad").withColumn("mad", F.col("mad") / 0.6745).join(med, keys)
     return spread.select(
         *keys, "center", F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(F.lit(1.0)).alias("scale")
     )
