@@ -55,6 +55,14 @@ def training_rows(rows: DataFrame, anchor: date, window: int) -> DataFrame:
     return inside.join(enough.select("series_id"), "series_id", "left_semi")
 
 
+def window_scale(train: DataFrame) -> DataFrame:
+    """Median and spread (MAD / 0.6745) of each series in the window, from sketches of bounded memory; a flat series scales by one."""
+    middle = train.groupBy("series_id").agg(F.percentile_approx("y", 0.5, 10000).alias("center"))
+    away = F.percentile_approx(F.abs(F.col("y") - F.col("center")), 0.5, 10000) / 0.6745
+    spread = train.select("series_id", "y").join(middle, "series_id").groupBy("series_id", "center").agg(away.alias("mad"))
+    return spread.select("series_id", "center", F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(1.0).alias("scale"))
+
+
 def scaled(rows: DataFrame, scale: DataFrame) -> DataFrame:
     """Features and label on the asinh of robustly scaled values; series without a scale drop out."""
     small = lambda v: F.asinh((v - F.col("center")) / F.col("scale"))
@@ -86,7 +94,7 @@ def lasso_hourly(
         ask = ask.filter(F.date_sub("target_date", h) >= F.lit(anchor))
         for window in windows:
             train = training_rows(rows, anchor, window)
-            scale = shaping.robust_scale(train, ["series_id"], "y")
+            scale = materialize(window_scale(train))
             fitted = materialize(scaled(train, scale).select("features", "label"))
             if fitted.isEmpty():
                 continue
