@@ -11,10 +11,10 @@ pairs of quarters miss no link. Near-duplicates by likeness take a second finger
 Texts with equal fingerprints are one node. Buckets of at most ``COLD`` fingerprints are joined in pairs. A larger bucket is never
 paired up: up to radius 2, all its fingerprints one bit flip away from a common value are linked to the smallest of them (two fingerprints within
 2 bits always share such a value, and those that share one are within 2), so no link is lost; in the search by likeness the bucket is split
-by further bits, in three ways, and its members are compared with the smallest of their parts. That search first compares every member of a bucket with its
-smallest alone, and then only pairs that are not yet in one group: in a small bucket all of them, in a larger one those of the members outside its commonest
+by further bits, in three ways, and its members are compared with the centre of their parts. That search first compares every member of a bucket with its
+centre alone (the first in one of ``CENTRES`` seeded orders, so that a member meets several), and then only pairs that are not yet in one group: in a small bucket all of them, in a larger one those of the members outside its commonest
 group with all others (if that are more than ``COLD``, in parts of the bucket): a large group of near copies costs a few comparisons each, and none of its
-members is left out because it differs from the smallest.
+members is left out because it differs from the centre.
 
 Defined results: null text: empty; no words: fingerprint zero, linked like any other; repeated rows share their component; an empty table gives
 no rows; a null id counts as the smallest.
@@ -167,6 +167,8 @@ def links(table: DataFrame, masks: list[int], radius: int) -> DataFrame:
 WIDE, WIDE_BOTH, WIDE_PIVOTS = 22, 34, 8
 #: Chance puts about four fingerprints into a bucket; one with more than this many holds near copies and is split, in so many ways.
 WIDE_COLD, SPLITS = 16, 3
+#: Orders in which a bucket's centre is the first of its members: a member far from one centre is close to another.
+CENTRES = 8
 
 
 def wide_buckets(table: DataFrame, masks: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
@@ -179,16 +181,17 @@ def _verified() -> Column:
 
 
 def wide_stars(cold: DataFrame, hot: DataFrame, n_masks: int) -> DataFrame:
-    """(a, b): each member of a bucket (of a hot one: of a part of it) with the smallest one; a row per member at most."""
+    """(a, b): each member of a bucket (of a hot one: of a part of it) with its centre; a row per member at most."""
     draw = random.Random(11)
     names = ["fp", "fp2", "d0", "c", "key"]
     more = [F.array(*[F.lit(_signed(sum(1 << b for b in draw.sample(range(64), 8)))) for _ in range(n_masks)]) for _ in range(SPLITS)]
     split = hot.select(*names, F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.get(m, F.col("c")))) for i, m in enumerate(more)])).alias("z"))
     part = cold.select(*names, F.lit(0).cast("bigint").alias("z")).union(split)
-    least = part.groupBy("c", "key", "z").agg(F.min(F.struct("fp", "fp2", "d0")).alias("low")).select("c", "key", "z", "low.*")
-    star = part.alias("b").join(least.alias("a"), ["c", "key", "z"]).where(F.col("a.fp") < F.col("b.fp"))
+    centre = F.min(F.struct(F.xxhash64("fp", F.col("c") % CENTRES).alias("by"), "fp", "fp2", "d0"))
+    least = part.groupBy("c", "key", "z").agg(centre.alias("low")).select("c", "key", "z", "low.fp", "low.fp2", "low.d0")
+    star = part.alias("b").join(least.alias("a"), ["c", "key", "z"]).where(F.col("a.fp") != F.col("b.fp"))
     star = star.where(near_in_table(WIDE, WIDE_PIVOTS) & _verified())
-    return star.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    return star.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
 def wide_pairs(cold: DataFrame, roots: DataFrame) -> DataFrame:
