@@ -34,6 +34,18 @@ def known_prices_asof(spark, sf):
     return known.select("series_id", "issue_date", F.inline(cells).alias("slot", "value")).withColumn("slot", utc("slot"))
 
 
+@query(
+    "known_history_asof",
+    q.with_(*q.panel("li60", fill=False))
+    + f"""SELECT i.series_id, i.day AS issue_date, count(*) AS n_values, CAST(sum(o.v) AS DOUBLE) AS total, arg_min(o.v, o.s) AS first_value, arg_max(o.v, o.s) AS last_value
+FROM dd i JOIN obs o ON o.series_id = i.series_id AND o.s < {q.day_start('i.day + 1')} GROUP BY 1, 2""",
+)
+def known_history_asof(spark, sf):
+    """Everything each issue day of the line panel may see, over the years."""
+    days = p.line_days(spark, sf, fill=False)
+    return asof.known_history(days, issues_of(days))
+
+
 _COV_SQL = """cov AS (SELECT event_type AS series_id, (epoch_us(ts) // 1000000) // 3600 * 3600 AS s, l.lead, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS x,
     (epoch_us(min(ts)) // 1000000) // 3600 * 3600 - l.lead * 86400 + 6 * 3600 AS avail FROM events, (VALUES (2), (3)) l(lead) GROUP BY 1, 2, 3)"""
 

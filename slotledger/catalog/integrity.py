@@ -7,28 +7,28 @@ from pyspark.sql import functions as F
 from slotledger.bindings import panels as p
 from slotledger.catalog import reports as rep
 from slotledger.catalog import sql as q
-from slotledger.catalog.base import BACKTEST_SPECS, ev_days, query
+from slotledger.catalog.base import ev_bands, query
 from slotledger.functions import timecols as t
-from slotledger.models.naive import naive_points
 from slotledger.operators import integrity
-from slotledger.plans import backtest as bt
 
 CFG = p.QUARTER
 
 
 def ledger_files(spark, sf):
-    """One path and content hash per forecast file: its point values in slot order."""
-    days = ev_days(spark, sf)
-    points = naive_points(days, bt.targets_of(days, CFG), CFG, BACKTEST_SPECS).filter(F.col("horizon_days") == 1)
-    text = F.concat_ws(",", F.transform("point", lambda v: F.format_string("%.2f", v)))
+    """One path and content hash per forecast file: the quantiles of both horizons in slot order."""
+    cells = F.transform(F.arrays_zip("q10", "q50", "q90"), lambda c: F.format_string("%.2f;%.2f;%.2f", c["q10"], c["q50"], c["q90"]))
+    parts = ev_bands(spark, sf).select("series_id", "issue_date", "model", F.struct("horizon_days", F.concat_ws(",", cells).alias("x")).alias("part"))
+    points = parts.groupBy("series_id", "issue_date", "model").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    text = F.concat_ws("|", F.col("parts.x"))
     name = F.concat_ws("/", "series_id", F.date_format("issue_date", "yyyy-MM-dd"), F.concat(F.col("model"), F.lit(".v1.parquet")))
     return points.select("series_id", "issue_date", "model", name.alias("path"), F.sha2(text, 256).alias("sha256"))
 
 
 _FILES = [
-    *q.panel("ev15"), *q.points("ev15"),
+    *q.ev_base(),
+    """part AS (SELECT series_id, issue_date, model, h, string_agg(printf('%.2f;%.2f;%.2f', q10, q50, q90), ',' ORDER BY s) AS x FROM fc GROUP BY ALL)""",
     """files AS (SELECT series_id, issue_date, model, series_id || '/' || strftime(issue_date, '%Y-%m-%d') || '/' || model || '.v1.parquet' AS path,
-    sha256(string_agg(printf('%.2f', p), ',' ORDER BY s)) AS sha FROM pts WHERE h = 1 GROUP BY ALL)""",
+    sha256(string_agg(x, '|' ORDER BY h)) AS sha FROM part GROUP BY ALL)""",
 ]
 
 

@@ -351,15 +351,15 @@ def rolling_origin_backtest(spark, sf):
 @query(
     "backtest_summary",
     q.with_(*CUBE)
-    + """SELECT 'backtest' AS kind, c.series_id, b.first_target, b.last_target, "window", model_key, horizon_days, n_slots, mae, skill_mae
-FROM cube c JOIN (SELECT series_id, min(target_date) AS first_target, max(target_date) AS last_target FROM sc GROUP BY 1) b USING (series_id)
-WHERE segment = 'all'""",
+    + """SELECT 'backtest' AS kind, c.series_id, b.first_target, b.last_target, "window", segment, model_key, horizon_days, n_slots, mae, rmse, pinball, coverage_80, skill_mae
+FROM cube c JOIN (SELECT series_id, min(target_date) AS first_target, max(target_date) AS last_target FROM sc GROUP BY 1) b USING (series_id)""",
 )
 def backtest_summary(spark, sf):
     """Metrics of the replay, labelled so that they never mix with live rows."""
     targets = ev_days(spark, sf).withColumnRenamed("day", "target_date")
-    return bt.labelled_summary(ev_cube(spark, sf), targets, "backtest").filter(F.col("segment") == "all").select(
-        "kind", "series_id", "first_target", "last_target", "window", "model_key", "horizon_days", "n_slots", "mae", "skill_mae"
+    return bt.labelled_summary(ev_cube(spark, sf), targets, "backtest").select(
+        "kind", "series_id", "first_target", "last_target", "window", "segment", "model_key", "horizon_days",
+        "n_slots", "mae", "rmse", "pinball", "coverage_80", "skill_mae",
     )
 
 

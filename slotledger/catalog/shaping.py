@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.bindings import panels as p
@@ -156,6 +159,27 @@ def covariate_matrix(spark, sf):
     return m.select("series_id", "lead_days", "day", F.posexplode(F.arrays_zip(*WEATHER_FEATURES)).alias("hour", "x")).select("series_id", "lead_days", "day", "hour", "x.*")
 
 
+def _gbm_rows(h: int) -> list[str]:
+    """tg, gx of one horizon."""
+    return [
+        f"tg{h} AS (SELECT DISTINCT d.series_id, CAST(d.day + k.k AS DATE) AS target_date FROM ix d, (VALUES (0), ({h}), ({h + 1}), (7)) k(k))",
+        f"""gx{h} AS (SELECT t.series_id, {h} AS horizon_days, t.target_date, CAST(g.hour AS DOUBLE) AS hour, l1.v AS p_last_hour, l2.v AS p_last2_hour, l7.v AS p_week_hour, y.v AS price, c.wind_power, c.wind_speed, c.solar, c.temp,
+    a.pm AS p_last_mean, a.pn AS p_last_min, a.px AS p_last_max, w.wk AS p_week_mean, n.wp AS wind_power_day, n.so AS solar_day, n.te AS temp_day, n.wp - o.wp AS wind_power_change, n.so - o.so AS solar_change,
+    isodow(t.target_date) - 1 AS weekday, hd.d IS NOT NULL AS holiday
+  FROM tg{h} t CROSS JOIN range(24) g(hour)
+  LEFT JOIN hmx l1 ON l1.series_id = t.series_id AND l1.day = t.target_date - {h} AND l1.hour = g.hour
+  LEFT JOIN hmx l2 ON l2.series_id = t.series_id AND l2.day = t.target_date - {h + 1} AND l2.hour = g.hour
+  LEFT JOIN hmx l7 ON l7.series_id = t.series_id AND l7.day = t.target_date - 7 AND l7.hour = g.hour
+  LEFT JOIN hmx y ON y.series_id = t.series_id AND y.day = t.target_date AND y.hour = g.hour
+  LEFT JOIN cmx c ON c.series_id = t.series_id AND c.lead_days = {h + 1} AND c.day = t.target_date AND c.hour = g.hour
+  LEFT JOIN pd a ON a.series_id = t.series_id AND a.day = t.target_date - {h}
+  LEFT JOIN wm w ON w.series_id = t.series_id AND w.day = t.target_date - {h}
+  LEFT JOIN cd n ON n.series_id = t.series_id AND n.lead_days = {h + 1} AND n.day = t.target_date
+  LEFT JOIN cd o ON o.series_id = t.series_id AND o.lead_days = {h + 1} AND o.day = t.target_date - {h}
+  LEFT JOIN hol hd ON hd.d = t.target_date)""",
+    ]
+
+
 def _gbm_sql() -> str:
     from slotledger.catalog.reports import HOLIDAYS_SQL
 
@@ -165,32 +189,19 @@ def _gbm_sql() -> str:
         _index("ix"),
         "wm AS (SELECT a.series_id, a.day, CASE WHEN count(b.pm) >= 5 THEN avg(b.pm) END AS wk FROM ix a JOIN pd b ON b.series_id = a.series_id AND b.day <= a.day AND b.day > a.day - 7 GROUP BY ALL)",
         "cd AS (SELECT series_id, lead_days, day, avg(wind_power) AS wp, avg(solar) AS so, avg(temp) AS te FROM cmx GROUP BY ALL)",
-        "tg AS (SELECT DISTINCT d.series_id, CAST(d.day + k.k AS DATE) AS target_date FROM ix d, (VALUES (0), (1), (2), (7)) k(k))",
-        f"""gx AS (SELECT t.series_id, t.target_date, CAST(g.hour AS DOUBLE) AS hour, l1.v AS p_last_hour, l2.v AS p_last2_hour, l7.v AS p_week_hour, y.v AS price, c.wind_power, c.wind_speed, c.solar, c.temp,
-    a.pm AS p_last_mean, a.pn AS p_last_min, a.px AS p_last_max, w.wk AS p_week_mean, n.wp AS wind_power_day, n.so AS solar_day, n.te AS temp_day, n.wp - o.wp AS wind_power_change, n.so - o.so AS solar_change,
-    isodow(t.target_date) - 1 AS weekday, h.d IS NOT NULL AS holiday
-  FROM tg t CROSS JOIN range(24) g(hour)
-  LEFT JOIN hmx l1 ON l1.series_id = t.series_id AND l1.day = t.target_date - 1 AND l1.hour = g.hour
-  LEFT JOIN hmx l2 ON l2.series_id = t.series_id AND l2.day = t.target_date - 2 AND l2.hour = g.hour
-  LEFT JOIN hmx l7 ON l7.series_id = t.series_id AND l7.day = t.target_date - 7 AND l7.hour = g.hour
-  LEFT JOIN hmx y ON y.series_id = t.series_id AND y.day = t.target_date AND y.hour = g.hour
-  LEFT JOIN cmx c ON c.series_id = t.series_id AND c.lead_days = 2 AND c.day = t.target_date AND c.hour = g.hour
-  LEFT JOIN pd a ON a.series_id = t.series_id AND a.day = t.target_date - 1
-  LEFT JOIN wm w ON w.series_id = t.series_id AND w.day = t.target_date - 1
-  LEFT JOIN cd n ON n.series_id = t.series_id AND n.lead_days = 2 AND n.day = t.target_date
-  LEFT JOIN cd o ON o.series_id = t.series_id AND o.lead_days = 2 AND o.day = t.target_date - 1
-  LEFT JOIN hol h ON h.d = t.target_date)""",
-    ) + f"""SELECT series_id, target_date, hour, p_last_hour, p_last2_hour, p_week_hour, price, wind_power, wind_speed, solar, temp, {q.r('p_last_mean', 4)} AS p_last_mean, p_last_min, p_last_max, {q.r('p_week_mean', 4)} AS p_week_mean,
+        *_gbm_rows(1), *_gbm_rows(2),
+    ) + f"""SELECT series_id, horizon_days, target_date, hour, p_last_hour, p_last2_hour, p_week_hour, price, wind_power, wind_speed, solar, temp, {q.r('p_last_mean', 4)} AS p_last_mean, p_last_min, p_last_max, {q.r('p_week_mean', 4)} AS p_week_mean,
   {q.r('wind_power_day', 6)} AS wind_power_day, {q.r('solar_day', 6)} AS solar_day, {q.r('temp_day', 6)} AS temp_day, {q.r('wind_power_change', 6)} AS wind_power_change, {q.r('solar_change', 6)} AS solar_change,
-  CAST(weekday AS DOUBLE) AS weekday, CAST(CAST(holiday AS INTEGER) AS DOUBLE) AS holiday, {q.r('price - p_week_mean', 4)} AS y FROM gx"""
+  CAST(weekday AS DOUBLE) AS weekday, CAST(CAST(holiday AS INTEGER) AS DOUBLE) AS holiday, {q.r('price - p_week_mean', 4)} AS y FROM (FROM gx1 UNION ALL FROM gx2)"""
 
 
 @query("gbm_features", _gbm_sql())
 def gbm_features(spark, sf):
-    """Feature table of the pooled tree model at horizon 1 over the line panel."""
+    """Feature table of the pooled tree model at both horizons over the line panel."""
     m = shaping.hourly_matrix(p.line_days(spark, sf), H)
-    f = feat.pooled_features(m, feat.covariate_matrix(line_covariates(spark, sf), H), 1)
-    same = ["series_id", "target_date", "hour", "p_last_hour", "p_last2_hour", "p_week_hour", "price", *WEATHER_FEATURES, "p_last_min", "p_last_max", "weekday", "holiday"]
+    cov = feat.covariate_matrix(line_covariates(spark, sf), H)
+    f = functools.reduce(DataFrame.unionByName, [feat.pooled_features(m, cov, h) for h in H.horizons])
+    same = ["series_id", "horizon_days", "target_date", "hour", "p_last_hour", "p_last2_hour", "p_week_hour", "price", *WEATHER_FEATURES, "p_last_min", "p_last_max", "weekday", "holiday"]
     four = ["p_last_mean", "p_week_mean", "y"]
     six = ["wind_power_day", "solar_day", "temp_day", "wind_power_change", "solar_change"]
     return f.select(*same, *[r(c, 4).alias(c) for c in four], *[r(c).alias(c) for c in six])

@@ -22,10 +22,37 @@ def known_days(days: DataFrame, issues: DataFrame, lookback_days: int) -> DataFr
     return visible.join(issues.select("series_id", "issue_date"), ["series_id", "issue_date"], "left_semi")
 
 
-def known_observations(obs: DataFrame, issues: DataFrame, cfg: LedgerConfig) -> DataFrame:
-    """Whole history known at each issue, for a handful of issue days (a live run has one)."""
-    cut = issues.select("series_id", "issue_date", t.known_until(F.col("issue_date"), cfg.tz).alias("cutoff"))
-    return obs.join(cut, "series_id").filter(F.col("slot_utc") < F.col("cutoff")).drop("cutoff")
+def known_history(days: DataFrame, issues: DataFrame) -> DataFrame:
+    """Whole history known at each issue: number and sum of its values, the first and the last one.
+
+    Days shrink to their own totals, days to months; an issue adds the months before its own to the
+    running totals inside its month. Both windows are ordered by day or month, so no issue meets every day.
+    """
+    present = F.filter("values", lambda v: v.isNotNull())
+    own = F.struct(F.col("day").alias("at"), F.try_element_at(present, F.lit(1)).alias("v"))
+    end = F.struct(F.col("day").alias("at"), F.try_element_at(present, F.lit(-1)).alias("v"))
+    daily = days.filter("n_present > 0").select(
+        "series_id", "day", F.size(present).cast("bigint").alias("n"),
+        F.aggregate(present, F.lit(0.0), lambda x, v: x + v).alias("total"), own.alias("first"), end.alias("last"), F.lit(False).alias("asked"),
+    )
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in daily.schema if f.name in ("n", "total", "first", "last")]
+    asked = issues.select("series_id", F.col("issue_date").alias("day"), *empty, F.lit(True).alias("asked"))
+    rows = daily.unionByName(asked).withColumn("month", F.trunc("day", "month"))
+    totals = {"n": F.sum, "total": F.sum, "first": F.min, "last": F.max}
+    months = rows.groupBy("series_id", "month").agg(*[f(c).alias(c) for c, f in totals.items()])
+    earlier = Window.partitionBy("series_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    before = months.select("series_id", "month", *[f(c).over(earlier).alias(f"{c}_before") for c, f in totals.items()])
+    inside = Window.partitionBy("series_id", "month").orderBy(F.unix_date("day")).rangeBetween(Window.unboundedPreceding, 0)
+    running = rows.select("series_id", "month", "day", "asked", *[f(c).over(inside).alias(c) for c, f in totals.items()])
+    both = running.filter("asked").join(before, ["series_id", "month"])
+    return both.select(
+        "series_id",
+        F.col("day").alias("issue_date"),
+        (F.coalesce("n", F.lit(0)) + F.coalesce("n_before", F.lit(0))).alias("n_values"),
+        (F.coalesce("total", F.lit(0.0)) + F.coalesce("total_before", F.lit(0.0))).alias("total"),
+        F.coalesce("first_before", "first")["v"].alias("first_value"),
+        F.coalesce("last", "last_before")["v"].alias("last_value"),
+    )
 
 
 def known_covariates(requests: DataFrame, covariates: DataFrame, cfg: LedgerConfig) -> DataFrame:
@@ -49,14 +76,6 @@ def leaks(inputs: DataFrame, cfg: LedgerConfig) -> DataFrame:
     )
 
 
-def covariate_leaks(inputs: DataFrame, cfg: LedgerConfig) -> DataFrame:
-    cutoff = t.covariates_known_until(F.col("issue_date"), cfg)
-    bad = inputs.filter(F.col("available_at_utc") > cutoff)
-    return bad.groupBy("series_id", "issue_date").agg(
-        F.count("*").alias("n_leaked"), F.max("available_at_utc").alias("latest_leaked")
-    )
-
-
 def already_published(issues: DataFrame, fresh: DataFrame, cfg: LedgerConfig) -> DataFrame:
     """Issues that must be refused because a later day is already visible.
 
