@@ -156,9 +156,9 @@ def gap_filled(spark, sf):
     obs = hour_slots(spark, sf)
     days = o.pack_days(obs, H)
     total = obs.groupBy("slot_utc").agg(F.sum("value").alias("value"))
-    series = days.select("series_id").distinct()
-    second = o.pack_days(total.withColumn("series_id", F.lit("all")), H).drop("series_id").crossJoin(F.broadcast(series))
-    return o.fill_from_fallback(days, second, _spine(days))
+    spine = _spine(days)
+    second = o.pack_days(total.withColumn("series_id", F.lit("all")), H).drop("series_id").join(spine.select("series_id", "day"), "day")
+    return o.fill_from_fallback(days, second, spine)
 
 
 @query("gap_fill_from_fallback", q.with_(*_FALLBACK_SQL) + f"SELECT series_id, day, {q.utc_text('s')} AS slot, value, CAST(filled AS INTEGER) AS filled FROM gf")
