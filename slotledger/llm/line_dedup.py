@@ -3,8 +3,11 @@
 1. Lines become hashes. Every hash that occurs in more than one document links each later holder to the first one,
    so a line shared by thousands of documents gives thousands of links, not millions.
 2. A document whose linked lines hold fewer than ``min_words`` words in all is left alone. For each remaining pair the lines
-   that are rare enough to occur once in either document anchor a patience diff; equal neighbours extend it.
-3. Runs of consecutive lines of the later document that are aligned with earlier documents and hold ``min_words`` words or
+   that are rare enough to occur once in either document anchor a patience diff, or the longest common run where there are none;
+   equal neighbours extend it.
+3. The shortest runs of ``min_words`` words of shared lines, from every line on and up to every line, are keyed like lines: one that any
+   earlier document holds counts as aligned wherever it stands, so passages held twice or in another order are found at each place.
+4. Runs of consecutive lines of the later document that are aligned with earlier documents and hold ``min_words`` words or
    more are deleted.
 
 Lines compare equal as written (white space at either end aside); lines without a word neither link nor break a run and go
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +57,7 @@ def _patience(a: list[int], b: list[int]) -> list[int]:
             out.append(b1)
         if a0 >= a1 or b0 >= b1:
             continue
-        anchors = _increasing(_unique_common(a, a0, a1, b, b0, b1))
+        anchors = _increasing(_unique_common(a, a0, a1, b, b0, b1)) or _longest_run(a, a0, a1, b, b0, b1)
         if anchors:
             ends = [(a0, b0), *((i + 1, j + 1) for i, j in anchors)]
             starts = [*anchors, (a1, b1)]
@@ -75,6 +79,22 @@ def _unique_common(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
     return [(left[h], j) for h, j in right.items() if h and j >= 0 and left.get(h, -1) >= 0]
 
 
+def _longest_run(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
+    """(index in a, index in b) of the longest run of consecutive equal lines: anchors where no line is there once on both sides."""
+    where: dict[int, list[int]] = {}
+    for i in range(a0, a1):
+        if a[i]:
+            where.setdefault(a[i], []).append(i)
+    best, end, before = 0, (0, 0), {}
+    for j in range(b0, b1):
+        now = {i: before.get(i - 1, 0) + 1 for i in where.get(b[j], ())}
+        for i, n in now.items():
+            if n > best:
+                best, end = n, (i, j)
+        before = now
+    return [(end[0] - k, end[1] - k) for k in range(best - 1, -1, -1)]
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest run of pairs that increases in both places."""
     import bisect
@@ -97,6 +117,34 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _windows(hashes: list[int], words: list[int], common: set[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(key, first line, last line) of the shortest runs of common lines of ``min_words`` words that begin or end at each line.
+
+    Together they cover every run of so many words: a line of it with enough words behind it begins one, a line with enough before it
+    ends one, and a line with neither lies in the one that begins where the run begins.
+    """
+    import xxhash
+
+    out: set[tuple[int, int, int]] = set()
+    places = [i for i, h in enumerate(hashes) if h]
+    data = np.array([hashes[i] for i in places], dtype="<i8").tobytes()
+    total = np.concatenate([[0], np.cumsum([words[i] for i in places])])
+    start = 0  # of the current stretch of common lines, as a place
+    for end in range(len(places) + 1):
+        if end < len(places) and hashes[places[end]] in common:
+            continue
+        stretch = total[start : end + 1]
+        lo = np.arange(start, end)
+        hi = start + np.searchsorted(stretch, stretch[:-1] + min_words)  # the run is lo..hi-1
+        first = start + np.searchsorted(stretch, stretch[1:] - min_words, side="right") - 1
+        both = [*zip(lo[hi <= end], hi[hi <= end], strict=True), *zip(first[first >= start], lo[first >= start] + 1, strict=True)]
+        for x, y in both:
+            key = xxhash.xxh64_intdigest(data[8 * x : 8 * y])
+            out.add((key - 2**64 if key >= 2**63 else key, places[x], places[y - 1]))
+        start = end + 1
+    return sorted(out)
+
+
 def _runs(aligned: set[int], hashes: list[int], words: list[int], min_words: int) -> list[int]:
     """Aligned lines in runs of enough words, with the wordless lines inside such a run."""
     out: list[int] = []
@@ -138,12 +186,34 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .where(F.col("first") != F.col("last"))
         .select("h", F.col("first.__id").alias("a_id"), F.col("first.__crc").alias("a_crc"))
     )
-    links = flat.join(shared, "h").where((F.col("__id") != F.col("a_id")) | (F.col("__crc") != F.col("a_crc")))
-    pairs = links.groupBy("__id", "__crc", "a_id", "a_crc").agg(F.sum("n").alias("n"))
-    per_doc = pairs.groupBy("__id", "__crc").agg(F.collect_list(F.struct("a_id", "a_crc")).alias("firsts"), F.sum("n").alias("n"))
+    other = (F.col("__id") != F.col("a_id")) | (F.col("__crc") != F.col("a_crc"))
+    per_doc = flat.join(shared, "h").groupBy("__id", "__crc").agg(
+        F.collect_set("h").alias("common"),
+        F.collect_set(F.when(other, F.struct("a_id", "a_crc"))).alias("firsts"),
+        F.sum("n").alias("all_n"),
+        F.sum(F.when(other, F.col("n")).otherwise(0)).alias("n"),
+    )
+    per_doc = stored(per_doc.where(F.col("all_n") >= min_words).drop("all_n"), "linked")
+    once = lines.dropDuplicates(["__id", "__crc"])
+
+    def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [
+                (i, c, *x)
+                for i, c, h, n, common in zip(f["__id"], f["__crc"], f["__h"], f["__n"], f["common"], strict=True)
+                for x in _windows(list(h), list(n), set(common), min_words)
+            ]
+            yield pd.DataFrame(rows, columns=["__id", "__crc", "key", "lo", "hi"])
+
+    windows = per_doc.select("__id", "__crc", "common").join(once, ["__id", "__crc"]).mapInPandas(
+        spans, "__id bigint, __crc bigint, key bigint, lo int, hi int"
+    )
+    windows = stored(windows, "windows")
+    held = windows.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where(F.col("first") != F.col("last"))
+    held = windows.join(held.select("key", "first"), "key").where(F.struct("__id", "__crc") != F.col("first"))
+    held = held.select("__id", "__crc", F.sequence("lo", "hi").alias("at"))
     asked = per_doc.where(F.col("n") >= min_words).select("__id", "__crc", F.explode("firsts").alias("f"))
     asked = asked.select("__id", "__crc", F.col("f.a_id").alias("a_id"), F.col("f.a_crc").alias("a_crc"))
-    once = lines.dropDuplicates(["__id", "__crc"])
     early = once.select(F.col("__id").alias("a_id"), F.col("__crc").alias("a_crc"), F.col("__h").alias("a_h"))
     both = asked.join(early, ["a_id", "a_crc"]).join(once.select("__id", "__crc", F.col("__h").alias("b_h")), ["__id", "__crc"])
 
@@ -153,7 +223,7 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pd.DataFrame({"__id": f["__id"], "__crc": f["__crc"], "at": got})
 
     aligned = both.select("__id", "__crc", "a_h", "b_h").mapInPandas(align, "__id bigint, __crc bigint, at array<int>")
-    united = aligned.groupBy("__id", "__crc").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    united = aligned.union(held).groupBy("__id", "__crc").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
     @F.pandas_udf("array<int>")
     def runs(at: pd.Series, h: pd.Series, n: pd.Series) -> pd.Series:

@@ -106,6 +106,44 @@ def test_patience_keeps_the_order_of_lines():
         assert all(b[j] in it for j in got)  # a common subsequence
 
 
+def cut_words(text):
+    return {w for x in (text or "").split("\n") for w in x.split()}
+
+
+def made_lines(seed):
+    draw = random.Random(seed)
+    return lambda n: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def test_a_passage_that_is_twice_in_both_holders_goes_at_each_place(frame):
+    line = made_lines(11)
+    passage = [line(20) for _ in range(3)]
+    text = lambda *parts: "\n".join(x for p in parts for x in p)
+    rows = [(1, text([line(9)], passage, [line(9)], passage, [line(9)])), (2, text([line(9)], passage, [line(9)], passage, [line(9)])),
+            (3, text([line(9)], passage, [line(9)])), (4, text([line(9), line(9)], passage[:1], passage[1:], passage))]
+    out = {r.doc_id: (r.text, r.n_cut) for r in line_dedup.dedup_lines(frame(rows)).collect()}
+    assert out[1] == (rows[0][1], 0)
+    assert [out[i][1] for i in (2, 3, 4)] == [6, 3, 6]
+    assert not any(cut_words("\n".join(passage)) & cut_words(out[i][0]) for i in (2, 3, 4))
+
+
+def test_a_range_without_unique_lines_is_aligned():
+    assert sorted(line_dedup._patience([9, 1, 2, 3, 8, 1, 2, 3, 7], [5, 1, 2, 3, 6, 1, 2, 3, 4])) == [1, 2, 3, 5, 6, 7]
+
+
+def test_windows_cover_exactly_the_runs_of_common_lines_with_enough_words():
+    draw = random.Random(3)
+    for _ in range(300):
+        n = draw.randrange(14)
+        hashes = [draw.randrange(0, 9) for _ in range(n)]
+        words = [draw.randrange(1, 30) if h else 0 for h in hashes]
+        common = set(range(1, draw.randrange(2, 10)))
+        got = line_dedup._windows(hashes, words, common, 50)
+        covered = {i for _, lo, hi in got for i in range(lo, hi + 1) if hashes[i]}
+        assert covered == {i for i in line_dedup._runs({i for i, h in enumerate(hashes) if h in common}, hashes, words, 50) if hashes[i]}
+        assert all(sum(words[lo : hi + 1]) >= 50 for _, lo, hi in got)
+
+
 # --- sketches -----------------------------------------------------------------------------------------------------
 
 
