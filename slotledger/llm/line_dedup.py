@@ -1,7 +1,8 @@
 """Operator 3: duplicate passages, by aligning pairs of documents line by line.
 
 1. Lines become hashes. Every hash that occurs in more than one document links each later holder to the first one,
-   so a line shared by thousands of documents gives thousands of links, not millions.
+   so a line shared by thousands of documents gives thousands of links, not millions. Two adjacent lines link to the first
+   document that has both so, which may be another one.
 2. A document whose linked lines hold fewer than ``min_words`` words in all is left alone. For each remaining pair the lines
    that are rare enough to occur once in either document anchor a patience diff, or the longest common run where there are none;
    equal neighbours extend it.
@@ -43,6 +44,14 @@ def line_hashes(text: Column) -> Column:
     return F.transform(raw, lambda x: F.struct(F.when(x["n"] > 0, x["h"]).otherwise(F.lit(0).cast("bigint")).alias("h"), x["n"].alias("n")))
 
 
+def adjacent(hashes: str, common: str) -> Column:
+    """Distinct keys of two neighbouring lines that are both in ``common``; lines without a word in between do not count."""
+    h = F.filter(hashes, lambda x: x != 0)
+    pairs = F.transform(h, lambda x, i: F.struct(x.alias("x"), F.get(h, i + 1).alias("y")))
+    both = F.filter(pairs, lambda p: F.array_contains(common, p["x"]) & F.array_contains(common, p["y"]))
+    return F.array_distinct(F.transform(both, lambda p: F.xxhash64(p["x"], p["y"])))
+
+
 def _patience(a: list[int], b: list[int]) -> list[int]:
     """Indices of ``b`` that a patience diff aligns with equal lines of ``a``."""
     out: list[int] = []
@@ -212,7 +221,13 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     held = windows.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where(F.col("first") != F.col("last"))
     held = windows.join(held.select("key", "first"), "key").where(F.struct("__id", "__crc") != F.col("first"))
     held = held.select("__id", "__crc", F.sequence("lo", "hi").alias("at"))
-    asked = per_doc.where(F.col("n") >= min_words).select("__id", "__crc", F.explode("firsts").alias("f"))
+    # the first holder of a line may have it among others: two adjacent lines link to the first document that has them so
+    later = per_doc.where(F.col("n") >= min_words)
+    two = per_doc.select("__id", "__crc", "common").join(once, ["__id", "__crc"]).select("__id", "__crc", F.explode(adjacent("__h", "common")).alias("key"))
+    met = two.groupBy("key").agg(F.min(holder).alias("f"), F.max(holder).alias("last")).where(F.col("f") != F.col("last")).select("key", "f")
+    two = two.join(met, "key").where(F.struct("__id", "__crc") != F.col("f")).select("__id", "__crc", "f")
+    two = two.join(later.select("__id", "__crc"), ["__id", "__crc"])
+    asked = later.select("__id", "__crc", F.explode("firsts").alias("f")).union(two).distinct()
     asked = asked.select("__id", "__crc", F.col("f.a_id").alias("a_id"), F.col("f.a_crc").alias("a_crc"))
     early = once.select(F.col("__id").alias("a_id"), F.col("__crc").alias("a_crc"), F.col("__h").alias("a_h"))
     both = asked.join(early, ["a_id", "a_crc"]).join(once.select("__id", "__crc", F.col("__h").alias("b_h")), ["__id", "__crc"])

@@ -127,6 +127,24 @@ def test_a_passage_that_is_twice_in_both_holders_goes_at_each_place(frame):
     assert not any(cut_words("\n".join(passage)) & cut_words(out[i][0]) for i in (2, 3, 4))
 
 
+def test_passages_in_another_order_and_of_a_later_holder_go(frame):
+    line = made_lines(12)
+    p, q = ([line(20) for _ in range(3)] for _ in range(2))
+    own = lambda: [line(9)]
+    scattered = [x for y in (p[2], p[0], p[1]) for x in (y, line(9))]
+    halves = lambda: own() + p[:2] + own() + p[2:] + own()
+    text = lambda *parts: "\n".join(x for y in parts for x in y)
+    for rows, cut in (
+        ([text(p, q), text(own(), q, p, own())], [0, 6]),
+        ([text(p, own(), q), text(own(), q), text(q, own(), p)], [0, 3, 6]),
+        ([text(scattered), text(own(), p), text(own(), p, own())], [0, 0, 3]),
+        ([text(scattered), halves(), text(own(), p, own())], None),
+    ):
+        rows = [x if isinstance(x, str) else text(x) for x in rows]
+        got = {r.doc_id: r.n_cut for r in line_dedup.dedup_lines(frame(list(enumerate(rows)))).collect()}
+        assert [got[i] for i in range(len(rows))] == (cut or [0, 0, 3])
+
+
 def test_a_range_without_unique_lines_is_aligned():
     assert sorted(line_dedup._patience([9, 1, 2, 3, 8, 1, 2, 3, 7], [5, 1, 2, 3, 6, 1, 2, 3, 4])) == [1, 2, 3, 5, 6, 7]
 
