@@ -13,7 +13,7 @@ paired up: up to radius 2, all its fingerprints one bit flip away from a common
 2 bits always share such a value, and those that share one are within 2), so no link is lost; in the search by likeness the bucket is split
 by further bits, in three ways, and its members are compared with the centre of their parts. That search first compares every member of a bucket with its
 centre alone (the first in one of ``CENTRES`` seeded orders, so that a member meets several), and then only pairs that are not yet in one group: in a small bucket all of them, in a larger one those of the members outside its commonest
-group with all others (if that are more than ``COLD``, in parts of the bucket): a large group of near copies costs a few comparisons each, and none of its
+group with all others (if that are more than ``COLD``, in blocks): a large group of near copies costs a few comparisons each, and none of its
 members is left out because it differs from the centre.
 
 Defined results: null text: empty; no words: fingerprint zero, linked like any other; repeated rows share their component; an empty table gives
@@ -22,7 +22,6 @@ no rows; a null id counts as the smallest.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 import random
@@ -203,29 +202,23 @@ def wide_pairs(cold: DataFrame, roots: DataFrame) -> DataFrame:
 def wide_rest(hot: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): pairs of hot buckets that ``roots`` does not connect yet.
 
-    The members outside a bucket's commonest group meet all members of other groups. A bucket with more than ``COLD`` of them is split by
-    further bits, in ``SPLITS`` ways, and its parts are treated alike, until no part has so many.
+    The members outside a bucket's commonest group meet all members of other groups. They are dealt into blocks of about ``COLD``, and the
+    bucket's members are repeated for each block, so no pair is left out and no task holds all pairs of a bucket.
     """
-    draw = random.Random(13)
     named = hot.join(roots, F.col("fp") == F.col("node"), "left")
-    parts = named.select("fp", "fp2", "d0", F.coalesce("root", "fp").alias("root"), F.xxhash64("c", "key").alias("part"))
-    found: list[DataFrame] = []
-    while True:
-        groups = parts.groupBy("part", "root").agg(F.count(F.lit(1)).alias("n"))
-        groups = groups.groupBy("part").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-        groups = groups.select("part", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")).where("outside > 0")
-        parts = stored(parts.join(groups, "part"), "parts")
-        few = parts.where(f"outside <= {COLD}")
-        apart_yet = (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root"))
-        once = (F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
-        met = few.where("root <> main").alias("a").join(few.alias("b"), apart_yet & once & near_in_table(WIDE, WIDE_PIVOTS) & _verified())
-        found.append(met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")))
-        many = parts.where(f"outside > {COLD}")
-        if many.isEmpty():
-            return functools.reduce(DataFrame.union, found).distinct()
-        bits = [F.lit(_signed(sum(1 << b for b in draw.sample(range(64), 4)))) for _ in range(SPLITS)]
-        split = F.array(*[F.xxhash64("part", F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(bits)])
-        parts = many.select("fp", "fp2", "d0", "root", F.explode(split).alias("part"))
+    parts = named.select("fp", "fp2", "d0", F.coalesce("root", "fp").alias("root"), "c", "key")
+    groups = parts.groupBy("c", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = groups.groupBy("c", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    groups = groups.select("c", "key", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / COLD).cast("int").alias("blocks"))
+    parts = stored(parts.join(groups.where("blocks > 0"), ["c", "key"]), "parts")
+    outside = parts.where("root <> main").withColumn("block", F.pmod(F.xxhash64(F.lit(17), "fp"), F.col("blocks")).cast("int"))
+    every = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart_yet = F.col("a.root") != F.col("b.root")
+    for name in ("c", "key", "block"):
+        apart_yet = apart_yet & (F.col(f"a.{name}") == F.col(f"b.{name}"))
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
+    met = outside.alias("a").join(every.alias("b"), apart_yet & once & near_in_table(WIDE, WIDE_PIVOTS) & _verified())
+    return met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -212,6 +212,29 @@ def test_members_of_a_large_group_meet_others_than_the_smallest(frame):
     assert sum(got[i] == got[900] for i in close) >= 0.95 * len(close)  # 230 of 240 measured; 192 with COLD = 8, see the README
 
 
+@pytest.mark.parametrize("cold", [simhash.COLD, 4])
+def test_large_buckets_lose_no_pair(spark, cold, monkeypatch):
+    monkeypatch.setattr(simhash, "COLD", cold)
+    draw = random.Random(8)
+    flipped = lambda x, k: x ^ sum(1 << b for b in draw.sample(range(128), k))
+    base = draw.getrandbits(128)
+    both = sorted({flipped(base, k) for k in range(24) for _ in range(7)})
+    fps = {simhash._signed(x % 2**64): simhash._signed(x >> 64) for x in both}
+    table = simhash.pivot_table(spark.createDataFrame(list(fps.items()), "fp bigint, fp2 bigint"), simhash.WIDE_PIVOTS)
+    _, hot = simhash.wide_buckets(table, [(0, 0)])  # one bucket of all
+    group = sorted(fps)[::3]  # connected already
+    roots = spark.createDataFrame([(f, group[0]) for f in group], "node bigint, root bigint")
+    got = Counter((r.a, r.b) for r in simhash.wide_rest(hot, roots).collect())
+    bits = lambda a, b: ((a ^ b) % 2**64).bit_count()
+    want = Counter()
+    for a in fps:
+        for b in fps:
+            d = bits(a, b)
+            if a < b and not {a, b} <= set(group) and d <= simhash.WIDE and d + bits(fps[a], fps[b]) <= simhash.WIDE_BOTH:
+                want[a, b] += 1
+    assert len(fps) > 2 * simhash.COLD and got == want
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
