@@ -17,6 +17,7 @@ that holds their range of slots.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.llm import tokens
-from slotledger.llm.common import documents, stored
+from slotledger.llm.common import documents, shared_dir, stored
 
 END = 2
 STRIDE = 256
@@ -159,6 +160,49 @@ def write_shards(records: DataFrame, path: str) -> DataFrame:
     Returns the manifest: shard, first_slot, n, bytes, crc32, file.
     """
     schema = "shard int, first_slot bigint, n bigint, bytes bigint, crc32 bigint, file string"
+    return stored(records.select("shard", "slot", "record").mapInArrow(_writer(path, schema, False), schema), "manifest")
+
+
+def written(records: DataFrame, path: str, stride: int = STRIDE) -> DataFrame:
+    """Writes as ``write_shards`` does and returns shard, slot, byte_offset, doc_id, piece, length, ids_crc32 as read back from the files.
+
+    Each batch of rows is a run of records of one file or a few, read with one seek each; the shard is its files one after the other,
+    in the order of their first slots.
+    """
+    names = "shard int, slot bigint, byte_offset bigint, doc_id bigint, piece int, first_slot bigint, file string"
+    rows = records.select("shard", "slot", "byte_offset", "doc_id", "piece", "record").mapInArrow(_writer(path, names, True), names)
+    schema = "shard int, slot bigint, byte_offset bigint, doc_id bigint, piece int, length int, ids_crc32 bigint"
+    width = 4 + 2 * stride
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            slots, first, files = batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            lengths, crcs, i = [], [], 0
+            while i < len(slots):
+                k = i + 1
+                while k < len(slots) and files[k] == files[i] and slots[k] == slots[k - 1] + 1:
+                    k += 1
+                with store.open_input_file(files[i]) as f:
+                    f.seek((slots[i] - first[i]) * width)
+                    data = f.read((k - i) * width)
+                if len(data) != (k - i) * width:
+                    raise OSError(f"{files[i]} ends before slot {slots[k - 1]}")
+                for at in range(0, len(data), width):
+                    n = int.from_bytes(data[at : at + 4], "little")
+                    lengths.append(n)
+                    crcs.append(zlib.crc32(np.frombuffer(data, "<u2", n, at + 4).astype("<u4").tobytes()))
+                i = k
+            more = [pa.array(lengths, pa.int32()), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *more], names=[x.split()[0] for x in schema.split(", ")])
+
+    return stored(rows, "records").mapInArrow(read, schema)
+
+
+def _writer(path: str, schema: str, each: bool):
+    """Writes files of records; yields the manifest's rows, or (``each``) the given columns of every record with first slot and file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -167,28 +211,36 @@ def write_shards(records: DataFrame, path: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         part, done, out = None, [], None
         attempt = TaskContext.get().taskAttemptId()
+        name_of = lambda p: f"{base}/shard-{p[0]:06d}-from-{p[1]:015d}.bin"
 
         def close() -> None:
             out.close()
-            name = f"{base}/shard-{part[0]:06d}-from-{part[1]:015d}.bin"
+            name = name_of(part)
             store.move(f"{name}.{attempt}", name)
             done.append((*part, name))
 
         for batch in batches:
+            first: list[int] = []
+            files: list[str] = []
             for shard, slot, record in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "record")), strict=True):
                 if part is None or part[0] != shard:
                     if part is not None:
                         close()
                     part = [shard, slot, 0, 0, 0]
-                    out = store.open_output_stream(f"{base}/shard-{shard:06d}-from-{slot:015d}.bin.{attempt}")
+                    out = store.open_output_stream(f"{name_of(part)}.{attempt}")
                 out.write(record)
                 part[2:] = [part[2] + 1, part[3] + len(record), zlib.crc32(record, part[4])]
+                first.append(part[1])
+                files.append(name_of(part))
+            if each and files:
+                more = [pa.array(first, pa.int64()), pa.array(files, pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[f.split()[0] for f in schema.split(", ")])
         if part is not None:
             close()
-        if done:
+        if done and not each:
             yield _batch(done, schema)
 
-    return stored(records.select("shard", "slot", "record").mapInArrow(write, schema), "manifest")
+    return write
 
 
 def read_slots(manifest_row, slot: int, n: int, stride: int = STRIDE) -> list[np.ndarray]:
@@ -204,4 +256,4 @@ def read_slots(manifest_row, slot: int, n: int, stride: int = STRIDE) -> list[np
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return training_order(documents(spark, sf_dir)).drop("record")
+    return written(training_order(documents(spark, sf_dir)), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -62,6 +63,35 @@ def test_training_order_round_trip(spark, frame, small, odd, reference, tmp_path
         assert [tuple(x.tolist()) for x in back] == [ids(r) for r in got[start : f.first_slot + f.n]]
 
 
+def test_the_query_writes_shards_and_reads_its_digests_from_them(spark, sf, reference):
+    from slotledger.llm import common
+
+    before = set(Path(common.shared_dir(spark).removeprefix("file:")).glob("shards-*"))
+    got = sorted(training_order.query(spark, sf).collect(), key=lambda r: r.slot)
+    (folder,) = set(Path(common.shared_dir(spark).removeprefix("file:")).glob("shards-*")) - before
+    shards = defaultdict(bytes)
+    for f in sorted(folder.iterdir()):
+        shards[int(f.name.split("-")[1])] += f.read_bytes()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(got) == sum(-(-(len(reference(t)) + 1) // 256) for t in docs.values()) == sum(map(len, shards.values())) / 516
+    for r in got:
+        record = shards[r.shard][r.byte_offset : r.byte_offset + 516]
+        n = int.from_bytes(record[:4], "little")
+        ids = np.frombuffer(record[4 : 4 + 2 * n], "<u2")
+        assert n == r.length and zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32 and not any(record[4 + 2 * n :])
+        assert ids.tolist() == [*reference(docs[r.doc_id]), 2][r.piece * 256 :][:256]
+
+
+def test_written_records_are_those_of_the_files(spark, frame, small, tmp_path):
+    records = training_order.training_order(frame(small), shard_sequences=100)
+    rows = training_order.written(records, f"file://{tmp_path}/shards")
+    assert rows.orderBy("slot").collect() == records.drop("record").orderBy("slot").collect()
+    at = sorted((tmp_path / "shards").iterdir())[0]
+    at.write_bytes(b"\1\0\0\0" + b"\7" * 512 + at.read_bytes()[516:])
+    changed = rows.orderBy("slot").first()
+    assert changed.length == 1 and changed.ids_crc32 == zlib.crc32(np.array([0x0707], "<u4").tobytes())
+
+
 def test_training_order_of_an_empty_table(frame):
     assert training_order.training_order(frame([])).count() == 0
 
