@@ -11,8 +11,8 @@ Defined results: a null or empty text is one sequence with the end id alone; rep
 an empty table gives no sequences and no shards.
 
 Scale: texts are encoded once and kept as a compressed table in the shared folder (it, the key and the number of sequences fix the
-order; runs that resume use the same table); numbering needs one count per writing task; one shuffle moves compressed ids to the task
-that holds their range of slots.
+order; runs that resume use the same table); numbering needs one count per writing task; one shuffle moves ids, in compressed bundles, to
+the task that holds their range of slots. The query writes the shards below the shared folder and takes its lengths and checksums from them.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def encoded(docs: DataFrame, stride: int = STRIDE, vocabulary: str | None = None
                 data = np.append(tokens.ids_of(text.as_py(), path), np.uint32(END)).astype("<u2")
                 for p in range(-(-len(data) // stride)):
                     part = data[p * stride : (p + 1) * stride]
-                    rows.append((doc_id, block, seq, p, len(part), zlib.compress(part.tobytes(), 1)))
+                    rows.append((doc_id, block, seq, p, len(part), part.tobytes()))
                     seq += 1
                 if len(rows) >= 4096:
                     yield _batch(rows, schema)
@@ -129,10 +129,35 @@ def training_order(docs: DataFrame, stride: int = STRIDE, key: int = KEY, shard_
     Each task holds a range of slots, sorted.
     """
     rows, n = slotted(encoded(docs, stride, vocabulary), key)
-    rows = rows.select("doc_id", "piece", "length", "slot", "__ids", F.expr(f"slot div {shard_sequences}").cast("int").alias("shard"))
+    names = "doc_id bigint, piece int, length int, slot bigint, __ids binary"
+    rows = rows.select(*[x.split()[0] for x in names.split(", ")])
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     per_task = max(1, -(-n // parts))  # slots are dense: equal ranges without sampling
-    ordered = rows.repartitionById(parts, F.expr(f"cast(slot div {per_task} as int)")).sortWithinPartitions("slot")
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            task = batch.column(3).to_numpy() // per_task
+            by_task = np.argsort(task, kind="stable")
+            batch, task = batch.take(pa.array(by_task)), task[by_task]
+            out = []
+            for lo, hi in zip(*(lambda x: (x[:-1], x[1:]))([*np.flatnonzero(np.diff(task, prepend=-1)), len(task)]), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
+                    w.write_batch(batch.slice(lo, hi - lo))
+                out.append((int(task[lo]), sink.getvalue().to_pybytes()))
+            if out:
+                yield _batch(out, "task int, rows binary")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    # ids of one task travel in compressed bundles: a few hundred sequences together take less than each alone
+    dealt = rows.mapInArrow(bundled, "task int, rows binary").repartitionById(parts, "task")
+    ordered = dealt.mapInArrow(opened, names).sortWithinPartitions("slot")
+    ordered = ordered.withColumn("shard", F.expr(f"slot div {shard_sequences}").cast("int"))
     schema = "shard int, slot bigint, byte_offset bigint, doc_id bigint, piece int, length int, ids_crc32 bigint, record binary"
     width = 4 + 2 * stride
 
@@ -140,7 +165,7 @@ def training_order(docs: DataFrame, stride: int = STRIDE, key: int = KEY, shard_
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                ids = zlib.decompress(r["__ids"])
+                ids = r["__ids"]
                 record = (r["length"].to_bytes(4, "little") + ids).ljust(width, b"\0")
                 at = (r["slot"] - r["shard"] * shard_sequences) * width
                 crc = zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
