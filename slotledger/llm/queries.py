@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from slotledger.llm import (
-    fingerprints, licenses, line_dedup, mixing, packing, quality, secrets, sharding, simhash, training_order,
+    fingerprints, licenses, line_dedup, mixing, packing, quality, secrets, sharding, simhash, training_order, whitening,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_packing": packing.query,
     "op10_secret_scan": secrets.query,
+    "op11_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
 
