@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from slotledger.llm import (
-    fingerprints, licenses, line_dedup, mixing, packing, quality, secrets, sharding, simhash, training_order, whitening,
+    fingerprints, licenses, line_dedup, mixing, packing, quality, ranked, secrets, sharding, simhash, training_order, whitening,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_secret_scan": secrets.query,
     "op11_whitening": whitening.query,
+    "op12_ranked_search": ranked.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +27,5 @@ SQL = {
     "op1_stratified_shards": sharding.ORACLE_SQL,
     "op5_license_scan": licenses.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op12_ranked_search": ranked.ORACLE_SQL,
 }
