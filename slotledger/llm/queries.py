@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from slotledger.llm import (
-    fingerprints, licenses, line_dedup, mixing, packing, quality, ranked, secrets, sharding, simhash, training_order, whitening,
+    fingerprints, licenses, line_dedup, mixing, packing, quality, ranked, secrets, sharding, simhash, suffix_index, training_order, whitening,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_secret_scan": secrets.query,
     "op11_whitening": whitening.query,
     "op12_ranked_search": ranked.query,
+    "op13_suffix_dedup": suffix_index.query,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -19,7 +19,7 @@ spec.loader.exec_module(check)
 def test_every_operator_has_one_query():
     names = set(queries.QUERIES)
     assert names <= set(entry.queries()) and set(queries.SQL) <= names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names - {"pipeline"}) == list(range(1, 13))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names - {"pipeline"}) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -39,6 +39,7 @@ def test_query_returns_its_columns(spark, sf, name):
         "op6": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept distance", "op8": "doc_id fingerprint component_id",
         "op9": "doc_id piece start length ids_crc32 sequence_id offset", "op10": "doc_id n_assign n_access n_hex base_sha256 spans",
         "op11": "vec_id component n deviation whitened explained identity_error",
+        "op13": "doc_id n_bytes n_removed n_spans kept_sha256",
         "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
     }
     got = entry.queries()[name](spark, sf)
