@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig, ModelSpec
 from slotledger.functions.arrays import array_mean, field_of
+from slotledger.models.refits import anchors_between, issue_span, side_by_side
 from slotledger.operators import shaping
 from slotledger.session import materialize
 
@@ -82,25 +83,39 @@ def best_fit(train: DataFrame, penalties: Sequence[float] = PENALTIES):
     return best
 
 
+def window_values(rows: DataFrame, ask: DataFrame, anchor: date, window: int, penalties: Sequence[float]) -> DataFrame | None:
+    """Forecasts of the asked hours by the fit of one window; none where no series has enough of its days."""
+    train = training_rows(rows, anchor, window)
+    scale = materialize(window_scale(train))
+    fitted = materialize(scaled(train, scale).select("features", "label"))
+    if fitted.isEmpty():
+        return None
+    predicted = best_fit(fitted, penalties).transform(scaled(ask, scale))
+    value = F.sinh("prediction") * F.col("scale") + F.col("center")
+    return predicted.select(*HOUR_KEYS, value.alias("value"))
+
+
 def lasso_hourly(
-    matrix: DataFrame, asked: DataFrame, cfg: LedgerConfig, anchor: date, windows: Sequence[int] = WINDOWS,
+    matrix: DataFrame, asked: DataFrame, cfg: LedgerConfig, anchors: Sequence[date], every: int | None = None, windows: Sequence[int] = WINDOWS,
     penalties: Sequence[float] = PENALTIES,
 ) -> DataFrame:
-    """Hourly forecasts of the asked ``(series_id, target_date)`` issued on the anchor day or later."""
-    parts = []
-    for h in cfg.horizons:
-        rows = materialize(hourly_design(matrix, h))
-        ask = rows.join(asked.select("series_id", "target_date").distinct(), ["series_id", "target_date"], "left_semi")
-        ask = ask.filter(F.date_sub("target_date", h) >= F.lit(anchor))
-        for window in windows:
-            train = training_rows(rows, anchor, window)
-            scale = materialize(window_scale(train))
-            fitted = materialize(scaled(train, scale).select("features", "label"))
-            if fitted.isEmpty():
-                continue
-            predicted = best_fit(fitted, penalties).transform(scaled(ask, scale))
-            value = F.sinh("prediction") * F.col("scale") + F.col("center")
-            parts.append(predicted.select(*HOUR_KEYS, value.alias("value")))
+    """Hourly forecasts of the asked ``(series_id, target_date)``: each anchor serves the issues from its day on, for ``every`` days if given.
+
+    Fits of different anchors, horizons and windows are independent jobs and run side by side.
+    """
+    targets = materialize(asked.select("series_id", "target_date").distinct())
+    designs = dict(zip(cfg.horizons, side_by_side(lambda h: materialize(hourly_design(matrix, h)), [(h,) for h in cfg.horizons]), strict=True))
+
+    def values(h: int, anchor: date, window: int) -> DataFrame | None:
+        issue = F.date_sub("target_date", h)
+        served = issue >= F.lit(anchor)
+        if every is not None:
+            served = served & (issue < F.date_add(F.lit(anchor), every))
+        ask = designs[h].join(targets, ["series_id", "target_date"], "left_semi").filter(served)
+        return window_values(designs[h], ask, anchor, window, penalties)
+
+    jobs = [(h, anchor, window) for h in cfg.horizons for anchor in anchors for window in windows]
+    parts = [p for p in side_by_side(values, jobs) if p is not None]
     if not parts:  # no window has enough training days: no forecast
         empty = "series_id string, horizon_days int, target_date date, issue_date date, hourly array<double>"
         return matrix.sparkSession.createDataFrame([], empty)
@@ -111,12 +126,28 @@ def lasso_hourly(
     )
 
 
+def lasso_replay(
+    days: DataFrame, asked: DataFrame, cfg: LedgerConfig, every: int = REFIT_DAYS, windows: Sequence[int] = WINDOWS,
+    penalties: Sequence[float] = PENALTIES, spec: ModelSpec = LASSO_SPEC,
+) -> DataFrame:
+    """Point vectors of all asked targets, each by the fit of the newest anchor at or before its issue."""
+    issues = asked.select(F.explode(F.array(*[F.date_sub("target_date", h) for h in cfg.horizons])).alias("issue_date"))
+    span = issue_span(issues)
+    anchors = anchors_between(*span, every) if span else []
+    return laid_out(lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, anchors, every, windows, penalties), days, cfg, spec)
+
+
 def lasso_points(
     days: DataFrame, asked: DataFrame, cfg: LedgerConfig, anchor: date, windows: Sequence[int] = WINDOWS,
     penalties: Sequence[float] = PENALTIES, spec: ModelSpec = LASSO_SPEC,
 ) -> DataFrame:
-    """Point vectors in the layout every band operator takes."""
-    hourly = materialize(lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, anchor, windows, penalties))
+    """Point vectors of one anchor's fit, in the layout every band operator takes."""
+    return laid_out(lasso_hourly(shaping.hourly_matrix(days, cfg), asked, cfg, [anchor], None, windows, penalties), days, cfg, spec)
+
+
+def laid_out(hourly: DataFrame, days: DataFrame, cfg: LedgerConfig, spec: ModelSpec) -> DataFrame:
+    """Slots of hourly forecasts."""
+    hourly = materialize(hourly)
     issues = hourly.select("series_id", "issue_date").distinct()
     shapes = shaping.shape_vectors(shaping.intra_hour_shape(days, cfg, issues), cfg)
     laid = shaping.to_slots(hourly, shapes, cfg)

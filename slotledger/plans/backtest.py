@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.config import NAIVE_SPECS, LedgerConfig, ModelSpec
+from slotledger.models import boosting, lasso
 from slotledger.models.naive import naive_points
 from slotledger.operators import bands, scoring, windows
-from slotledger.session import spread
+from slotledger.session import materialize, spread
 
 
 def targets_of(days: DataFrame, cfg: LedgerConfig) -> DataFrame:
@@ -50,6 +51,27 @@ def naive_backtest(days: DataFrame, cfg: LedgerConfig, specs: Sequence[ModelSpec
     return scoring.score_vectors(due, naive_bands(days, cfg, specs), days, cfg)
 
 
+def learned_bands(
+    days: DataFrame, covariates: DataFrame, cfg: LedgerConfig, every: int = lasso.REFIT_DAYS, size: boosting.BoostingSize = boosting.BoostingSize(),
+    specs: tuple[ModelSpec, ModelSpec] = (lasso.LASSO_SPEC, boosting.BOOST_SPEC), windows: Sequence[int] = lasso.WINDOWS,
+) -> DataFrame:
+    """Banded vectors of the two learned models for every target of the panel, refit on the anchor grid as a live run would be."""
+    asked = materialize(targets_of(days, cfg))
+    linear, boosted = specs
+    points = materialize(lasso.lasso_replay(days, asked, cfg, every, windows, spec=linear))
+    native = materialize(boosting.boosted_points(days, covariates, asked, cfg, every, size, boosted))
+    banded = bands.empirical_bands(points, days, cfg, [linear.error_days])
+    calibrated = bands.conformal_bands(native, days, cfg, [boosted.error_days])
+    return banded.unionByName(calibrated.select(*banded.columns))
+
+
+def full_backtest(days: DataFrame, learned: DataFrame, cfg: LedgerConfig, naive: Sequence[ModelSpec], learned_specs: Sequence[ModelSpec]) -> DataFrame:
+    """Score rows of the rules and the learned models over every observed day; what a model could not forecast stays as missed."""
+    due = backtest_due(days, cfg, [*naive, *learned_specs])
+    banded = naive_bands(days, cfg, naive)
+    return scoring.score_vectors(due, banded.unionByName(learned.select(*banded.columns)), days, cfg)
+
+
 def labelled_summary(cube: DataFrame, scores: DataFrame, kind: str) -> DataFrame:
     """Metrics with their kind and period, kept apart from rows of another kind."""
     period = scores.groupBy("series_id").agg(

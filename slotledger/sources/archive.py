@@ -1,17 +1,15 @@
-"""Month-partitioned archives that are rewritten only where their content changed."""
+"""What a delivery changes in a month archive, and the merge of covariates (storage: ``versions``)."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig
 from slotledger.functions import timecols as t
 from slotledger.operators.observations import latest_wins
-from slotledger.session import materialize
 from slotledger.sources.feeds import WEATHER_FEATURES
 
 
@@ -28,42 +26,6 @@ def changed_months(old: DataFrame, fresh: DataFrame, keys: Sequence[str], values
     return differs.groupBy("month").agg(F.count("*").alias("changed_rows"))
 
 
-def upsert_months(
-    spark: SparkSession, path: str, fresh: DataFrame, keys: Sequence[str], values: Sequence[str], exists: bool
-) -> DataFrame:
-    """Merge ``fresh`` (with ``month``) into the archive and return the changed months.
-
-    Where rows carry ``ingested_at`` the latest one wins, archived or fresh, and the delivery only decides ties; otherwise
-    fresh rows win. Copies within a delivery are resolved by the same order before anything is written. A month counts as changed if a
-    value does; a redelivery of known values rewrites nothing. Only touched months are read back, only changed ones written. The merged
-    months go to a staging folder of their own run first, because a job cannot overwrite partitions it is still reading.
-    """
-    columns = [*keys, *values, "month"]
-    order = [c for c in ("ingested_at",) if c in columns]
-    compared = [c for c in values if c not in order]
-    fresh = latest_wins(fresh.select(*columns), list(keys), [*order, *compared])
-    if not exists:
-        fresh.repartition("month").write.partitionBy("month").parquet(path)
-        return fresh.groupBy("month").agg(F.count("*").alias("changed_rows"))
-    old = spark.read.parquet(path).select(*columns)
-    touched = old.join(fresh.select("month").distinct(), "month", "left_semi")
-    # fixed before the write: afterwards the same comparison would find no change
-    both = touched.withColumn("rank", F.lit(0)).unionByName(fresh.withColumn("rank", F.lit(1)))
-    merged = latest_wins(both, list(keys), [*order, "rank"]).drop("rank")
-    changed = materialize(changed_months(touched, merged, keys, compared))
-    staging = f"{path.rstrip('/')}_staging-{uuid.uuid4().hex}"
-    merged.join(changed.select("month"), "month", "left_semi").write.parquet(staging)
-    (
-        spark.read.parquet(staging)
-        .repartition("month")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
-    return changed
-
-
 def normalize_covariates(df: DataFrame) -> DataFrame:
     """Feature values as archived: three decimals, halves to even."""
     rounded = [F.bround(F.col(f).cast("double"), 3).alias(f) for f in WEATHER_FEATURES]

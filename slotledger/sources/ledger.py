@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from slotledger.config import LedgerConfig
 from slotledger.functions import timecols as t
 from slotledger.models.requests import model_key
+from slotledger.session import materialize
+from slotledger.sources import commits
 
 MODEL_KEYS = ["series_id", "issue_date", "model", "model_version"]
+KEY_SCHEMA = "series_id string, issue_date date, model string, model_version string"
 
 WINDOW_SCHEMA = (
     "struct<start_utc: string, end_utc: string, start_local: string, end_local: string, "
@@ -39,13 +42,32 @@ def todo(due: DataFrame, existing: DataFrame) -> DataFrame:
     return due.join(existing.select(*MODEL_KEYS).distinct(), MODEL_KEYS, "left_anti")
 
 
-def append_once(spark: SparkSession, path: str, forecasts: DataFrame, exists: bool) -> None:
-    """Append only rows of (series, issue, model) the ledger does not hold yet."""
-    rows = forecasts
-    if exists:
-        known = spark.read.parquet(path).select(*MODEL_KEYS).distinct()
-        rows = forecasts.join(known, MODEL_KEYS, "left_anti")
-    rows.repartition("issue_date").write.mode("append").partitionBy("issue_date").parquet(path)
+def issue_once(forecasts: DataFrame, path: str) -> str:
+    """Add a run of forecasts to a write-once ledger; the name of the run.
+
+    (series, issue, model) that the ledger holds are left out before anything is written. Two writers may still commit the same key at a
+    time; the ledger then holds the rows of the commit that came first, all of them and no others, for every reader.
+    """
+    spark = forecasts.sparkSession
+    run = commits.new_run()
+    fresh = materialize(forecasts.join(held_runs(spark, path).select(*MODEL_KEYS), MODEL_KEYS, "left_anti"))
+    keys = fresh.select(*MODEL_KEYS).distinct()
+    if not keys.isEmpty():
+        commits.write_run(fresh.repartition("issue_date"), path, run, ["issue_date"])
+        commits.commit(keys, path, run)
+    return run
+
+
+def held_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(series, issue, model, run): the run whose rows count, the first that was committed for the key."""
+    found = commits.read_commits(spark, path, KEY_SCHEMA)
+    return found.groupBy(*MODEL_KEYS).agg(F.min(F.struct(*commits.SEQUENCE)).alias("c")).select(*MODEL_KEYS, "c.run")
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The forecasts of a write-once ledger; ``schema`` names the stored columns."""
+    rows = commits.read_runs(spark, path, schema)
+    return rows.join(held_runs(spark, path), [*MODEL_KEYS, "run"], "left_semi").drop("run")
 
 
 def window_record(cfg: LedgerConfig) -> Column:

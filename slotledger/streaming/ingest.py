@@ -12,10 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from slotledger.config import LedgerConfig
 from slotledger.operators.observations import latest_wins
-from slotledger.sources.archive import local_month, upsert_months
+from slotledger.sources.archive import local_month
 from slotledger.sources.feeds import parse_price_chunks
+from slotledger.sources.versions import MonthArchive
 
 LANDED_SCHEMA = "series_id string, payload string, ingested_at timestamp"
+ARCHIVE_SCHEMA = "series_id string, slot_utc timestamp, value double, ingested_at timestamp, month string"
+
+
+def price_archive(spark: SparkSession, path: str) -> MonthArchive:
+    return MonthArchive(spark, path, ARCHIVE_SCHEMA, ["series_id", "slot_utc"], ["value", "ingested_at"])
 
 
 def merge_batch(archive_path: str, cfg: LedgerConfig):
@@ -24,11 +30,7 @@ def merge_batch(archive_path: str, cfg: LedgerConfig):
         fresh = latest_wins(batch, ["series_id", "slot_utc"], ["ingested_at", "value"]).withColumn(
             "month", local_month(F.col("slot_utc"), cfg)
         )
-        if fresh.isEmpty():
-            return
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(archive_path)
-        exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        upsert_months(spark, archive_path, fresh, ["series_id", "slot_utc"], ["value", "ingested_at"], exists)
+        price_archive(spark, archive_path).upsert(fresh)
 
     return merge
 

@@ -19,7 +19,7 @@ from slotledger.models.naive import source_day
 from slotledger.operators import asof, bands, integrity, observations, shaping, windows
 from slotledger.plans import backtest, evaluate, issue
 from slotledger.sources import archive, feeds, ledger
-from slotledger.streaming.ingest import stream_chunks
+from slotledger.streaming.ingest import price_archive, stream_chunks
 
 CFG = LedgerConfig()
 SHORT = tuple(replace(s, error_days=6, min_error_days=4) for s in NAIVE_SPECS)
@@ -268,33 +268,6 @@ def test_lasso_recovers_a_sparse_rule_and_reads_nothing_after_the_anchor(spark):
 # ---------------------------------------------------------------- sources and integrity
 
 
-def test_archive_rewrites_only_changed_months(spark):
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/archive"
-    obs = synthetic_obs(spark, "2026-04-20", "2026-06-10").withColumn("month", archive.local_month(F.col("slot_utc"), CFG))
-    keys, values = ["series_id", "slot_utc"], ["value"]
-    first = archive.upsert_months(spark, path, obs, keys, values, exists=False)
-    assert {r["month"] for r in first.collect()} == {"2026-04", "2026-05", "2026-06"}
-    again = obs.filter("month >= '2026-05'").withColumn("value", F.when(F.col("month") == "2026-06", F.col("value") + 1).otherwise(F.col("value")))
-    changed = archive.upsert_months(spark, path, again, keys, values, exists=True)
-    assert {r["month"] for r in changed.collect()} == {"2026-06"}
-    stored = spark.read.parquet(path)
-    assert stored.count() == obs.count()
-    assert stored.filter("month = '2026-06'").agg(F.sum("value")).first()[0] == pytest.approx(again.filter("month = '2026-06'").agg(F.sum("value")).first()[0])
-
-
-def test_late_deliveries_copies_and_redeliveries(spark):
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/archive"
-    kind = "series_id string, slot int, value double, ingested_at timestamp, month string"
-    rows = lambda *x: spark.createDataFrame([("s", k, v, datetime(2026, 1, d), "2026-01") for k, v, d in x], kind)
-    put = lambda df, exists: {r["month"] for r in archive.upsert_months(spark, path, df, ["series_id", "slot"], ["value", "ingested_at"], exists).collect()}
-    held = lambda: {r["slot"]: r["value"] for r in spark.read.parquet(path).collect()}
-    put(rows((1, 10.0, 1), (1, 12.5, 2), (2, 5.0, 1)), False)  # a delivery with copies
-    assert held() == {1: 12.5, 2: 5.0} and spark.read.parquet(path).count() == 2
-    assert put(rows((1, 11.0, 1)), True) == set() and held()[1] == 12.5  # lands late
-    assert put(rows((2, 5.0, 9)), True) == set()  # the same value once more
-    assert put(rows((2, 6.0, 10)), True) == {"2026-01"} and held() == {1: 12.5, 2: 6.0}
-
-
 def test_audit_finds_every_kind_of_violation(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     import hashlib
@@ -330,15 +303,6 @@ def test_audit_finds_every_kind_of_violation(spark):
     assert {(r["path"].rsplit("/", 1)[1], r["change"]) for r in diff.collect()} == {("good.parquet", "M"), ("late.parquet", "D")}
 
 
-def test_write_once_append(spark):
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/fc"
-    rows = spark.createDataFrame([("s", date(2026, 5, 1), "m", "1", 1.0)], "series_id string, issue_date date, model string, model_version string, q50 double")
-    ledger.append_once(spark, path, rows, exists=False)
-    more = rows.withColumn("q50", F.lit(9.0)).unionByName(rows.withColumn("model", F.lit("n")))
-    ledger.append_once(spark, path, more, exists=True)
-    assert {(r["model"], r["q50"]) for r in spark.read.parquet(path).collect()} == {("m", 1.0), ("n", 1.0)}
-
-
 def test_stream_merges_revisions(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     landing = root + "/landing"
@@ -346,7 +310,7 @@ def test_stream_merges_revisions(spark):
     for value, at in ((10.0, "2026-01-01T00:00:00Z"), (12.5, "2026-01-02T00:00:00Z")):
         chunk(value, at).coalesce(1).write.mode("append").json(landing)
         stream_chunks(spark, landing, root + "/archive", root + "/ckpt", CFG).awaitTermination(120)
-    assert [(r["value"], r["month"]) for r in spark.read.parquet(root + "/archive").collect()] == [(12.5, "2026-01")]
+    assert [(r["value"], r["month"]) for r in price_archive(spark, root + "/archive").read().collect()] == [(12.5, "2026-01")]
 
 
 def test_weather_aggregate_skips_missing_points(spark):
