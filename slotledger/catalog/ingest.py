@@ -19,7 +19,10 @@ from slotledger.models.requests import forecast_requests
 from slotledger.operators import bands, summary
 from slotledger.operators import observations as o
 from slotledger.plans import backtest as bt
-from slotledger.sources import archive, exports, feeds, ledger
+from slotledger.session import materialize, shared_folder
+from slotledger.sources import archive, commits, exports, feeds, ledger
+from slotledger.sources.commits import stored_schema
+from slotledger.sources.versions import MonthArchive
 
 H, Q = p.HOURLY, p.QUARTER
 WEEK_MS = 7 * 86400 * 1000
@@ -104,14 +107,20 @@ def latest_wins_merge(spark, sf):
         f"""fresh AS (SELECT *, CASE WHEN month >= '2000-01' AND v > 90000 THEN v + 1 ELSE v END AS nv FROM m WHERE month >= '1999-06')""",
         "old AS (SELECT * FROM m WHERE month < '2001-01')",
     )
-    + """SELECT f.month, count(*) AS changed_rows FROM fresh f LEFT JOIN old o USING (series_id, s) WHERE o.v IS NULL OR o.v <> f.nv GROUP BY 1""",
+    + """SELECT month, count(*) FILTER (WHERE nv IS NOT NULL AND ov IS DISTINCT FROM nv) AS changed_rows, count(*) AS n_rows, sum(coalesce(nv, ov)) AS total
+FROM (SELECT coalesce(f.month, o.month) AS month, f.nv, o.v AS ov FROM fresh f FULL JOIN old o ON o.series_id = f.series_id AND o.s = f.s) GROUP BY 1""",
 )
 def monthly_archive_upsert(spark, sf):
-    """Months a fresh delivery changes: unchanged ones of 1999 are left alone."""
-    obs = p.line_slots(spark, sf).withColumn("month", archive.local_month(F.col("slot_utc"), H))
+    """An archive written, a run that dies before its commit, a delivery merged, and every month as read back with the rows it changed."""
+    obs = materialize(p.line_slots(spark, sf).withColumn("month", archive.local_month(F.col("slot_utc"), H)))
     revised = F.when((F.col("month") >= "2000-01") & (F.col("value") > 90000), F.col("value") + 1).otherwise(F.col("value"))
     fresh = obs.filter(F.col("month") >= "1999-06").withColumn("value", revised)
-    return archive.changed_months(obs.filter(F.col("month") < "2001-01"), fresh, ["series_id", "slot_utc"], ["value"])
+    kept = MonthArchive(spark, shared_folder(spark, "archive"), "series_id string, slot_utc timestamp, value double, month string", ["series_id", "slot_utc"], ["value"])
+    kept.upsert(obs.filter(F.col("month") < "2001-01"))
+    commits.write_run(fresh.withColumn("value", F.col("value") + 1000), kept.path, commits.new_run(), ["month"])
+    changed = kept.upsert(fresh)
+    held = kept.read().groupBy("month").agg(F.count("*").alias("n_rows"), F.sum("value").alias("total"))
+    return held.join(changed, "month", "left").select("month", F.coalesce("changed_rows", F.lit(0)).alias("changed_rows"), "n_rows", "total")
 
 
 _RAW60 = q.panel("ev60", fill=False)
@@ -237,11 +246,15 @@ def aggregate_weather(spark, sf):
     + f"""SELECT {q.utc_text('s')} AS valid_utc, lead_days, {q.re_('temp', 3)} AS temp, {q.re_('wind_speed', 3)} AS wind_speed FROM mg""",
 )
 def covariate_merge(spark, sf):
-    """A second delivery from mid-month on with revised temperatures; the newer row wins."""
-    old = event_weather(spark, sf)
+    """A second delivery from mid-month on with revised temperatures, merged into the month archive and read back; the newer row wins."""
+    first = archive.normalize_covariates(event_weather(spark, sf)).withColumn("month", archive.local_month(F.col("valid_utc"), H))
+    old = materialize(first)
     new = old.filter(F.unix_seconds("valid_utc") >= 1705276800).withColumn("temp", F.col("temp") + 1)
-    m = archive.covariate_merge(old, new)
-    return m.select(utc("valid_utc").alias("valid_utc"), "lead_days", "temp", "wind_speed")
+    schema = "series_id string, valid_utc timestamp, lead_days int, wind_power double, wind_speed double, solar double, temp double, available_at_utc timestamp, month string"
+    kept = MonthArchive(spark, shared_folder(spark, "covariates"), schema, ["series_id", "valid_utc", "lead_days"], [*feeds.WEATHER_FEATURES, "available_at_utc"])
+    kept.upsert(old)
+    kept.upsert(new)
+    return kept.read().select(utc("valid_utc").alias("valid_utc"), "lead_days", "temp", "wind_speed")
 
 
 @query(
@@ -263,6 +276,24 @@ def write_once_forecasts(spark, sf):
     return ledger.todo(due, naive_points(days, targets, Q, BACKTEST_SPECS)).drop("model_version")
 
 
+@query(
+    "write_once_ledger",
+    q.with_(*q.ev_base())
+    + f"""SELECT series_id, issue_date, model, h AS horizon_days, target_date, {q.utc_text('s')} AS slot,
+  CASE WHEN issue_date < DATE '2024-01-20' THEN {q.r('q50', 3)} ELSE {q.r('q50 + 1000', 3)} END AS q50 FROM fc""",
+)
+def write_once_ledger(spark, sf):
+    """Forecasts issued up to a day, then all issues once more with other values and a run that dies: what was issued first stays."""
+    rows = materialize(bands.forecast_rows(ev_bands(spark, sf), Q))
+    path = shared_folder(spark, "ledger")
+    later = rows.withColumn("q50", F.col("q50") + 1000)
+    ledger.issue_once(rows.filter(F.col("issue_date") < "2024-01-20"), path)
+    commits.write_run(later, path, commits.new_run(), ["issue_date"])
+    ledger.issue_once(later, path)
+    held = ledger.read_ledger(spark, path, stored_schema(rows))
+    return held.select("series_id", "issue_date", "model", "horizon_days", "target_date", utc("slot_utc").alias("slot"), r("q50", 3).alias("q50"))
+
+
 def ev_manifests(spark, sf):
     """Manifests of the event panel as JSON text, issued at the first event of the window."""
     issued = rep.ev_issued(spark, sf).select("series_id", "issue_date", "issued_at_utc", F.lit(192).cast("bigint").alias("n_rows"))

@@ -105,7 +105,7 @@ def learned_significance(spark, sf):
 def learned_window_summary(spark, sf):
     """Cheapest windows of all five models: recommended from their past errors, judged by the actual values."""
     days = line_days(spark, sf)
-    errors = bt.naive_errors(days, H, NAIVE_SPECS)
+    errors = bt.naive_errors(days, H, NAIVE_SPECS).drop("source_day", "live_since", "retired_after")
     for points in (lasso_points(spark, sf), boosted_points(spark, sf)):
         errors = errors.unionByName(bands.with_errors(points, days, H).select(*errors.columns))
     curves = windows.scenario_curves(errors, H, sorted({s.error_days for s in ALL_SPECS}))

@@ -35,13 +35,15 @@ MISSING = -1.0e6
 #: Days that one fit serves.
 REFIT_DAYS = 364
 ACCURACY = 10_000
+#: Training rows of a task; a stage is many short jobs, which more and smaller tasks only slow down.
+TASK_ROWS = 200_000
 KEYS = ("series_id", "horizon_days", "issue_date", "target_date")
 
 
 @dataclass(frozen=True)
 class BoostingSize:
-    stages: int = 20
-    rate: float = 0.25
+    stages: int = 12
+    rate: float = 0.35
     depth: int = 5
     min_leaf: int = 40
 
@@ -56,7 +58,7 @@ class Boosted:
     def predict(self, rows: DataFrame) -> DataFrame:
         out = with_states(rows, self.start)
         for tree, moves in self.stages:
-            out = moved(tree.transform(out), moves).drop("leaf", "gradient")
+            out = moved(tree.transform(out), moves).drop("leaf", "direction")
         return out
 
 
@@ -85,26 +87,22 @@ def residual_quantiles() -> list[Column]:
 
 
 def fit(train: DataFrame, size: BoostingSize = BoostingSize(), seed: int = 0) -> Boosted:
-    """``train``: rows with the feature columns and ``y``. State rows are kept between stages; an executor's loss recomputes its own."""
-    zero = with_states(vectors(train).select("features", "y"), (0.0, 0.0, 0.0))
+    """``train``: rows with the feature columns and ``y``."""
+    zero = materialize(with_states(vectors(train).select("features", "y"), (0.0, 0.0, 0.0)))
     start = tuple(float(v) for v in zero.agg(*residual_quantiles()).first())
-    state = with_states(zero.drop(*STATES), start).persist()
+    state = with_states(zero.drop(*STATES), start)
     learner = DecisionTreeRegressor(
         featuresCol="features", labelCol="gradient", predictionCol="direction", leafCol="leaf", maxDepth=size.depth, minInstancesPerNode=size.min_leaf, seed=seed,
     )
     stages = []
     for _ in range(size.stages):
         tree = learner.fit(state.withColumn("gradient", gradient()))
-        leaves = tree.transform(state).drop("direction")
+        leaves = materialize(tree.transform(state).drop("direction"))  # cuts the plan, which would grow by every stage
         found = {int(r["leaf"]): r for r in leaves.groupBy("leaf").agg(*residual_quantiles()).collect()}
         n_leaves = (tree.numNodes + 1) // 2
         moves = tuple(tuple(size.rate * float(found[i][s]) if i in found else 0.0 for s in STATES) for i in range(n_leaves))
         stages.append((tree, moves))
-        following = moved(leaves, moves).select("features", "y", *STATES).persist()
-        following.count()
-        state.unpersist()
-        state = following
-    state.unpersist()
+        state = moved(leaves, moves).select("features", "y", *STATES)
     return Boosted(start, tuple(stages))
 
 
@@ -134,9 +132,10 @@ def raw_hourly(table: DataFrame, anchors: list[date], every: int, size: Boosting
 
     def of_anchor(anchor: date) -> DataFrame | None:
         train = training_rows(table, anchor)
-        if train.select("target_date").distinct().count() < MIN_TRAINING_DAYS:
+        n_days, n_rows = train.agg(F.count_distinct("target_date"), F.count(F.lit(1))).first()
+        if n_days < MIN_TRAINING_DAYS:
             return None
-        model = fit(train, size)
+        model = fit(train.repartition(-(-n_rows // TASK_ROWS)), size)
         served = answerable(table).filter((F.col("issue_date") >= F.lit(anchor)) & (F.col("issue_date") < F.date_add(F.lit(anchor), every)))
         out = model.predict(vectors(served))
         low, middle, high = sort_quantiles(*[F.col(s) + F.col("p_week_mean") for s in STATES])

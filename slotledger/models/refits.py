@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: A Sunday; anchors are whole intervals after it.
 FIRST_SUNDAY = date(1970, 1, 4)
 #: Fits submitted at a time; each is a distributed job of its own.
-CONCURRENT_FITS = 4
+CONCURRENT_FITS = 8
 
 
 def anchor_of(issue: Column, every: int) -> Column:

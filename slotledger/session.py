@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,20 +37,29 @@ def local_session(cores: int | str = 8, app: str = "slotledger", **conf: str) ->
     return prepare(spark)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a private one only where that setting is missing and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return found.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one, for tables that a job writes and reads back."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
     A private folder is used only where that setting is missing and the master is local.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     cached = df.persist()  # a checkpoint would otherwise compute its input twice
     out = cached.checkpoint(eager=True)
     cached.unpersist()

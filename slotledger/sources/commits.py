@@ -22,6 +22,11 @@ def new_run() -> str:
     return uuid.uuid4().hex
 
 
+def stored_schema(df: DataFrame) -> str:
+    """Columns of a frame as the readers below take them."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def write_run(rows: DataFrame, path: str, run: str, partition: Sequence[str] = ()) -> None:
     """The rows of a run; not visible before its commit."""
     writer = rows.write.mode("error")

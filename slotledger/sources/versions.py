@@ -21,10 +21,6 @@ COMMIT = "month string, base string, changed_rows bigint"
 TRIES = 10
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 class MonthArchive:
     """An archive of rows with a unique key, kept by ``month``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slotledger.config import LedgerConfig
 from slotledger.functions import timecols as t
 from slotledger.models import boosting, refits
-from slotledger.operators import bands, observations, summary
+from slotledger.operators import observations, summary
 from slotledger.operators.features import FEATURE_COLUMNS
 from slotledger.plans import backtest
 from slotledger.sources import feeds
@@ -72,14 +72,14 @@ def test_boosting_finds_level_and_spread(spark):
     rows = spark.range(6000).select(*[F.lit(0.0).alias(c) for c in FEATURE_COLUMNS if c not in ("temp", "hour")], x.alias("temp"), F.rand(5).alias("hour"), noise.alias("e")).persist()
     rows = rows.withColumn("y", F.when(F.col("temp") > 0.5, 50.0).otherwise(0.0) + F.col("e") * F.when(F.col("hour") > 0.5, 8.0).otherwise(1.0))
     train, rest = rows.randomSplit([0.7, 0.3], 1)
-    model = boosting.fit(train, boosting.BoostingSize(stages=12, rate=0.4, depth=3, min_leaf=40))
+    model = boosting.fit(train.repartition(1), boosting.BoostingSize(stages=12, rate=0.4, depth=3, min_leaf=40))
     out = model.predict(boosting.vectors(rest)).withColumn("wide", F.col("hour") > 0.5)
     for r in out.groupBy("wide", F.col("temp") > 0.5).agg(
         F.avg((F.col("y") <= F.col("f10")).cast("double")).alias("a"), F.avg((F.col("y") <= F.col("f50")).cast("double")).alias("b"),
         F.avg((F.col("y") <= F.col("f90")).cast("double")).alias("c"), F.avg(F.col("f90") - F.col("f10")).alias("width"),
     ).collect():
         assert abs(r["a"] - 0.1) < 0.06 and abs(r["b"] - 0.5) < 0.1 and abs(r["c"] - 0.9) < 0.06
-        assert abs(r["width"] / (2.563 * (8 if r["wide"] else 1)) - 1) < 0.3
+        assert 15 < r["width"] < 27 if r["wide"] else r["width"] < 6  # the spread of the noise: 20.5 and 2.6; without leaves of its own 12
 
 
 def test_refusals_cutoff_and_leaks(panel):
@@ -127,7 +127,6 @@ def test_five_models_in_one_replay(spark, panel):
     for name in ("lasso_ar", "quantile_boosting"):
         assert 0.68 < per[name]["cover"] < 0.92 and per[name]["missed"] is not None
     assert per["quantile_boosting"]["mae"] < 0.8 * min(per[s.name]["mae"] for s in naive)  # only it sees the wind
-    models = {r["model"] for r in summary.metric_cube(scores, HOURLY).select("model").distinct().collect()}
-    assert {"lasso_ar.v1", "quantile_boosting.v1"} <= models or {"lasso_ar", "quantile_boosting"} <= models
+    models = {r["model_key"] for r in summary.metric_cube(scores, HOURLY).select("model_key").distinct().collect()}
+    assert {"lasso_ar.v1", "quantile_boosting.v1"} < models
     assert summary.diebold_mariano(summary.daily_scores(scores), HOURLY).count() > 0
-    assert bands.KEYS[0] == "series_id"

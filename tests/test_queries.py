@@ -16,7 +16,7 @@ spec.loader.exec_module(check)
 OWN = set(entry.catalog.load())  # queries of optional subpackages have their own tests
 QUERIES = {k: f for k, f in entry.queries().items() if k in OWN}
 SQL = {k: s for k, s in entry.oracle_sql().items() if k in OWN}
-ROWS_ONLY = {"lasso_autoregression", "pooled_quantile_regression", "data_dictionary"}
+ROWS_ONLY = {"lasso_autoregression", "pooled_quantile_regression", "learned_backtest", "learned_metric_cube", "learned_significance", "learned_window_summary"}
 
 
 @pytest.fixture(scope="module")
