@@ -337,11 +337,12 @@ def forecast_inventory(spark, sf):
     "bi_exports",
     q.with_(*q.ev_base())
     + f"""SELECT series_id, issue_date, model || '.v1' AS model_key, h AS horizon_days, target_date, {q.utc_text('s')} AS delivery_start_utc,
-  strftime({q.local('s')}, '%Y-%m-%d') AS delivery_date_local, strftime({q.local('s')}, '%H:%M') AS delivery_time_local, printf('%.4f', q50) AS q50 FROM fc""",
+  strftime({q.local('s')}, '%Y-%m-%d') AS delivery_date_local, strftime({q.local('s')}, '%H:%M') AS delivery_time_local, printf('%.4f', q10) AS q10, printf('%.4f', q50) AS q50, printf('%.4f', q90) AS q90 FROM fc""",
 )
 def bi_exports(spark, sf):
-    text = exports.csv_text(exports.export_forecasts(bands.forecast_rows(ev_bands(spark, sf), Q), Q))
-    return text.drop("q10", "q90")
+    """Forecasts written as Parquet and CSV, the CSV as read back."""
+    forecasts = exports.export_forecasts(bands.forecast_rows(ev_bands(spark, sf), Q), Q)
+    return exports.write_export(forecasts, shared_folder(spark, "export"))[1]
 
 
 @query(
@@ -356,19 +357,54 @@ def export_actuals(spark, sf):
     return exports.csv_text(exports.export_actuals(p.line_slots(spark, sf), H, since))
 
 
-@query("data_dictionary")
+_TIMES = {"delivery_start_utc": "datetime", "delivery_date_local": "text", "delivery_time_local": "text"}
+_HEAD = {"series_id": "text", "model_key": "text", "horizon_days": "integer", "issue_date": "date", "target_date": "date"}
+_QUANTILES = dict.fromkeys(("q10", "q50", "q90"), "decimal")
+_NUMBERS = dict.fromkeys(("actual_mean_recommended", "actual_mean_best", "actual_day_mean"), "decimal")
+#: Columns and types of the exported tables, and the relation of the SQL counterpart that counts their values.
+_EXPORTED = {
+    "forecasts": ("fc", _HEAD | _TIMES | _QUANTILES),
+    "actuals": ("pan", {"series_id": "text"} | _TIMES | {"price_eur_mwh": "decimal"}),
+    "scores": ("sc", _HEAD | _TIMES | {"status": "text", "actual": "decimal"} | _QUANTILES | dict.fromkeys(("error", "abs_error", "sq_error", "pinball"), "decimal") | {"in_band": "true/false"}),
+    "daily_scores": ("daily", _HEAD | {"status": "text"} | dict.fromkeys(("mae", "rmse", "pinball", "coverage_80"), "decimal") | {"n_slots": "integer"}),
+    "cheapest_windows": ("rw", _HEAD | {"status": "text", "window_start_utc": "datetime"} | dict.fromkeys(("expected_mean", "p_cheapest", "p_near"), "decimal")
+                         | {"actual_best_start_utc": "datetime"} | _NUMBERS | {"hit": "true/false", "near": "true/false", "regret": "decimal"}),
+}
+_COUNTED = {"price_eur_mwh": "y", "window_start_utc": "rec_s", "actual_best_start_utc": "best_s"}
+
+
+def _dictionary_sql() -> str:
+    rows = []
+    for table, (relation, columns) in _EXPORTED.items():
+        for c, kind in columns.items():
+            known = "*" if c in _HEAD or c in _TIMES or c in ("status", "n_slots") else _COUNTED.get(c, c)
+            unit, comment = (x.replace("'", "''") for x in exports.COMMENTS[c])
+            rows.append(f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", '{kind}' AS type, '{unit}' AS unit, '{comment}' AS description, count({known}) AS known_values FROM {relation}")
+    names = {part.split(" AS ")[0].strip() for part in sc.SC}
+    windows = [part for part in win.REAL if part.split(" AS ")[0].strip() not in names]
+    return q.with_(*sc.SC, q.daily(), *windows) + " UNION ALL ".join(rows)
+
+
+@query("data_dictionary", _dictionary_sql())
 def data_dictionary(spark, sf):
-    fc = exports.export_forecasts(bands.forecast_rows(ev_bands(spark, sf), Q), Q)
-    act = exports.export_actuals(p.event_slots(spark, sf, Q), Q)
-    scores = exports.export_scores(ev_scores(spark, sf), Q)
-    tables = {"forecasts": fc, "actuals": act, "scores": scores}
-    return reduce(DataFrame.unionByName, [exports.data_dictionary(name, table) for name, table in tables.items()])
+    """What the five exported tables hold, from their files: types, units and comments travel with the columns."""
+    days = ev_days(spark, sf)
+    scored = materialize(ev_scores(spark, sf, days))
+    tables = {
+        "forecasts": exports.export_forecasts(bands.forecast_rows(ev_bands(spark, sf, days), Q), Q),
+        "actuals": exports.export_actuals(o.unpack_days(days, Q), Q),
+        "scores": exports.export_scores(scored, Q),
+        "daily_scores": exports.export_daily(summary.daily_scores(scored)),
+        "cheapest_windows": exports.export_windows(win.ev_realized(spark, sf, days)),
+    }
+    written = {name: exports.write_export(table, shared_folder(spark, "export"))[0] for name, table in tables.items()}
+    return reduce(DataFrame.unionByName, [exports.data_dictionary(name, table) for name, table in written.items()])
 
 
 @query(
     "latest_snapshot",
     q.with_(*win.WIN, *q.bands(6), "last AS (SELECT series_id, max(issue_date) AS issue_date FROM fc GROUP BY 1)")
-    + f"""SELECT f.series_id, f.issue_date, f.model, f.h AS horizon_days, f.target_date, {q.utc_text('f.s')} AS start_utc, {q.local_iso('f.s')} AS start_local, {q.re_('f.q50', 2)} AS q50,
+    + f"""SELECT f.series_id, f.issue_date, f.model, f.h AS horizon_days, f.target_date, {q.utc_text('f.s')} AS start_utc, {q.local_iso('f.s')} AS start_local, {q.re_('f.q10', 2)} AS q10, {q.re_('f.q50', 2)} AS q50, {q.re_('f.q90', 2)} AS q90,
   {q.utc_text('r.rec_s')} AS window_start_utc, r.p_cheapest
 FROM fc f JOIN last l ON l.series_id = f.series_id AND l.issue_date = f.issue_date LEFT JOIN rec r ON r.series_id = f.series_id AND r.model = f.model AND r.h = f.h AND r.target_date = f.target_date""",
 )
@@ -377,7 +413,7 @@ def latest_snapshot(spark, sf):
     snap = exports.latest_snapshot(fc, ev_windows(spark, sf), Q)
     rows = snap.select("*", F.inline("quarter_hours"))
     return rows.select(
-        "series_id", "issue_date", "model", "horizon_days", "target_date", "start_utc", "start_local", "q50",
+        "series_id", "issue_date", "model", "horizon_days", "target_date", "start_utc", "start_local", "q10", "q50", "q90",
         t.utc_text(F.col("cheapest_window.start_utc")).alias("window_start_utc"), F.col("cheapest_window.p_cheapest").alias("p_cheapest"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig
@@ -33,6 +33,21 @@ COMMENTS: dict[str, tuple[str, str]] = {
     "sq_error": ("(EUR/MWh)^2", "Square of the error"),
     "pinball": ("EUR/MWh", "Quantile loss, averaged over the three quantiles"),
     "in_band": ("", "Measured between the outer quantiles"),
+    "mae": ("EUR/MWh", "Mean size of the error over the day"),
+    "rmse": ("EUR/MWh", "Root of the day's mean squared error"),
+    "coverage_80": ("", "Share of the day's slots between the outer quantiles"),
+    "n_slots": ("slots", "Slots of the day"),
+    "window_start_utc": ("UTC", "When the recommended window begins"),
+    "expected_mean": ("EUR/MWh", "Mean of the window as forecast"),
+    "p_cheapest": ("", "Stated chance that no window is cheaper"),
+    "p_near": ("", "Stated chance that the window is close to the cheapest"),
+    "actual_best_start_utc": ("UTC", "When the cheapest window began"),
+    "actual_mean_recommended": ("EUR/MWh", "Measured mean of the recommended window"),
+    "actual_mean_best": ("EUR/MWh", "Measured mean of the cheapest window"),
+    "actual_day_mean": ("EUR/MWh", "Measured mean of the day"),
+    "hit": ("", "The recommended window was the cheapest"),
+    "near": ("", "The recommended window was close to the cheapest"),
+    "regret": ("EUR/MWh", "Recommended less cheapest mean"),
 }
 TYPES = {"string": "text", "int": "integer", "bigint": "integer", "double": "decimal", "date": "date", "timestamp": "datetime", "boolean": "true/false"}
 
@@ -82,28 +97,61 @@ def export_actuals(obs: DataFrame, cfg: LedgerConfig, since: Column | None = Non
 
 
 def export_scores(scores: DataFrame, cfg: LedgerConfig) -> DataFrame:
-    return local_columns(scores.withColumn("model_key", model_key()), cfg)
+    df = local_columns(scores.withColumn("model_key", model_key()), cfg)
+    return df.select(
+        "series_id", "model_key", "horizon_days", "issue_date", "target_date", F.col("slot_utc").alias("delivery_start_utc"),
+        "delivery_date_local", "delivery_time_local", "status", "actual", "q10", "q50", "q90", "error", "abs_error", "sq_error", "pinball", "in_band",
+    )
+
+
+def export_daily(daily: DataFrame) -> DataFrame:
+    return daily.select("series_id", "model_key", "horizon_days", "target_date", "issue_date", "status", "mae", "rmse", "pinball", "coverage_80", "n_slots")
+
+
+def export_windows(judged: DataFrame) -> DataFrame:
+    return judged.withColumn("model_key", model_key()).select(
+        "series_id", "model_key", "horizon_days", "issue_date", "target_date", "status", "window_start_utc", "expected_mean", "p_cheapest", "p_near",
+        "actual_best_start_utc", "actual_mean_recommended", "actual_mean_best", "actual_day_mean", "hit", "near", "regret",
+    )
+
+
+def commented(df: DataFrame) -> DataFrame:
+    """Columns with their unit and comment as metadata, which Parquet files keep."""
+    note = lambda c: {"unit": COMMENTS[c][0], "comment": COMMENTS[c][1]}
+    return df.select(*[F.col(c).alias(c, metadata=note(c)) for c in df.columns])
+
 
+def write_export(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """A table as Parquet and as CSV text, both as read back; raises if a row more or less is there than was written.
 
-def write_export(df: DataFrame, path: str, parquet: bool = True) -> None:
-    csv_text(df).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
-    if parquet:
-        df.write.mode("overwrite").parquet(f"{path}.parquet")
+    The CSV is made from the Parquet files, so the two hold the same rows however the input is computed.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    commented(df).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(f"{path}/parquet")
+    table = spark.read.parquet(f"{path}/parquet")
+    text = csv_text(table)
+    text.write.mode("error").option("header", True).csv(f"{path}/csv")
+    back = spark.read.schema(text.schema).option("header", True).csv(f"{path}/csv")
+    counts = {"written": seen.get["rows"], "Parquet": table.count(), "CSV": back.count()}
+    if len(set(counts.values())) > 1:
+        raise OSError(f"export at {path} is not whole: {counts}")
+    return table, back
 
 
 def data_dictionary(table: str, df: DataFrame) -> DataFrame:
-    """A row for every column of an exported table: type from its schema, comment, and how many values are known."""
+    """A row for every column of an exported table: type and comment from its schema, and how many values are known."""
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
     entries = [
         F.struct(
             F.lit(table).alias("table"),
-            F.lit(c).alias("column"),
-            F.lit(TYPES[kind]).alias("type"),
-            F.lit(COMMENTS[c][0]).alias("unit"),
-            F.lit(COMMENTS[c][1]).alias("description"),
-            F.col(c).alias("known_values"),
+            F.lit(field.name).alias("column"),
+            F.lit(TYPES[field.dataType.simpleString()]).alias("type"),
+            F.lit(field.metadata["unit"]).alias("unit"),
+            F.lit(field.metadata["comment"]).alias("description"),
+            F.col(field.name).alias("known_values"),
         )
-        for c, kind in df.dtypes
+        for field in df.schema
     ]
     return counts.select(F.inline(F.array(*entries)))
 
