@@ -4,8 +4,8 @@
 series per line status over several years, which brings every switch of the local clock. Values
 are whole numbers held as doubles, so sums do not depend on the order of addition.
 
-Packed days are checkpointed: a plan reads them several times (profiles, actuals, due days), and
-without that every use would scan and aggregate the raw table again.
+Packed days are a stored table, partitioned by month: the raw table is scanned and aggregated once a session, plans that read days
+several times (profiles, actuals, due days) or only some of their columns or months open just those.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from slotledger.config import NAIVE_SPECS, LedgerConfig
 from slotledger.operators import observations as o
-from slotledger.session import materialize
+from slotledger.session import shared_folder
 
 QUARTER = LedgerConfig(near_tolerance=500.0)
 HOURLY = LedgerConfig(slot_minutes=60, near_tolerance=500.0)
@@ -53,11 +53,46 @@ def event_slots(spark: SparkSession, sf_dir: str, cfg: LedgerConfig) -> DataFram
     )
 
 
+_STORED: dict[tuple, str] = {}
+DAY_SCHEMA = "series_id string, day date, n_slots int, n_present int, values array<double>, month string"
+
+
+def day_table(spark: SparkSession, sf_dir: str, table: str, name: str, make) -> DataFrame:
+    """Packed days with their ``month`` as a stored table; written at the first use by a session and for the files at hand."""
+    key = (spark.sparkContext.applicationId, name, *sorted(read(spark, sf_dir, table).inputFiles()))
+    if key not in _STORED:
+        path = shared_folder(spark, "packed-days")
+        days = make().select("series_id", "day", "n_slots", "n_present", "values").withColumn("month", F.date_format("day", "yyyy-MM"))
+        days.repartition("month", "series_id").write.partitionBy("month").parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(DAY_SCHEMA).parquet(_STORED[key])
+
+
+def between(table: DataFrame, first: date, last: date) -> DataFrame:
+    """Days of a stored table from ``first`` to ``last``; other months are not opened."""
+    months = F.col("month").between(f"{first:%Y-%m}", f"{last:%Y-%m}")
+    return table.filter(months & F.col("day").between(F.lit(first), F.lit(last))).drop("month")
+
+
+def event_day_table(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = QUARTER, fill: bool = True) -> DataFrame:
+    def make() -> DataFrame:
+        packed = o.pack_days(event_slots(spark, sf_dir, cfg), cfg)
+        return zero_filled(packed, -EVENT_SHIFT) if fill else packed
+
+    return day_table(spark, sf_dir, "events", f"events-{cfg.slot_minutes}-{fill}", make)
+
+
+def line_day_table(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
+    def make() -> DataFrame:
+        packed = o.pack_days(line_slots(spark, sf_dir), HOURLY)
+        return zero_filled(packed, 0.0) if fill else packed
+
+    return day_table(spark, sf_dir, "lineitem", f"lines-{fill}", make)
+
+
 def event_days(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = QUARTER, fill: bool = True) -> DataFrame:
     """Packed days of the event series; with ``fill`` a slot without events counts as zero."""
-    obs = event_slots(spark, sf_dir, cfg)
-    packed = o.pack_days(obs, cfg)
-    return materialize(zero_filled(packed, -EVENT_SHIFT) if fill else packed)
+    return event_day_table(spark, sf_dir, cfg, fill).drop("month")
 
 
 def zero_filled(packed: DataFrame, zero: float) -> DataFrame:
@@ -79,5 +114,4 @@ def line_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_days(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
-    packed = o.pack_days(line_slots(spark, sf_dir), HOURLY)
-    return materialize(zero_filled(packed, 0.0) if fill else packed)
+    return line_day_table(spark, sf_dir, fill).drop("month")

@@ -147,8 +147,10 @@ FROM fc f JOIN last l ON l.series_id = f.series_id AND l.issue_date = f.issue_da
 )
 def issue_forecasts(spark, sf):
     """The live run: both horizons of every rule for the latest issue day of each series."""
-    days = ev_days(spark, sf)
-    issues = days.groupBy("series_id").agg(F.max("day").alias("issue_date"))
+    table = p.event_day_table(spark, sf)
+    issues = table.groupBy("series_id").agg(F.max("day").alias("issue_date"))
+    first, last = issues.agg(F.min("issue_date"), F.max("issue_date")).first()
+    days = p.between(table, first - issue_plan.look_back(BACKTEST_SPECS), last) if first else table.drop("month")
     rows = issue_plan.issue_naive(days, issues, p.QUARTER, BACKTEST_SPECS)
     return rows.select(
         "series_id", "model", "horizon_days", "issue_date", "target_date", utc("slot_utc").alias("slot"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ def _targets_back(issues: DataFrame, cfg: LedgerConfig, error_days: int) -> Data
     return spread(targets, "series_id", "target_date")
 
 
+def look_back(specs: Sequence[ModelSpec]) -> timedelta:
+    """How far before an issue the rules read: the oldest error day, and the week before it that its forecast copied."""
+    return timedelta(days=max(s.error_days for s in specs) - 1 + 7 + 1)
+
+
 def issue_errors(
     days: DataFrame, issues: DataFrame, cfg: LedgerConfig, specs: Sequence[ModelSpec]
 ) -> DataFrame:

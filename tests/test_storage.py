@@ -7,6 +7,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from slotledger import catalog
+from slotledger.bindings import panels
 from slotledger.sources import commits, ledger
 from slotledger.sources.versions import MonthArchive
 
@@ -112,3 +114,21 @@ def test_two_writers_one_row_set(spark):
     ledger.issue_once(frame(5.0), path)
     again = ledger.read_ledger(spark, path, FORECASTS).groupBy("issue_date").agg(F.max("q50").alias("q")).collect()
     assert {(r["issue_date"], r["q"]) for r in again} == {(r["issue_date"], r["q"]) for r in first}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_days_are_scanned_once_and_pruned(spark, sf):
+    """Stored days: no raw scan in a plan, only the months and columns that are asked for."""
+    table = panels.event_day_table(spark, sf)
+    assert "events.parquet" not in plan_of(table) and panels.event_day_table(spark, sf).inputFiles() == table.inputFiles()
+    last = table.agg(F.max("day")).first()[0]
+    some = panels.between(table, last, last)
+    scan = next(line for line in plan_of(some).splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(month" in scan and "PushedFilters: [IsNotNull(day)" in scan
+    assert {r["day"] for r in some.collect()} == {last} and some.count() == table.filter(F.col("day") == F.lit(last)).count()
+    names = next(line for line in plan_of(panels.event_days(spark, sf).select("series_id", "day")).splitlines() if "FileScan" in line)
+    assert "values" not in names.split("ReadSchema:")[1]
+    assert "values" not in plan_of(catalog.load()["latest_backtest"](spark, sf)) and "events.parquet" not in plan_of(catalog.load()["issue_forecasts"](spark, sf))
