@@ -25,7 +25,8 @@ from slotledger.sources.commits import stored_schema
 from slotledger.sources.versions import MonthArchive
 
 H, Q = p.HOURLY, p.QUARTER
-WEEK_MS = 7 * 86400 * 1000
+WEEK_S = 7 * 86400
+WEEK_MS = WEEK_S * 1000
 
 
 def hour_slots(spark, sf):
@@ -205,24 +206,29 @@ _WX_SQL = [
 
 
 def weather_payloads(spark, sf):
+    """Weekly payloads per location, at most 169 hours each: a week and the hour after it."""
     ev = p.read(spark, sf, "events").select(
         F.col("event_type").alias("point"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
     )
     hourly = ev.groupBy("point", "h").agg(F.sum("cents").alias("c"), F.count("*").alias("n"), F.max("cents").alias("mx"))
     span = hourly.agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    hours = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("h"))
-    points = hourly.select("point").distinct()
-    grid = points.crossJoin(F.broadcast(hours)).join(hourly, ["point", "h"], "left")
+    points = hourly.select("point").distinct().crossJoin(F.broadcast(span))  # one row
+    grid = points.select("point", F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("h")).join(hourly, ["point", "h"], "left")
     columns = {"wind_speed_100m_previous_day2": F.col("c") / 1024.0, "wind_speed_100m_previous_day3": F.col("mx") / 512.0}
     for lead in feeds.WEATHER_LEADS:
         columns[f"shortwave_radiation_previous_day{lead}"] = (F.col("n") * 10 * lead).cast("double")
         columns[f"temperature_2m_previous_day{lead}"] = (F.col("mx") - lead).cast("double")
-    rows = grid.select("point", F.date_format("h", "yyyy-MM-dd'T'HH:mm").alias("time"), *[c.alias(n) for n, c in columns.items()])
-    packed = rows.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("time", *columns))).alias("x"))
+    seconds = F.unix_seconds("h")
+    week = F.floor(seconds / WEEK_S)
+    # the first hour of a week also closes the chunk before it
+    weeks = F.when(seconds % WEEK_S == 0, F.array(week - 1, week)).otherwise(F.array(week))
+    rows = grid.select("point", F.explode(weeks).alias("week"), F.date_format("h", "yyyy-MM-dd'T'HH:mm").alias("time"), *[c.alias(n) for n, c in columns.items()])
+    packed = rows.groupBy("point", "week").agg(F.sort_array(F.collect_list(F.struct("time", *columns))).alias("x"))
     fields = [a.field_of("x", n).alias(n) for n in ("time", *columns)]
     body = F.to_json(F.struct(F.struct(*fields).alias("hourly")), {"ignoreNullFields": "false"})
-    return packed.select(F.lit("nation").alias("series_id"), "point", body.alias("payload"))
+    until = F.timestamp_seconds((F.col("week") + 1) * WEEK_S)
+    return packed.select(F.lit("nation").alias("series_id"), "point", until.alias("until_utc"), body.alias("payload"))
 
 
 def event_weather(spark, sf):

@@ -90,10 +90,12 @@ def weather_schema() -> str:
 
 
 def aggregate_weather(payloads: DataFrame, points: DataFrame, cfg: LedgerConfig) -> DataFrame:
-    """One payload per location to one row per series, valid hour and lead.
+    """Payloads per location to one row per series, valid hour and lead.
 
     Radiation is the mean of the preceding hour, so each hour takes the value stamped one hour
-    later; that shift happens on the location's own array, before anything is exchanged.
+    later; that shift happens on the payload's own array, before anything is exchanged. A payload
+    may be a chunk of a location's history that carries the one hour after its end; its column
+    ``until_utc`` then says where the chunk ends, and hours from there on belong to the next one.
     """
     parsed = payloads.withColumn("h", F.from_json("payload", weather_schema())["hourly"])
     later = lambda arr: F.concat(F.slice(arr, F.lit(2), F.size(arr)), F.array(F.lit(None).cast("double")))
@@ -108,8 +110,9 @@ def aggregate_weather(payloads: DataFrame, points: DataFrame, cfg: LedgerConfig)
         return F.transform(cells, lambda z: F.struct(F.lit(n).alias("lead_days"), z.alias("z")))
 
     per_lead = [lead_cells(n) for n in WEATHER_LEADS]
-    rows = parsed.select("series_id", "point", F.explode(F.concat(*per_lead)).alias("r"))
-    rows = rows.join(F.broadcast(points), "point").select(
+    until = F.col("until_utc") if "until_utc" in payloads.columns else F.lit(None).cast("timestamp")
+    rows = parsed.select("series_id", "point", until.alias("until"), F.explode(F.concat(*per_lead)).alias("r"))
+    rows = rows.filter(F.col("until").isNull() | (F.to_timestamp("r.z.time") < F.col("until"))).join(F.broadcast(points), "point").select(
         "series_id",
         F.to_timestamp("r.z.time").alias("valid_utc"),
         F.col("r.lead_days").alias("lead_days"),

@@ -321,3 +321,17 @@ def test_weather_aggregate_skips_missing_points(spark):
     assert set(rows) == {0}  # the second hour has no feature left once radiation moved an hour earlier
     assert (rows[0]["wind_power"], rows[0]["wind_speed"], rows[0]["solar"], rows[0]["temp"]) == (1.0, 12.0, 5.0, 2.0)
     assert rows[0]["available_at_utc"] == datetime(2025, 12, 30, 6, 0)
+
+
+def test_weather_chunks_equal_the_whole_history(spark):
+    """A chunk carries the hour after its end for the shift of radiation, and that hour is not told twice."""
+    import json
+
+    hours = [f"2026-01-01T{h:02d}:00" for h in range(8)]
+    body = lambda k: json.dumps({"hourly": {"time": [hours[i] for i in k], **{f"{v}_previous_day{n}": [float(i * n) for i in k] for v in feeds.WEATHER_VARIABLES for n in feeds.WEATHER_LEADS}}})
+    points = spark.createDataFrame([("a", True, True)], "point string, is_wind boolean, is_solar boolean")
+    whole = spark.createDataFrame([("n", "a", body(range(8)))], "series_id string, point string, payload string")
+    ends = [datetime(2026, 1, 1, 3), datetime(2026, 1, 1, 6), datetime(2026, 1, 1, 9)]
+    chunks = spark.createDataFrame([("n", "a", e, body(range(3 * i, min(3 * i + 4, 8)))) for i, e in enumerate(ends)], "series_id string, point string, until_utc timestamp, payload string")
+    rows = lambda df: sorted(map(tuple, feeds.aggregate_weather(df, points, CFG).collect()))
+    assert rows(chunks) == rows(whole) and len(rows(whole)) == 16
