@@ -51,6 +51,11 @@ def ev_scores(spark: SparkSession, sf: str, days: DataFrame | None = None) -> Da
     return bt.naive_backtest(ev_days(spark, sf) if days is None else days, p.QUARTER, BACKTEST_SPECS)
 
 
+def ev_scored_days(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    """The same scores packed by day."""
+    return bt.naive_scored_days(ev_days(spark, sf) if days is None else days, p.QUARTER, BACKTEST_SPECS)
+
+
 def ev_bands(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
     return bt.naive_bands(ev_days(spark, sf) if days is None else days, p.QUARTER, BACKTEST_SPECS)
 

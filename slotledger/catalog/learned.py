@@ -13,7 +13,7 @@ from slotledger.catalog.base import query, r, utc
 from slotledger.catalog.shaping import line_covariates
 from slotledger.config import NAIVE_SPECS
 from slotledger.models import boosting, lasso
-from slotledger.operators import bands, summary, windows
+from slotledger.operators import bands, scoring, summary, windows
 from slotledger.plans import backtest as bt
 from slotledger.session import materialize
 from slotledger.sources import feeds
@@ -93,7 +93,7 @@ def learned_backtest(spark, sf):
 
 @query("learned_metric_cube")
 def learned_metric_cube(spark, sf):
-    return summary.metric_cube(replay(spark, sf), H)
+    return summary.metric_cube(scoring.pack_scores(replay(spark, sf)), H)
 
 
 @query("learned_significance")

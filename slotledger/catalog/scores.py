@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slotledger.bindings import panels as p
 from slotledger.catalog import sql as q
-from slotledger.catalog.base import ev_bands, ev_days, ev_scores, query, r, utc, yes_no
+from slotledger.catalog.base import ev_bands, ev_days, ev_scored_days, ev_scores, query, r, utc, yes_no
 from slotledger.functions import losses
 from slotledger.models.requests import model_key
 from slotledger.operators import bands, scoring, summary
@@ -21,7 +21,7 @@ SC_LIVE = [*q.ev_base(), *q.scores("2024-01-10")]
 def ev_cube(spark, sf):
     """Metric cube of the replay, rounded for comparison."""
     days = ev_days(spark, sf)
-    cube = summary.metric_cube(ev_scores(spark, sf, days), CFG, summary.observed_slots(days, CFG), rounded=False)
+    cube = summary.metric_cube(ev_scored_days(spark, sf, days), CFG, summary.observed_slots(days, CFG), rounded=False)
     exact = ["series_id", "window", "model_key", "horizon_days", "segment", "days_due", "days_forecast", "n_slots"]
     return cube.select(*exact, *[r(c, 3).alias(c) for c in ("mae", "rmse", "pinball", "coverage_80")], r("skill_mae", 4).alias("skill_mae"))
 
@@ -147,7 +147,7 @@ pr AS (SELECT sc.*, ref.ref_abs FROM sc LEFT JOIN ref USING (series_id, horizon_
 FROM pr WHERE status = 'scored' AND ref_abs IS NOT NULL GROUP BY ALL""",
 )
 def skill_vs_reference(spark, sf):
-    m = summary.skill_vs_reference(ev_scores(spark, sf))
+    m = summary.skill_vs_reference(ev_scored_days(spark, sf))
     return m.select("series_id", "model_key", "horizon_days", "n_paired", r("skill_mae").alias("skill_mae"))
 
 

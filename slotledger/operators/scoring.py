@@ -13,6 +13,8 @@ from slotledger.functions.losses import error_columns
 from slotledger.models.requests import forecast_requests
 from slotledger.operators.bands import KEYS
 
+VECTORS = ("q10", "q50", "q90")
+
 
 def due_grid(targets: DataFrame, specs: Sequence[ModelSpec], cfg: LedgerConfig) -> DataFrame:
     """Every (model, horizon, target) whose issue day lies in the model's live period."""
@@ -58,15 +60,15 @@ def score_slots(due: DataFrame, forecasts: DataFrame, actuals: DataFrame, cfg: L
         .when(F.col("any_gap"), "incomplete")
         .otherwise("scored")
     )
-    return _with_errors(rows.withColumn("status", status).drop("issued", "any_issued", "any_gap"), cfg)
+    return _with_errors(rows.withColumn("status", status).drop("issued", "any_issued", "any_gap"))
 
 
-def score_vectors(due: DataFrame, banded: DataFrame, actuals: DataFrame, cfg: LedgerConfig) -> DataFrame:
-    """Same rows as ``score_slots`` for forecasts still held as vectors (the backtest path).
+def score_days(due: DataFrame, banded: DataFrame, actuals: DataFrame, cfg: LedgerConfig) -> DataFrame:
+    """One row per due forecast with its slots, actual values and quantiles as arrays of one length.
 
-    Everything joins as one row per forecast day; slots are spread last, without an exchange.
+    Quantiles of a missed forecast are arrays of NULLs.
     """
-    day = actuals.select("series_id", F.col("day").alias("target_date"), F.col("n_slots"), F.col("values").alias("actuals"))
+    day = actuals.select("series_id", F.col("day").alias("target_date"), F.col("values").alias("actual"))
     keys = [*KEYS, "issue_date", "target_date"]
     vectors = banded.select(*keys, "q10", "q50", "q90")
     grid = due.join(vectors, keys, "left").join(day, ["series_id", "target_date"])
@@ -76,22 +78,41 @@ def score_vectors(due: DataFrame, banded: DataFrame, actuals: DataFrame, cfg: Le
         .when(holes("q10") | holes("q50") | holes("q90"), "incomplete")
         .otherwise("scored")
     )
-    empty = F.transform("actuals", lambda _: F.lit(None).cast("double"))
-    padded = grid.withColumn("status", status)
-    for q in ("q10", "q50", "q90"):
-        padded = padded.withColumn(q, F.coalesce(q, empty))
-    cells = F.arrays_zip(
-        t.day_slots(F.col("target_date"), cfg).alias("slot_utc"),
-        F.col("actuals").alias("actual"),
-        "q10", "q50", "q90",
+    empty = F.transform("actual", lambda _: F.lit(None).cast("double"))
+    return grid.select(
+        *keys, status.alias("status"), t.day_slots(F.col("target_date"), cfg).alias("slots"), "actual",
+        *[F.coalesce(q, empty).alias(q) for q in VECTORS],
     )
-    rows = padded.select(*keys, "status", F.inline(cells).alias("slot_utc", "actual", "q10", "q50", "q90"))
-    return _with_errors(rows, cfg)
 
 
-def _with_errors(rows: DataFrame, cfg: LedgerConfig) -> DataFrame:
+def pack_scores(scores: DataFrame) -> DataFrame:
+    """Stored score rows as ``score_days`` gives them; a row holds the slots of one day."""
+    keys = [*KEYS, "issue_date", "target_date", "status"]
+    cells = F.sort_array(F.collect_list(F.struct("slot_utc", "actual", *VECTORS)))
+    packed = scores.groupBy(*keys).agg(cells.alias("c"))
+    return packed.select(*keys, F.col("c.slot_utc").alias("slots"), *[F.col(f"c.{n}").alias(n) for n in ("actual", *VECTORS)])
+
+
+def slots_of(scored_days: DataFrame, *more: str) -> DataFrame:
+    """Score rows of packed days, spread without an exchange; ``more`` names further arrays to spread along."""
+    cells = F.arrays_zip("slots", "actual", *VECTORS, *more)
+    kept = [*KEYS, "issue_date", "target_date", "status"]
+    others = [c for c in scored_days.columns if c not in {*kept, "slots", "actual", *VECTORS, *more}]
+    rows = scored_days.select(*kept, *others, F.inline(cells).alias("slot_utc", "actual", *VECTORS, *more))
+    return _with_errors(rows, *others, *more)
+
+
+def score_vectors(due: DataFrame, banded: DataFrame, actuals: DataFrame, cfg: LedgerConfig) -> DataFrame:
+    """Same rows as ``score_slots`` for forecasts still held as vectors (the backtest path).
+
+    Everything joins as one row per forecast day; slots are spread last, without an exchange.
+    """
+    return slots_of(score_days(due, banded, actuals, cfg))
+
+
+def _with_errors(rows: DataFrame, *others: str) -> DataFrame:
     errors = error_columns(F.col("actual"), F.col("q10"), F.col("q50"), F.col("q90"))
     return rows.select(
-        *KEYS, "issue_date", "target_date", "slot_utc", "status", "actual", "q10", "q50", "q90",
-        *[c.alias(name) for name, c in errors.items()],
+        *KEYS, "issue_date", "target_date", "slot_utc", "status", "actual", *VECTORS,
+        *[c.alias(name) for name, c in errors.items()], *others,
     )

@@ -11,6 +11,7 @@ from slotledger.functions.losses import skill
 from slotledger.functions.quantiles import exact_quantile
 from slotledger.functions.stats import t_two_sided
 from slotledger.models.requests import model_key
+from slotledger.operators.scoring import slots_of
 
 
 def scored() -> Column:
@@ -63,15 +64,34 @@ def spike_thresholds(slots: DataFrame, cfg: LedgerConfig, q: float = 0.9) -> Dat
     return exact_quantile(in_windows(counts, cfg), ["series_id", "window"], "actual", q, "spike_threshold", "n")
 
 
-def with_reference(scores: DataFrame, reference: str = REFERENCE_MODEL) -> DataFrame:
-    """Adds the reference model's absolute error on the same slot and horizon, if scored.
+def slots_of_days(scored_days: DataFrame) -> DataFrame:
+    """``scored_slots`` of packed days."""
+    day = scored_days.groupBy("series_id", "target_date").agg(F.first(F.struct("slots", "actual")).alias("d"))
+    cells = F.arrays_zip(F.col("d.slots").alias("slots"), F.col("d.actual").alias("actual"))
+    return day.select("series_id", "target_date", F.inline(cells).alias("slot_utc", "actual"))
 
-    The rows of one slot meet in a window of at most one row per model, so the table is exchanged
-    once and never joined to itself.
+
+def with_reference(scored_days: DataFrame, reference: str = REFERENCE_MODEL, per_series: DataFrame | None = None) -> DataFrame:
+    """Score rows with the reference model's absolute error on the same slot and horizon, NULL where it was not scored.
+
+    ``scored_days`` is packed (``scoring.score_days``, ``scoring.pack_scores``). The models of one day meet in one row of vectors, the one
+    exchange of this step; the reference's errors go to the others by array arithmetic and slots are spread last. ``per_series`` has
+    one row per series whose columns are added before slots are spread.
     """
-    w = Window.partitionBy("series_id", "horizon_days", "slot_utc")
-    is_ref = (model_key() == reference) & scored()
-    return scores.withColumn("ref_abs_error", F.max(F.when(is_ref, F.col("abs_error"))).over(w))
+    keys = ["series_id", "horizon_days", "target_date"]
+    fields = [c for c in scored_days.columns if c not in keys]
+    met = scored_days.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("models"))
+    is_ref = lambda m: (F.concat(m["model"], F.lit(".v"), m["model_version"]) == reference) & (m["status"] == "scored")
+    met = met.withColumn("ref", F.get(F.filter("models", is_ref), F.lit(0)))
+    if per_series is not None:
+        met = met.join(per_series, "series_id")
+    met = met.withColumn("ref_errors", F.zip_with("ref.actual", "ref.q50", lambda y, x: F.abs(y - x)))
+    others = [c for c in met.columns if c not in {"models", "ref"}]
+    flat = met.select(*others, F.col("ref.slots").alias("ref_slots"), F.inline("models").alias(*fields))
+    by_slot = lambda s: F.try_element_at(F.map_from_arrays("ref_slots", "ref_errors"), s)
+    same = F.when(F.col("slots") == F.col("ref_slots"), F.col("ref_errors")).when(F.col("ref_slots").isNotNull(), F.transform("slots", by_slot))
+    days = flat.withColumn("ref_abs_error", F.coalesce(same, F.transform("slots", lambda _: F.lit(None).cast("double"))))
+    return slots_of(days.drop("ref_slots", "ref_errors"), "ref_abs_error")
 
 
 SUMS = ("n", "abs", "sq", "pin", "inside", "n_pair", "abs_pair", "ref_pair")
@@ -94,23 +114,23 @@ def _sums(name: str, cond: Column) -> list[Column]:
 
 
 def metric_cube(
-    scores: DataFrame, cfg: LedgerConfig, slots: DataFrame | None = None, reference: str = REFERENCE_MODEL,
+    scored_days: DataFrame, cfg: LedgerConfig, slots: DataFrame | None = None, reference: str = REFERENCE_MODEL,
     rounded: bool = True,
 ) -> DataFrame:
     """Metrics per window, model, horizon and segment.
 
-    ``slots`` supplies the distinct slots for the spike thresholds where they are at hand without
-    reading the scores again.
+    ``scored_days`` is packed (``scoring.score_days``, ``scoring.pack_scores``). ``slots`` supplies the distinct slots for the spike
+    thresholds where they are at hand without reading the scores again.
 
     Slots first shrink to sums per day (conditional sums, no row is copied per window or segment);
     windows and segments then only multiply the day rows.
     """
     names = [name for name, _ in cfg.windows]
-    slots = scored_slots(scores) if slots is None else slots
+    slots = slots_of_days(scored_days) if slots is None else slots
     limits = spike_thresholds(slots, cfg).groupBy("series_id").agg(
         *[F.max(F.when(F.col("window") == n, F.col("spike_threshold"))).alias(f"spike_{n}") for n in names]
     )
-    rows = with_reference(scores, reference).join(limits, "series_id")
+    rows = with_reference(scored_days, reference, limits)
     sums = _sums("all", F.lit(True)) + _sums("negative", F.col("actual") < 0)
     for n in names:
         sums += _sums(f"spike_{n}", F.col("actual") >= F.col(f"spike_{n}"))
@@ -168,8 +188,8 @@ def headline_metrics(scores: DataFrame) -> DataFrame:
     )
 
 
-def skill_vs_reference(scores: DataFrame, reference: str = REFERENCE_MODEL) -> DataFrame:
-    paired = with_reference(scores, reference).filter(scored() & F.col("ref_abs_error").isNotNull())
+def skill_vs_reference(scored_days: DataFrame, reference: str = REFERENCE_MODEL) -> DataFrame:
+    paired = with_reference(scored_days, reference).filter(scored() & F.col("ref_abs_error").isNotNull())
     means = paired.groupBy("series_id", model_key().alias("model_key"), "horizon_days").agg(
         F.count("*").alias("n_paired"),
         F.avg("abs_error").alias("mae"),

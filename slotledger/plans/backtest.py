@@ -45,10 +45,14 @@ def backtest_due(days: DataFrame, cfg: LedgerConfig, specs: Sequence[ModelSpec])
     return scoring.due_grid(days.select("series_id", F.col("day").alias("target_date")), specs, cfg)
 
 
+def naive_scored_days(days: DataFrame, cfg: LedgerConfig, specs: Sequence[ModelSpec] = NAIVE_SPECS) -> DataFrame:
+    """Packed scores of all rules; days with too little history stay in the result as missed."""
+    return scoring.score_days(backtest_due(days, cfg, specs), naive_bands(days, cfg, specs), days, cfg)
+
+
 def naive_backtest(days: DataFrame, cfg: LedgerConfig, specs: Sequence[ModelSpec] = NAIVE_SPECS) -> DataFrame:
-    """Score rows of all rules; days with too little history stay in the result as missed."""
-    due = backtest_due(days, cfg, specs)
-    return scoring.score_vectors(due, naive_bands(days, cfg, specs), days, cfg)
+    """The same as score rows, one per slot."""
+    return scoring.slots_of(naive_scored_days(days, cfg, specs))
 
 
 def learned_bands(

@@ -42,7 +42,7 @@ def summary_tables(scores: DataFrame, window_scores: DataFrame, cfg: LedgerConfi
     """The regenerated summary: metrics, tests, missed forecasts and window outcomes."""
     daily = summary.daily_scores(scores)
     return {
-        "metrics": summary.metric_cube(scores, cfg),
+        "metrics": summary.metric_cube(scoring.pack_scores(scores), cfg),
         "dm_tests": summary.diebold_mariano(daily, cfg),
         "missed": summary.missed_list(scores),
         "cheapest": summary.window_summary(window_scores, cfg),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slotledger.config import LedgerConfig
 from slotledger.functions import timecols as t
 from slotledger.models import boosting, refits
-from slotledger.operators import observations, summary
+from slotledger.operators import observations, scoring, summary
 from slotledger.operators.features import FEATURE_COLUMNS
 from slotledger.plans import backtest
 from slotledger.sources import feeds
@@ -127,6 +127,6 @@ def test_five_models_in_one_replay(spark, panel):
     for name in ("lasso_ar", "quantile_boosting"):
         assert 0.68 < per[name]["cover"] < 0.92 and per[name]["missed"] is not None
     assert per["quantile_boosting"]["mae"] < 0.8 * min(per[s.name]["mae"] for s in naive)  # only it sees the wind
-    models = {r["model_key"] for r in summary.metric_cube(scores, HOURLY).select("model_key").distinct().collect()}
+    models = {r["model_key"] for r in summary.metric_cube(scoring.pack_scores(scores), HOURLY).select("model_key").distinct().collect()}
     assert {"lasso_ar.v1", "quantile_boosting.v1"} < models
     assert summary.diebold_mariano(summary.daily_scores(scores), HOURLY).count() > 0

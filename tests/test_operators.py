@@ -16,7 +16,7 @@ from slotledger.functions.quantiles import exact_quantile
 from slotledger.functions.stats import t_two_sided
 from slotledger.models import lasso
 from slotledger.models.naive import source_day
-from slotledger.operators import asof, bands, integrity, observations, shaping, windows
+from slotledger.operators import asof, bands, integrity, observations, scoring, shaping, summary, windows
 from slotledger.plans import backtest, evaluate, issue
 from slotledger.sources import archive, feeds, ledger
 from slotledger.streaming.ingest import price_archive, stream_chunks
@@ -234,6 +234,35 @@ def test_scoring_is_idempotent_and_keeps_missed(spark, panel):
     assert tables["dm_tests"].filter("p_value is not null").count() == 0  # fewer than ten days
 
 
+def test_reference_errors_meet_by_slot(spark):
+    """Scored, missed and incomplete models, a reference with other slots, and a day without a reference; compared with a plain loop."""
+    key, ref = "series_id string, model string, model_version string, horizon_days int, issue_date date, target_date date, status string", "ref"
+    vectors = "slots array<timestamp>, actual array<double>, q10 array<double>, q50 array<double>, q90 array<double>"
+    slots = [datetime(2026, 1, 1, h) for h in range(4)]
+    row = lambda m, d, status, at, y, q: ("s", m, "1", 1, date(2026, 1, d) - timedelta(1), date(2026, 1, d), status, at, y, q, q, q)
+    none = [None] * 4
+    rows = [
+        row(ref, 1, "scored", slots, [1.0, 2.0, 3.0, 4.0], [2.0, 2.0, 1.0, 0.0]),
+        row("a", 1, "scored", slots, [1.0, 2.0, 3.0, 4.0], [1.0, 1.0, 1.0, 1.0]),
+        row("b", 1, "missed", slots, [1.0, 2.0, 3.0, 4.0], none),
+        row(ref, 2, "scored", slots[1:], [5.0, 6.0, 7.0], [5.0, 5.0, 5.0]),
+        row("a", 2, "scored", slots, [1.0, 5.0, 6.0, 7.0], [0.0, 0.0, 0.0, 0.0]),
+        row(ref, 3, "incomplete", slots, [1.0, 1.0, 1.0, 1.0], [1.0, None, 1.0, 1.0]),
+        row("a", 3, "scored", slots, [1.0, 1.0, 1.0, 1.0], [3.0, 3.0, 3.0, 3.0]),
+    ]
+    days = spark.createDataFrame(rows, f"{key}, {vectors}")
+    want = {}
+    for _, m, _, _, _, d, _, at, _, _, _, _ in rows:
+        known = {s: abs(y - x) for r in rows if r[1] == ref and r[5] == d and r[6] == "scored" for s, y, x in zip(r[7], r[8], r[10], strict=True)}
+        want |= {(m, d, s): known.get(s) for s in at}
+    met = summary.with_reference(days, "ref.v1")
+    assert {(r["model"], r["target_date"], r["slot_utc"]): r["ref_abs_error"] for r in met.collect()} == want
+    plain = scoring.slots_of(days)
+    assert sorted(map(str, scoring.slots_of(scoring.pack_scores(plain)).select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert "Window" not in met._jdf.queryExecution().executedPlan().toString()
+    assert summary.metric_cube(days.limit(0), CFG).count() == 0
+
+
 def test_conformal_coverage(spark, panel):
     points = backtest.naive_points(panel, backtest.targets_of(panel, CFG), CFG, SHORT[:1])
     native = points.withColumn("raw10", F.transform("point", lambda v: v - 0.5)).withColumn("raw90", F.transform("point", lambda v: v + 0.5))
