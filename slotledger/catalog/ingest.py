@@ -16,11 +16,11 @@ from slotledger.catalog.base import BACKTEST_SPECS, ev_bands, ev_days, ev_scores
 from slotledger.functions import arrays as a
 from slotledger.functions import timecols as t
 from slotledger.models.requests import forecast_requests
-from slotledger.operators import bands, summary
+from slotledger.operators import asof, bands, summary
 from slotledger.operators import observations as o
 from slotledger.plans import backtest as bt
 from slotledger.session import materialize, shared_folder
-from slotledger.sources import archive, commits, exports, feeds, ledger
+from slotledger.sources import archive, commits, exports, feeds, files, ledger
 from slotledger.sources.commits import stored_schema
 from slotledger.sources.versions import MonthArchive
 
@@ -301,29 +301,48 @@ def write_once_ledger(spark, sf):
 
 
 def ev_manifests(spark, sf):
-    """Manifests of the event panel as JSON text, issued at the first event of the window."""
-    issued = rep.ev_issued(spark, sf).select("series_id", "issue_date", "issued_at_utc", F.lit(192).cast("bigint").alias("n_rows"))
-    wins = ev_windows(spark, sf)
-    keys = wins.select(*ledger.MODEL_KEYS).distinct()
-    issued = keys.join(issued, ["series_id", "issue_date"]).withColumn("parquet_sha256", F.sha2(F.concat_ws("|", *ledger.MODEL_KEYS), 256))
-    return ledger.build_manifests(wins, issued, None, Q)
-
-
-_MANIFEST_SQL = [*win.WIN, rep.ISSUED, "mf AS (SELECT r.*, i.at_s FROM rec r JOIN issued i ON i.series_id = r.series_id AND i.issue_date = r.issue_date)"]
+    """Manifests of the event panel, written and read back: counts and hashes from the forecasts' files, cutoffs of the values used."""
+    days = ev_days(spark, sf)
+    rows = bands.forecast_rows(ev_bands(spark, sf, days), Q)
+    stored, written = shared_folder(spark, "forecasts"), shared_folder(spark, "manifests")
+    files.write_forecasts(rows, stored, ["horizon_days", "slot_utc"])
+    facts = files.forecast_facts(spark, stored, stored_schema(rows)).drop("path")
+    issued = facts.join(rep.ev_issued(spark, sf), ["series_id", "issue_date"])
+    cutoffs = asof.cutoff_metadata(days, facts.select("series_id", "issue_date").distinct(), Q)
+    prices = files.cutoff_map(cutoffs, "prices", "observed values up to the end of the issue day")
+    files.write_manifests(ledger.build_manifests(ev_windows(spark, sf, days), issued, prices, Q), written)
+    return files.read_manifests(spark, written)
+
+
+_MANIFEST_SQL = [
+    *win.WIN, *q.bands(6), rep.ISSUED,
+    "facts AS (SELECT series_id, issue_date, model, count(*) AS n_rows FROM fc GROUP BY ALL)",
+    "used AS (SELECT k.series_id, k.issue_date, max(p.s) AS last_s, count(p.y) AS n_used FROM (SELECT DISTINCT series_id, issue_date FROM fc) k JOIN pan p ON p.series_id = k.series_id AND p.day <= k.issue_date GROUP BY ALL)",
+    """mf AS (SELECT r.*, i.at_s, f.n_rows, u.last_s, u.n_used FROM rec r JOIN issued i ON i.series_id = r.series_id AND i.issue_date = r.issue_date
+  JOIN facts f ON f.series_id = r.series_id AND f.issue_date = r.issue_date AND f.model = r.model JOIN used u ON u.series_id = r.series_id AND u.issue_date = r.issue_date)""",
+]
 
 
 @query(
     "read_manifests",
     q.with_(*_MANIFEST_SQL)
     + f"""SELECT series_id, issue_date, model, h AS horizon_days, target_date, {q.utc_text('at_s')} AS issued_at_utc, {q.utc_text('rec_s')} AS start_utc, {q.local_iso('rec_s')} AS start_local,
-  {q.local_iso('end_s')} AS end_local, expected_mean, p_cheapest, p_near FROM mf""",
+  {q.local_iso('end_s')} AS end_local, expected_mean, p_cheapest, p_near, n_rows, CAST(64 AS INTEGER) AS hash_length, {q.utc_text(q.day_start('issue_date + 1'))} AS information_cutoff_utc,
+  {q.utc_text('last_s')} AS last_value_used_utc, n_used AS n_values_used FROM mf""",
 )
 def read_manifests(spark, sf):
-    """Nested manifests written as JSON text and read back with the fixed schema."""
-    text = ev_manifests(spark, sf).select(F.to_json(F.struct("*")).alias("j"))
-    parsed = text.select(F.from_json("j", ledger.MANIFEST_SCHEMA).alias("m")).select("m.*")
-    rows = ledger.manifest_windows(parsed)
-    return rows.select("series_id", "issue_date", "model", "horizon_days", "target_date", "issued_at_utc", "start_utc", "start_local", "end_local", "expected_mean", "p_cheapest", "p_near")
+    """Nested manifest files with the fixed schema, one row per recommended window, and what they state about their forecast."""
+    manifests = materialize(ev_manifests(spark, sf))
+    prices = F.col("data_cutoffs")["prices"]
+    stated = manifests.select(
+        *ledger.MODEL_KEYS, "n_rows", F.length("parquet_sha256").alias("hash_length"), prices["information_cutoff_utc"].alias("information_cutoff_utc"),
+        prices["last_value_used_utc"].alias("last_value_used_utc"), prices["n_values_used"].alias("n_values_used"),
+    )
+    rows = ledger.manifest_windows(manifests).join(stated, ledger.MODEL_KEYS)
+    return rows.select(
+        "series_id", "issue_date", "model", "horizon_days", "target_date", "issued_at_utc", "start_utc", "start_local", "end_local", "expected_mean",
+        "p_cheapest", "p_near", "n_rows", "hash_length", "information_cutoff_utc", "last_value_used_utc", "n_values_used",
+    )
 
 
 @query(

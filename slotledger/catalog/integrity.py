@@ -1,4 +1,4 @@
-"""Audit of manifests and of inventories over time, on manifests derived from the event panel."""
+"""Audit of manifests and of inventories over time, on files that the query wrote from the event panel."""
 
 from __future__ import annotations
 
@@ -9,26 +9,42 @@ from slotledger.catalog import reports as rep
 from slotledger.catalog import sql as q
 from slotledger.catalog.base import ev_bands, query
 from slotledger.functions import timecols as t
-from slotledger.operators import integrity
+from slotledger.operators import bands, integrity
+from slotledger.session import shared_folder
+from slotledger.sources import files
+from slotledger.sources.commits import stored_schema
 
 CFG = p.QUARTER
+ROW_ORDER = ("horizon_days", "slot_utc")
+#: One issue of one model lies in the folder of this day.
+STRAY = "2023-12-01"
 
 
-def ledger_files(spark, sf):
-    """One path and content hash per forecast file: the quantiles of both horizons in slot order."""
-    cells = F.transform(F.arrays_zip("q10", "q50", "q90"), lambda c: F.format_string("%.2f;%.2f;%.2f", c["q10"], c["q50"], c["q90"]))
-    parts = ev_bands(spark, sf).select("series_id", "issue_date", "model", F.struct("horizon_days", F.concat_ws(",", cells).alias("x")).alias("part"))
-    points = parts.groupBy("series_id", "issue_date", "model").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    text = F.concat_ws("|", F.col("parts.x"))
-    name = F.concat_ws("/", "series_id", F.date_format("issue_date", "yyyy-MM-dd"), F.concat(F.col("model"), F.lit(".v1.parquet")))
-    return points.select("series_id", "issue_date", "model", name.alias("path"), F.sha2(text, 256).alias("sha256"))
+def stray_day():
+    return F.when((F.col("model") == "naive_last_day") & (F.col("issue_date") == "2024-01-10"), F.lit(STRAY).cast("date")).otherwise(F.col("issue_date"))
+
+
+def issued_files(spark, sf, filed_on=None):
+    """The forecasts of the event panel written as files; their root and the schema of their rows."""
+    rows = bands.forecast_rows(ev_bands(spark, sf), CFG)
+    path = shared_folder(spark, "forecasts")
+    files.write_forecasts(rows, path, ROW_ORDER, filed_on)
+    return path, stored_schema(rows)
+
+
+def rewritten(spark, path, schema, changed_model, kept, filed_on=None):
+    """A later state of the files: one model's values moved by a hundredth, issues outside ``kept`` gone, the rest written as it was."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path).filter(kept)
+    later = shared_folder(spark, "forecasts")
+    moved = F.when(F.col("model") == changed_model, F.col("q50") + 0.01).otherwise(F.col("q50"))
+    files.write_forecasts(rows.withColumn("q50", moved), later, ROW_ORDER, filed_on)
+    return later
 
 
 _FILES = [
     *q.ev_base(),
-    """part AS (SELECT series_id, issue_date, model, h, string_agg(printf('%.2f;%.2f;%.2f', q10, q50, q90), ',' ORDER BY s) AS x FROM fc GROUP BY ALL)""",
-    """files AS (SELECT series_id, issue_date, model, series_id || '/' || strftime(issue_date, '%Y-%m-%d') || '/' || model || '.v1.parquet' AS path,
-    sha256(string_agg(x, '|' ORDER BY h)) AS sha FROM part GROUP BY ALL)""",
+    f"""files AS (SELECT DISTINCT series_id, issue_date, model, model = 'naive_last_day' AND issue_date = DATE '2024-01-10' AS stray,
+    series_id || '/' || strftime(issue_date, '%Y-%m-%d') || '/' || model || '.v1' AS filed, series_id || '/' || CASE WHEN stray THEN '{STRAY}' ELSE strftime(issue_date, '%Y-%m-%d') END || '/' || model || '.v1' AS stem FROM fc)""",
 ]
 
 
@@ -36,37 +52,37 @@ _FILES = [
     "manifest_audit",
     q.with_(
         *_FILES, rep.ISSUED,
-        # weekly manifests record a stale hash, manifests of the first issue days carry no file
-        """mani AS (SELECT f.*, i.at_s, CASE WHEN model = 'naive_weekly' THEN sha256(sha) ELSE sha END AS rec FROM files f JOIN issued i ON i.series_id = f.series_id AND i.issue_date = f.issue_date)""",
+        # manifests of the first issue days carry no file, one issue day is stated four hours early
+        "mani AS (SELECT f.*, CASE WHEN f.issue_date = DATE '2024-01-12' THEN i.at_s - 14400 ELSE i.at_s END AS at_s FROM files f JOIN issued i ON i.series_id = f.series_id AND i.issue_date = f.issue_date)",
         "kept AS (SELECT * FROM files WHERE issue_date > DATE '2024-01-04')",
-        f"""v AS (SELECT coalesce(k.path, m.path) AS path, unnest([CASE WHEN m.path IS NULL THEN 'manifest missing' END, CASE WHEN k.path IS NULL THEN 'file missing' END,
-      CASE WHEN k.path IS NOT NULL AND m.path IS NOT NULL AND k.sha <> m.rec THEN 'content changed' END,
-      CASE WHEN k.path IS NOT NULL AND m.path IS NOT NULL AND strftime({q.local('m.at_s')}, '%H:%M') >= '12:00' THEN 'issued outside the window' END]) AS violation
-    FROM kept k FULL JOIN mani m ON m.path = k.path)""",
+        f"""v AS (SELECT coalesce(k.stem, m.stem) AS stem, unnest([CASE WHEN m.stem IS NULL THEN 'manifest missing' END, CASE WHEN k.stem IS NULL THEN 'file missing' END,
+      CASE WHEN k.stem IS NOT NULL AND m.stem IS NOT NULL AND m.model = 'naive_weekly' THEN 'content changed' END,
+      CASE WHEN k.stem IS NOT NULL AND m.stem IS NOT NULL AND m.stray THEN 'folder differs from issue date' END,
+      CASE WHEN k.stem IS NOT NULL AND m.stem IS NOT NULL AND strftime({q.local('m.at_s')}, '%H:%M') NOT BETWEEN '08:45' AND '11:59' THEN 'issued outside the window' END]) AS violation
+    FROM kept k FULL JOIN mani m ON m.stem = k.stem)""",
     )
-    + "SELECT replace(path, '.parquet', '') AS stem, violation FROM v WHERE violation IS NOT NULL",
+    + "SELECT stem, violation FROM v WHERE violation IS NOT NULL",
 )
 def manifest_audit(spark, sf):
-    """Violations of a ledger with stale hashes, absent files and late issues."""
-    files = ledger_files(spark, sf)
+    """Forecasts and manifests written, then the files of one model changed, the first days lost, one issue misfiled and one day early."""
+    path, schema = issued_files(spark, sf, stray_day())
     issued = rep.ev_issued(spark, sf)
-    stale = F.when(F.col("model") == "naive_weekly", F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256"))
-    manifests = files.join(issued, ["series_id", "issue_date"]).select(
-        F.regexp_replace("path", "parquet$", "json").alias("path"), "issue_date", t.utc_text(F.col("issued_at_utc")).alias("issued_at_utc"), stale.alias("parquet_sha256")
-    )
-    kept = files.filter(F.col("issue_date") > "2024-01-04").select("path", "sha256")
-    return integrity.manifest_audit(kept, manifests, CFG)
+    early = F.when(F.col("issue_date") == "2024-01-12", F.col("issued_at_utc") - F.expr("INTERVAL 4 HOURS")).otherwise(F.col("issued_at_utc"))
+    stated = files.forecast_facts(spark, path, schema).join(issued, ["series_id", "issue_date"]).withColumn("issued_at_utc", t.utc_text(early)).drop("path")
+    manifests = shared_folder(spark, "manifests")
+    files.write_manifests(stated, manifests, stray_day())
+    found = rewritten(spark, path, schema, "naive_weekly", F.col("issue_date") > "2024-01-04", stray_day())
+    return integrity.manifest_audit(files.forecast_hashes(spark, found), files.read_manifests(spark, manifests), CFG)
 
 
 @query(
     "immutability_diff",
     q.with_(*_FILES)
-    + """SELECT path, CASE WHEN issue_date >= DATE '2024-01-25' THEN 'D' ELSE 'M' END AS change FROM files
+    + """SELECT filed || '.parquet' AS path, CASE WHEN issue_date >= DATE '2024-01-25' THEN 'D' ELSE 'M' END AS change FROM files
 WHERE issue_date >= DATE '2024-01-25' OR model = 'naive_last_day'""",
 )
 def immutability_diff(spark, sf):
-    """Later inventory without the newest issues and with one model rewritten."""
-    old = ledger_files(spark, sf)
-    rewritten = F.when(F.col("model") == "naive_last_day", F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256"))
-    new = old.filter(F.col("issue_date") < "2024-01-25").withColumn("sha256", rewritten)
-    return integrity.immutability_diff(old, new)
+    """Hashes of the files against those of a later state without the newest issues and with one model rewritten."""
+    path, schema = issued_files(spark, sf)
+    later = rewritten(spark, path, schema, "naive_last_day", F.col("issue_date") < "2024-01-25")
+    return integrity.immutability_diff(files.forecast_hashes(spark, path), files.forecast_hashes(spark, later))

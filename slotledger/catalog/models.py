@@ -13,6 +13,7 @@ from slotledger.config import NAIVE_SPECS
 
 from slotledger.functions import timecols as t
 from slotledger.functions.losses import sort_quantiles
+from slotledger.models import lasso
 from slotledger.models.naive import naive_points
 from slotledger.operators import bands as b
 from slotledger.operators import shaping
@@ -225,3 +226,26 @@ def robust_scale(spark, sf):
     )
 
 
+_WINDOWS_SQL = ", ".join(f"({w})" for w in lasso.WINDOWS)
+
+
+@query(
+    "rolling_robust_scale",
+    q.with_(
+        *q.panel("li60"),
+        """hm AS (SELECT series_id, day, hour, avg(y) AS v FROM pan GROUP BY ALL)""",
+        f"""grid AS (SELECT CAST(unnest(generate_series(DATE '1970-01-04', hi, INTERVAL {lasso.REFIT_DAYS} DAY)) AS DATE) AS anchor FROM (SELECT max(day) + {max(lasso.WINDOWS)} AS hi FROM hm))""",
+        f"""tr AS (SELECT h.series_id, h.hour, g.anchor, w.d AS window_days, h.v FROM hm h, grid g, (VALUES {_WINDOWS_SQL}) w(d)
+  WHERE h.day <= g.anchor AND h.day > g.anchor - w.d AND h.v IS NOT NULL)""",
+        """med AS (SELECT series_id, hour, anchor, window_days, count(*) AS n_values, median(v) AS center FROM tr GROUP BY ALL)""",
+        """sca AS (SELECT m.series_id, m.hour, m.anchor, m.window_days, m.n_values, m.center, median(abs(t.v - m.center)) / 0.6745::DOUBLE AS mad
+  FROM tr t JOIN med m ON m.series_id = t.series_id AND m.hour = t.hour AND m.anchor = t.anchor AND m.window_days = t.window_days GROUP BY ALL)""",
+    )
+    + f"""SELECT series_id, hour, anchor, window_days, n_values, {q.r('center', 4)} AS center, {q.r('CASE WHEN mad > 1e-9 THEN mad ELSE 1.0 END', 4)} AS scale FROM sca""",
+)
+def rolling_robust_scale(spark, sf):
+    """Scale of every training window of the refit grid, per series and hour of the line panel."""
+    days = p.line_days(spark, sf).select("series_id", "day", shaping.hour_means(p.HOURLY).alias("m"))
+    rows = days.select("series_id", "day", F.posexplode("m").alias("hour", "v"))
+    scale = shaping.rolling_scale(rows, ["series_id", "hour"], "day", "v", lasso.REFIT_DAYS, lasso.WINDOWS)
+    return scale.select("series_id", "hour", "anchor", "window_days", "n_values", r("center", 4).alias("center"), r("scale", 4).alias("scale"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from slotledger.functions import arrays as a
 from slotledger.functions import timecols as t
 from slotledger.functions.quantiles import exact_quantile
 from slotledger.functions.holidays import calendar_features
+from slotledger.models.refits import FIRST_SUNDAY
 
 
 def clock_profile(cfg: LedgerConfig) -> Column:
@@ -228,3 +231,36 @@ def robust_scale(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return spread.select(
         *keys, "center", F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(F.lit(1.0)).alias("scale")
     )
+
+
+def _middle(values: Column) -> Column:
+    """Median of an ordered array."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
+def rolling_scale(rows: DataFrame, keys: list[str], day: str, value: str, every: int, windows: Sequence[int]) -> DataFrame:
+    """Median and MAD/0.6745 of every training window: the days up to an anchor of the refit grid, ``every`` days apart, for each window length.
+
+    One scan and one exchange serve all anchors and lengths. A value crosses it ``sum(windows) / every`` times, packed in arrays that are
+    partly collected before; a group holds one window's values of its keys, not the history. Every anchor whose window holds a value has
+    a row; NULLs count nowhere, a flat window scales by one.
+    """
+    number = F.unix_date(day)
+    first = number + F.pmod(F.unix_date(F.lit(FIRST_SUNDAY)) - number, F.lit(every))
+
+    def served(window: int) -> Column:
+        last = number + window - 1
+        anchors = F.when(first <= last, F.sequence(first, last, F.lit(every))).otherwise(F.array().cast("array<int>"))
+        return F.transform(anchors, lambda a: F.struct(a.alias("anchor"), F.lit(window).alias("window_days")))
+
+    known = rows.filter(F.col(value).isNotNull())
+    copies = known.select(*keys, F.col(value).alias("v"), F.inline(F.concat(*[served(w) for w in windows])))
+    packed = copies.groupBy(*keys, "anchor", "window_days").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    centred = packed.withColumn("center", _middle(F.col("v")))
+    away = F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("center"))))
+    spread = centred.withColumn("away", away).withColumn("mad", _middle(F.col("away")) / 0.6745)
+    return spread.select(
+        *keys, F.date_from_unix_date("anchor").alias("anchor"), "window_days", F.size("v").cast("bigint").alias("n_values"),
+        "center", F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(F.lit(1.0)).alias("scale"),
+    )

@@ -234,6 +234,26 @@ def test_scoring_is_idempotent_and_keeps_missed(spark, panel):
     assert tables["dm_tests"].filter("p_value is not null").count() == 0  # fewer than ten days
 
 
+def test_rolling_scale_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    start = date(1970, 1, 1)
+    data = [("a", start + timedelta(int(d)), None if d % 9 == 0 else float(v)) for d, v in enumerate(rng.integers(-6, 7, 90))]
+    data += [("a", start + timedelta(40), 100.0), ("flat", start + timedelta(3), 2.0), ("flat", start + timedelta(5), 2.0), ("none", start, None)]
+    rows = spark.createDataFrame(data, "s string, day date, v double").repartition(5)
+    got = {(r["s"], r["anchor"], r["window_days"]): (r["n_values"], r["center"], r["scale"]) for r in shaping.rolling_scale(rows, ["s"], "day", "v", 14, (7, 28)).collect()}
+    want = {}
+    for anchor in (date(1970, 1, 4) + timedelta(14 * k) for k in range(-2, 20)):
+        for w in (7, 28):
+            for s in ("a", "flat", "none"):
+                x = np.array([v for k, d, v in data if k == s and v is not None and anchor - timedelta(w) < d <= anchor])
+                if len(x):
+                    mad = np.median(abs(x - np.median(x))) / 0.6745
+                    want[s, anchor, w] = (len(x), np.median(x), mad if mad > 1e-9 else 1.0)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert shaping.rolling_scale(rows.limit(0), ["s"], "day", "v", 14, (7,)).count() == 0
+
+
 def test_reference_errors_meet_by_slot(spark):
     """Scored, missed and incomplete models, a reference with other slots, and a day without a reference; compared with a plain loop."""
     key, ref = "series_id string, model string, model_version string, horizon_days int, issue_date date, target_date date, status string", "ref"

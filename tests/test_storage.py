@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from slotledger import catalog
 from slotledger.bindings import panels
-from slotledger.sources import commits, ledger
+from slotledger.config import LedgerConfig
+from slotledger.operators import integrity
+from slotledger.sources import commits, files, ledger
 from slotledger.sources.versions import MonthArchive
 
 KEYS, VALUES = ["series_id", "slot"], ["value", "ingested_at"]
@@ -132,3 +134,36 @@ def test_packed_days_are_scanned_once_and_pruned(spark, sf):
     names = next(line for line in plan_of(panels.event_days(spark, sf).select("series_id", "day")).splitlines() if "FileScan" in line)
     assert "values" not in names.split("ReadSchema:")[1]
     assert "values" not in plan_of(catalog.load()["latest_backtest"](spark, sf)) and "events.parquet" not in plan_of(catalog.load()["issue_forecasts"](spark, sf))
+
+
+# ---------------------------------------------------------------- files
+
+
+def test_files_tell_changes_moves_and_losses(spark):
+    """Forecasts and manifests as files: equal rows give equal bytes in any order, one changed value does not; empty tables."""
+    base = [("s %", date(2026, 1, d), m, "1", float(k)) for d in (1, 2, 3) for m in ("a", "b") for k in range(5)]
+    schema = FORECASTS
+    frame = lambda x: spark.createDataFrame(x, schema)
+    one, two, three, none = folder(), folder(), folder(), folder()
+    files.write_forecasts(frame(base).withColumn("model_version", F.lit("1")), one, ["q50"])
+    files.write_forecasts(frame(base[::-1]).repartition(3), two, ["q50"])
+    changed = [(*r[:4], r[4] + (1e-9 if r[1].day == 1 and r[2] == "a" and r[4] == 4 else 0)) for r in base if (r[1].day, r[2]) != (2, "b")]
+    stray = F.when((F.col("model") == "a") & (F.col("issue_date") == "2026-01-03"), F.lit("2025-12-31").cast("date")).otherwise(F.col("issue_date"))
+    files.write_forecasts(frame(changed), three, ["q50"], stray)
+    hashes = lambda p: {r["path"]: r["sha256"] for r in files.forecast_hashes(spark, p).collect()}
+    assert hashes(one) == hashes(two) and len(hashes(one)) == 6
+    named = lambda p: "/".join(p.split("/")[1:])
+    diff = integrity.immutability_diff(files.forecast_hashes(spark, one), files.forecast_hashes(spark, three))
+    assert {(named(r["path"]), r["change"]) for r in diff.collect()} == {("2026-01-01/a.v1.parquet", "M"), ("2026-01-02/b.v1.parquet", "D"), ("2026-01-03/a.v1.parquet", "D")}
+    facts = files.forecast_facts(spark, one, schema)
+    assert {(r["issue_date"].day, r["model"], r["n_rows"], r["parquet_sha256"] == hashes(one)[r["path"]]) for r in facts.collect()} == {(d, m, 5, True) for d in (1, 2, 3) for m in "ab"}
+    at = F.date_format("issue_date", "yyyy-MM-dd'T'09:00:00'Z'")
+    manifests = folder()
+    files.write_manifests(facts.drop("path").withColumn("issued_at_utc", at), manifests)
+    back = files.read_manifests(spark, manifests)
+    audit = integrity.manifest_audit(files.forecast_hashes(spark, three), back, LedgerConfig())
+    found = {(named(r["stem"]), r["violation"]) for r in audit.collect()}
+    assert found == {("2026-01-01/a.v1", "content changed"), ("2026-01-02/b.v1", "file missing"), ("2026-01-03/a.v1", "file missing"), ("2025-12-31/a.v1", "manifest missing")}
+    assert integrity.manifest_audit(files.forecast_hashes(spark, one), back, LedgerConfig()).count() == 0
+    files.write_forecasts(frame([]), none, ["q50"])
+    assert hashes(none) == {} and files.forecast_facts(spark, none, schema).count() == 0
