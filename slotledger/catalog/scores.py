@@ -363,6 +363,20 @@ def backtest_summary(spark, sf):
     )
 
 
+@query(
+    "backtest_significance",
+    q.with_(*SC, *DM)
+    + """SELECT 'backtest' AS kind, d.series_id, b.first_target, b.last_target, "window", horizon_days, model_a, model_b, n_days, statistic, p_value, mean_daily_mae_diff
+FROM dm d JOIN (SELECT series_id, min(target_date) AS first_target, max(target_date) AS last_target FROM sc GROUP BY 1) b USING (series_id)""",
+)
+def backtest_significance(spark, sf):
+    """Paired tests of the replay, with the same labels as its metrics."""
+    targets = ev_days(spark, sf).withColumnRenamed("day", "target_date")
+    return bt.labelled_summary(ev_tests(spark, sf), targets, "backtest").select(
+        "kind", "series_id", "first_target", "last_target", "window", "horizon_days", "model_a", "model_b", "n_days", "statistic", "p_value", "mean_daily_mae_diff"
+    )
+
+
 @query(
     "latest_backtest",
     q.with_(*q.panel("ev15"))
