@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slotledger import catalog
 from slotledger.bindings import panels
+from slotledger.catalog import integrity as audits
 from slotledger.config import LedgerConfig
 from slotledger.operators import integrity
 from slotledger.sources import commits, files, ledger
@@ -181,3 +182,10 @@ def test_files_list_one_encoding_a_column(spark):
     assert group.num_columns == 7 and all(len(group.column(i).encodings) == 1 for i in range(7))
     back = spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(out)
     assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_audited_files_do_not_depend_on_the_executor(spark, sf):
+    """The forecasts that ``manifest_audit`` hashes: no column of any file lists several encodings, not even in one file of them."""
+    path, _ = audits.issued_files(spark, sf, audits.stray_day())
+    found = [pq.ParquetFile(f).metadata.row_group(0) for f in Path(path).rglob("*.parquet")]
+    assert len(found) > 100 and all(len(g.column(i).encodings) == 1 for g in found for i in range(g.num_columns))
