@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from slotledger import catalog
@@ -54,6 +55,16 @@ def test_only_changed_months_are_rewritten(spark, archive):
     assert archive.upsert(rows(spark)).count() == 0
 
 
+def test_a_commit_does_not_run_the_plan_before_it_in_one_task(spark):
+    """One file all the same. Merged without an exchange, eight partitions would be computed, and hold their memory, in the writing task."""
+    task = F.udf(lambda _: TaskContext.get().taskAttemptId(), "bigint")
+    path, run = folder(), commits.new_run()
+    commits.commit(spark.range(0, 8, 1, 8).select(F.col("id").cast("string").alias("month"), task("id").alias("task")), path, run)
+    written = spark.read.parquet(f"{path}/commits/run={run}")
+    assert len(written.inputFiles()) == 1 and written.count() == 8
+    assert written.select("task").distinct().count() == 8
+
+
 def test_readers_keep_their_version_and_never_see_a_dead_run(spark, archive):
     archive.upsert(rows(spark, (1, 1.0, 1)))
     reader = archive.read()
