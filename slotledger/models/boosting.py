@@ -20,7 +20,7 @@ from slotledger.config import LedgerConfig, ModelSpec
 from slotledger.functions import timecols as t
 from slotledger.functions.arrays import field_of
 from slotledger.functions.losses import sort_quantiles
-from slotledger.models.refits import anchors_between, issue_span, side_by_side
+from slotledger.models.refits import anchors_between, hourly_tasks, issue_span, side_by_side
 from slotledger.operators import features as feat
 from slotledger.operators import shaping
 from slotledger.session import materialize
@@ -151,10 +151,11 @@ def boosted_points(
     """Native quantile vectors (``raw10``, ``point``, ``raw90``) of the asked ``(series_id, target_date)``, each by the fit of its anchor."""
     matrix = materialize(shaping.hourly_matrix(days, cfg))
     cov = materialize(feat.covariate_matrix(on_time(covariates, cfg), cfg))
-    asked = asked.select("series_id", "target_date").distinct()
+    tasks = hourly_tasks(matrix)
+    asked = materialize(asked.select("series_id", "target_date").distinct().repartition(tasks, "series_id", "target_date"))
 
     def of_horizon(h: int) -> list[DataFrame]:
-        table = materialize(feat.pooled_features(matrix, cov, h).repartition("series_id", "target_date"))
+        table = materialize(feat.pooled_features(matrix, cov, h).repartition(tasks, "series_id", "target_date"))
         span = issue_span(asked.withColumn("issue_date", F.date_sub("target_date", h)))
         if span is None:
             return []

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig, ModelSpec
 from slotledger.functions.arrays import array_mean, field_of
-from slotledger.models.refits import anchors_between, issue_span, side_by_side
+from slotledger.models.refits import anchors_between, hourly_tasks, issue_span, side_by_side
 from slotledger.operators import shaping
 from slotledger.session import materialize
 
@@ -83,16 +83,19 @@ def best_fit(train: DataFrame, penalties: Sequence[float] = PENALTIES):
     return best
 
 
-def window_values(rows: DataFrame, ask: DataFrame, anchor: date, window: int, penalties: Sequence[float]) -> DataFrame | None:
-    """Forecasts of the asked hours by the fit of one window; none where no series has enough of its days."""
+def window_values(rows: DataFrame, ask: DataFrame, anchor: date, window: int, penalties: Sequence[float], tasks: int) -> DataFrame | None:
+    """Forecasts of the asked hours by the fit of one window, stored; none where no series has enough of its days.
+
+    They are stored because every task of a plan over all fits would send the counters of each of them to the driver.
+    """
     train = training_rows(rows, anchor, window)
-    scale = materialize(window_scale(train))
-    fitted = materialize(scaled(train, scale).select("features", "label"))
+    scale = materialize(window_scale(train).repartition(tasks, "series_id"))
+    fitted = materialize(scaled(train, scale).select("features", "label").repartition(tasks))
     if fitted.isEmpty():
         return None
     predicted = best_fit(fitted, penalties).transform(scaled(ask, scale))
     value = F.sinh("prediction") * F.col("scale") + F.col("center")
-    return predicted.select(*HOUR_KEYS, value.alias("value"))
+    return materialize(predicted.select(*HOUR_KEYS, value.alias("value")).repartition(tasks, *HOUR_KEYS[:3]))
 
 
 def lasso_hourly(
@@ -103,8 +106,10 @@ def lasso_hourly(
 
     Fits of different anchors, horizons and windows are independent jobs and run side by side.
     """
-    targets = materialize(asked.select("series_id", "target_date").distinct())
-    designs = dict(zip(cfg.horizons, side_by_side(lambda h: materialize(hourly_design(matrix, h)), [(h,) for h in cfg.horizons]), strict=True))
+    tasks = hourly_tasks(matrix)
+    targets = materialize(asked.select("series_id", "target_date").distinct().repartition(tasks, "series_id", "target_date"))
+    design = lambda h: materialize(hourly_design(matrix, h).repartition(tasks, "series_id", "target_date"))
+    designs = dict(zip(cfg.horizons, side_by_side(design, [(h,) for h in cfg.horizons]), strict=True))
 
     def values(h: int, anchor: date, window: int) -> DataFrame | None:
         issue = F.date_sub("target_date", h)
@@ -112,7 +117,7 @@ def lasso_hourly(
         if every is not None:
             served = served & (issue < F.date_add(F.lit(anchor), every))
         ask = designs[h].join(targets, ["series_id", "target_date"], "left_semi").filter(served)
-        return window_values(designs[h], ask, anchor, window, penalties)
+        return window_values(designs[h], ask, anchor, window, penalties, tasks)
 
     jobs = [(h, anchor, window) for h in cfg.horizons for anchor in anchors for window in windows]
     parts = [p for p in side_by_side(values, jobs) if p is not None]

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 FIRST_SUNDAY = date(1970, 1, 4)
 #: Fits submitted at a time; each is a distributed job of its own.
 CONCURRENT_FITS = 8
+#: Hourly rows of a task that prepares, scales or forecasts.
+TABLE_ROWS = 50_000
 
 
 def anchor_of(issue: Column, every: int) -> Column:
@@ -43,6 +45,15 @@ def issue_span(asked: DataFrame) -> tuple[date, date] | None:
     return None if first is None else (first, last)
 
 
+def hourly_tasks(days: DataFrame) -> int:
+    """Partitions for one hourly row per hour of the days.
+
+    Fits are many short jobs, and every task sends its counters to the driver: at the session's number of shuffle partitions that would grow
+    by fits times partitions, whatever the panel holds.
+    """
+    return max(1, -(-24 * days.count() // TABLE_ROWS))
+
+
 def side_by_side(fit: Callable[..., Any], jobs: Iterable[tuple]) -> list[Any]:
     """``fit(*job)`` for each job, some at a time; the results in order."""
     with ThreadPoolExecutor(CONCURRENT_FITS) as pool:

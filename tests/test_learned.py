@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from slotledger.config import LedgerConfig
 from slotledger.functions import timecols as t
-from slotledger.models import boosting, refits
-from slotledger.operators import observations, scoring, summary
+from slotledger.models import boosting, lasso, refits
+from slotledger.operators import observations, scoring, shaping, summary
 from slotledger.operators.features import FEATURE_COLUMNS
 from slotledger.plans import backtest
+from slotledger.session import materialize
 from slotledger.sources import feeds
 
 HOURLY = LedgerConfig(slot_minutes=60)
@@ -130,3 +131,29 @@ def test_five_models_in_one_replay(spark, panel):
     models = {r["model_key"] for r in summary.metric_cube(scoring.pack_scores(scores), HOURLY).select("model_key").distinct().collect()}
     assert {"lasso_ar.v1", "quantile_boosting.v1"} < models
     assert summary.diebold_mariano(summary.daily_scores(scores), HOURLY).count() > 0
+
+
+def test_fits_take_tasks_by_rows_not_by_the_session(spark, panel, monkeypatch):
+    """Stored frames of a fit have as many partitions as their hours need; with the session's number each fit would send that many times its counters."""
+    slots, covariates = panel
+    days, found = packed(slots), []
+
+    def recorded(df):
+        out = materialize(df)
+        if {"hour", "features", "scale"} & set(df.columns):
+            found.append((tuple(df.columns), out.rdd.getNumPartitions()))
+        return out
+
+    for module in (lasso, boosting):
+        monkeypatch.setattr(module, "materialize", recorded)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        asked = spark.createDataFrame([("s", LAST)], "series_id string, target_date date")
+        hourly = lasso.lasso_hourly(shaping.hourly_matrix(days, HOURLY), asked, HOURLY, [LAST - timedelta(days=4)], None, (28,), (0.01,))
+        assert hourly.count() == 2
+        assert boosting.boosted_points(days, covariates, asked, HOURLY, 28, replace(SMALL, stages=1)).count() == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert refits.hourly_tasks(days) == 1 and len(found) >= 10
+    assert {n for _, n in found} == {1}, found
