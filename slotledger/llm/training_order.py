@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,6 +36,10 @@ KEY = 0x5EED_2024
 ROUNDS = 6
 #: Sequences of a shard: 64 MB at the default stride.
 SHARD_SEQUENCES = 131_072
+#: Ids of a stored run, and ids that a task gathers before it deals them out (two bytes each).
+RUN_IDS, DEALT_IDS = 1 << 19, 1 << 24
+#: Compression of packed ids.
+LEVEL = 3
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -70,26 +73,87 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids by their rank among the ids of this run, commonest first: a byte each, two more for ranks from 255 on; compressed."""
+    counts = np.bincount(ids, minlength=1)
+    found = np.flatnonzero(counts)
+    found = found[np.argsort(-counts[found], kind="stable")].astype("<u2")
+    rank = np.zeros(len(counts), dtype="<u2")
+    rank[found] = np.arange(len(found))
+    ranks = rank[ids]
+    rest = ranks[ranks >= 255] - 255
+    parts = [found, np.minimum(ranks, 255).astype("u1"), (rest & 255).astype("u1"), (rest >> 8).astype("u1")]
+    data = b"".join(x.tobytes() for x in parts)
+    head = np.array([len(found), len(ids), len(data)], dtype="<u4").tobytes()
+    return head + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    n_found, n, size = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    raw = np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[12:], size, asbytes=True), "u1")
+    found, lead, rest = raw[: 2 * n_found].view("<u2"), raw[2 * n_found : 2 * n_found + n], raw[2 * n_found + n :]
+    ranks = lead.astype("<u2")
+    low, high = rest.reshape(2, -1)
+    ranks[lead == 255] = low + (high.astype("<u2") << 8) + 255
+    return found[ranks]
+
+
+def _run(columns: dict[str, pa.Array], ids: np.ndarray) -> bytes:
+    """Sequences of a run: their columns, then their ids one after the other."""
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    head = sink.getvalue().to_pybytes()
+    return len(head).to_bytes(4, "little") + head + packed_ids(ids)
+
+
+def _opened(data: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+    at = 4 + int.from_bytes(data[:4], "little")
+    (batch,) = pa.ipc.open_stream(data[4:at])
+    return batch, unpacked_ids(data[at:])
+
+
+def _taken(ids: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Ids of sequences that lie one after the other, in another order of the sequences."""
+    n = lengths[order]
+    ends = np.cumsum(n)
+    starts = (np.cumsum(lengths) - lengths)[order]
+    return ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def encoded(docs: DataFrame, stride: int = STRIDE, vocabulary: str | None = None) -> DataFrame:
-    """One row per sequence: doc_id, __block and __seq (task that encoded it, place there), piece, length, __ids."""
+    """One row per run of sequences: __block and __first (task that encoded it, place of its first sequence there), __n, rows (``_run``)."""
     path = vocabulary or tokens.vocabulary()
-    schema = "doc_id bigint, __block int, __seq bigint, piece int, length int, __ids binary"
+    schema = "__block int, __first bigint, __n bigint, rows binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seq = TaskContext.get().partitionId(), 0
+        block, first = TaskContext.get().partitionId(), 0
+        doc_ids: list[int | None] = []
+        pieces: list[int] = []
+        lengths: list[int] = []
+        ids: list[np.ndarray] = []
+        waiting = 0
+
+        def run() -> pa.RecordBatch:
+            columns = {"doc_id": pa.array(doc_ids, pa.int64()), "piece": pa.array(pieces, pa.int32()), "length": pa.array(lengths, pa.int32())}
+            return _batch([(block, first, len(doc_ids), _run(columns, np.concatenate(ids)))], schema)
+
         for batch in batches:
-            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = np.append(tokens.ids_of(text.as_py(), path), np.uint32(END)).astype("<u2")
-                for p in range(-(-len(data) // stride)):
-                    part = data[p * stride : (p + 1) * stride]
-                    rows.append((doc_id, block, seq, p, len(part), part.tobytes()))
-                    seq += 1
-                if len(rows) >= 4096:
-                    yield _batch(rows, schema)
-                    rows = []
-            if rows:
-                yield _batch(rows, schema)
+                n = -(-len(data) // stride)
+                doc_ids += [doc_id] * n
+                pieces += range(n)
+                lengths += [stride] * (n - 1) + [len(data) - (n - 1) * stride]
+                ids.append(data)
+                waiting += len(data)
+                if waiting >= RUN_IDS:
+                    yield run()
+                    first += len(doc_ids)
+                    doc_ids, pieces, lengths, ids, waiting = [], [], [], [], 0
+        if doc_ids:
+            yield run()
 
     source = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
     return stored(source.mapInArrow(cut, schema), "sequences")
@@ -106,20 +170,14 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     )
 
 
-def slotted(sequences: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """Adds the global slot to each sequence; also returns the number of sequences.
+def numbered(sequences: DataFrame) -> tuple[np.ndarray, int]:
+    """Number of the first sequence of each block, and the number of sequences.
 
     The driver sees one count per task that encoded documents.
     """
-    counts = dict(sequences.groupBy("__block").count().collect())
+    counts = dict(sequences.groupBy("__block").agg(F.sum("__n")).collect())
     sizes = np.array([counts.get(b, 0) for b in range(max(counts, default=-1) + 1)], dtype=np.int64)
-    before, n = np.cumsum(sizes) - sizes, int(sizes.sum())
-
-    @F.pandas_udf("bigint")
-    def slot(block: pd.Series, seq: pd.Series) -> pd.Series:
-        return pd.Series(permute(before[block.to_numpy()] + seq.to_numpy(), n, key))
-
-    return sequences.withColumn("slot", slot("__block", "__seq")), n
+    return np.cumsum(sizes) - sizes, int(sizes.sum())
 
 
 def training_order(docs: DataFrame, stride: int = STRIDE, key: int = KEY, shard_sequences: int = SHARD_SEQUENCES,
@@ -128,33 +186,50 @@ def training_order(docs: DataFrame, stride: int = STRIDE, key: int = KEY, shard_
 
     Each task holds a range of slots, sorted.
     """
-    rows, n = slotted(encoded(docs, stride, vocabulary), key)
+    rows = encoded(docs, stride, vocabulary)
+    before, n = numbered(rows)
     names = "doc_id bigint, piece int, length int, slot bigint, __ids binary"
-    rows = rows.select(*[x.split()[0] for x in names.split(", ")])
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     per_task = max(1, -(-n // parts))  # slots are dense: equal ranges without sampling
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            task = batch.column(3).to_numpy() // per_task
+        runs: list[pa.RecordBatch] = []
+        ids: list[np.ndarray] = []
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(runs).combine_chunks()
+            task = table["slot"].to_numpy() // per_task
             by_task = np.argsort(task, kind="stable")
-            batch, task = batch.take(pa.array(by_task)), task[by_task]
-            out = []
-            for lo, hi in zip(*(lambda x: (x[:-1], x[1:]))([*np.flatnonzero(np.diff(task, prepend=-1)), len(task)]), strict=True):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
-                    w.write_batch(batch.slice(lo, hi - lo))
-                out.append((int(task[lo]), sink.getvalue().to_pybytes()))
-            if out:
-                yield _batch(out, "task int, rows binary")
+            lengths = table["length"].to_numpy()
+            table, task, all_ids = table.take(pa.array(by_task)), task[by_task], _taken(np.concatenate(ids), lengths, by_task)
+            ends = np.cumsum(lengths[by_task])
+            cuts = [*np.flatnonzero(np.diff(task, prepend=-1)), len(task)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                columns = {c: table[c].slice(lo, hi - lo).combine_chunks() for c in table.column_names}
+                yield _batch([(int(task[lo]), _run(columns, all_ids[ends[lo] - lengths[by_task[lo]] : ends[hi - 1]]))], "task int, rows binary")
+
+        for batch in batches:
+            for block, first, data in zip(*(batch.column(c) for c in ("__block", "__first", "rows")), strict=True):
+                run, run_ids = _opened(data.as_py())
+                slots = permute(before[block.as_py()] + first.as_py() + np.arange(run.num_rows), n, key)
+                runs.append(run.append_column("slot", pa.array(slots)))
+                ids.append(run_ids)
+                if sum(map(len, ids)) >= DEALT_IDS:
+                    yield from dealt()
+                    runs.clear()
+                    ids.clear()
+        if runs:
+            yield from dealt()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(1):
-                yield from pa.ipc.open_stream(data.as_buffer())
+            for data in batch.column("rows"):
+                run, ids = _opened(data.as_py())
+                ends = np.concatenate([[0], np.cumsum(2 * run["length"].to_numpy())]).astype("<i4")
+                values = pa.Array.from_buffers(pa.binary(), run.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield run.append_column("__ids", values)
 
-    # ids of one task travel in compressed bundles: a few hundred sequences together take less than each alone
+    # ids of one task travel in bundles of many sequences: together they take less than each alone
     dealt = rows.mapInArrow(bundled, "task int, rows binary").repartitionById(parts, "task")
     ordered = dealt.mapInArrow(opened, names).sortWithinPartitions("slot")
     ordered = ordered.withColumn("shard", F.expr(f"slot div {shard_sequences}").cast("int"))

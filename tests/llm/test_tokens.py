@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -82,6 +83,27 @@ def test_the_query_writes_shards_and_reads_its_digests_from_them(spark, sf, refe
         assert ids.tolist() == [*reference(docs[r.doc_id]), 2][r.piece * 256 :][:256]
 
 
+def test_packed_ids_are_whole_and_smaller():
+    """All 16-bit ids, one id, none, and ids with common ones: fewer bytes than raw ids compressed as they are."""
+    rng = np.random.default_rng(1)
+    common = (rng.zipf(1.3, 100_000) % 4_000 * 13 + 5).astype("<u2")
+    for ids in (common, rng.permutation(65536).astype("<u2"), np.array([7], "<u2"), np.array([], "<u2")):
+        assert training_order.unpacked_ids(training_order.packed_ids(ids)).tolist() == ids.tolist()
+    assert len(training_order.packed_ids(common)) < 0.85 * len(pa.compress(common.tobytes(), "zstd", asbytes=True))
+
+
+def test_stored_and_shuffled_ids_are_packed(frame, small, reference, monkeypatch):
+    """Many runs and many deals give the records of few; the stored table holds its sequences in packed runs."""
+    whole = sorted(map(repr, training_order.training_order(frame(small)).drop("slot", "byte_offset", "shard").collect()))
+    monkeypatch.setattr(training_order, "RUN_IDS", 700)
+    monkeypatch.setattr(training_order, "DEALT_IDS", 2_000)
+    assert sorted(map(repr, training_order.training_order(frame(small)).drop("slot", "byte_offset", "shard").collect())) == whole
+    runs = training_order.encoded(frame(small)).collect()
+    assert len(runs) > 10 and sum(r["__n"] for r in runs) == len(whole)
+    ids = [i for r in sorted(runs, key=lambda r: (r["__block"], r["__first"])) for i in training_order._opened(bytes(r["rows"]))[1].tolist()]
+    assert Counter(ids) == Counter(i for _, text, *_ in small for i in [*reference(text), 2])
+
+
 def test_written_records_are_those_of_the_files(spark, frame, small, tmp_path):
     records = training_order.training_order(frame(small), shard_sequences=100)
     rows = training_order.written(records, f"file://{tmp_path}/shards")
