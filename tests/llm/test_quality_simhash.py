@@ -99,6 +99,21 @@ def test_outliers_equal_plain_python(frame):
 # --- simhash ------------------------------------------------------------------------------------------------------
 
 
+def test_a_step_of_the_estimate_joins_once(frame, monkeypatch):
+    """Vectors with their model, and nothing else: what stays the same is stored before the first step. Each join more is a plan and a broadcast of the driver's a step."""
+    plans = []
+    stored = quality.stored
+
+    def seen(df, name, *by):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(df, name, *by)
+
+    monkeypatch.setattr(quality, "stored", seen)
+    assert any(r.distance is not None for r in quality.verdicts(frame(corpus())).collect())
+    steps = [plan.count("Join ") for name, plan in plans if name == "mcd"][1:]
+    assert steps and set(steps) == {1}
+
+
 def brute_fp(text, words=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = SPLIT.findall(low)
