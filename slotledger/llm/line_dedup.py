@@ -228,7 +228,7 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     two = two.join(met, "key").where(F.struct("__id", "__crc") != F.col("f")).select("__id", "__crc", "f")
     two = two.join(later.select("__id", "__crc"), ["__id", "__crc"])
     asked = later.select("__id", "__crc", F.explode("firsts").alias("f")).union(two).distinct()
-    asked = asked.select("__id", "__crc", F.col("f.a_id").alias("a_id"), F.col("f.a_crc").alias("a_crc"))
+    asked = stored(asked.select("__id", "__crc", F.col("f.a_id").alias("a_id"), F.col("f.a_crc").alias("a_crc")), "asked")
     early = once.select(F.col("__id").alias("a_id"), F.col("__crc").alias("a_crc"), F.col("__h").alias("a_h"))
     both = asked.join(early, ["a_id", "a_crc"]).join(once.select("__id", "__crc", F.col("__h").alias("b_h")), ["__id", "__crc"])
 
@@ -245,7 +245,7 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pd.Series([_runs(set(x), list(y), list(z), min_words) for x, y, z in zip(at, h, n, strict=True)], dtype=object)
 
     cut = united.join(once, ["__id", "__crc"]).select("__id", "__crc", runs("at", "__h", "__n").alias("__cut"))
-    return cut.where(F.size("__cut") > 0)
+    return stored(cut.where(F.size("__cut") > 0), "cuts")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -83,7 +83,8 @@ def leaf_budgets(leaves: DataFrame, total: float | None, alpha: float, max_epoch
         supply = supply.join(F.broadcast(weights.select(*[F.col(c).alias(f"r_{c}") for c in LEVELS], F.col("weight").alias("asked"))), _same(list(LEVELS), "r_"), "left")
         supply = supply.withColumn("asked", F.coalesce("asked", F.lit(0.0))).withColumn("cap", F.when(F.col("asked") > 0, F.col("cap")).otherwise(0))
     all_tokens = F.sum("tokens").over(W.partitionBy(F.lit(1)))
-    rows = supply.withColumn("budget", (all_tokens if total is None else F.lit(total)).cast("double"))
+    # a row per leaf: stored here and after each level, or one plan would hold the exchanges of all levels
+    rows = stored(supply.withColumn("budget", (all_tokens if total is None else F.lit(total)).cast("double")), "mix-supply")
     for depth, name in enumerate(LEVELS):
         parent, keys = list(LEVELS[:depth]), list(LEVELS[: depth + 1])
         weight = F.sum("asked") if weights is not None else F.pow(F.sum("tokens").cast("double"), F.lit(alpha))
@@ -91,6 +92,7 @@ def leaf_budgets(leaves: DataFrame, total: float | None, alpha: float, max_epoch
         nodes = share_out(nodes.withColumn("__name", F.coalesce(F.col(name), F.lit(""))), parent)
         nodes = nodes.select(*[F.col(k).alias(f"n_{k}") for k in keys], F.col("given"))
         rows = rows.join(nodes, _same(keys, "n_")).withColumn("budget", F.col("given")).drop("given", *[f"n_{k}" for k in keys])
+        rows = stored(rows, "mix-level")
     return rows.select(*LEVELS, "tokens", F.floor(F.col("budget") + 1e-6).cast("bigint").alias("leaf_budget"))
 
 
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, total: float | None = None, alpha: float = ALPHA, max_e
     rows = rows.withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * buckets / 2**32).cast("int"))
     counts = rows.groupBy(*LEVELS, "__bucket").agg(F.sum("n_tokens").alias("__in"))
     counts = offsets(counts, list(LEVELS), "__bucket", "__in", "__before")
-    counts = counts.select(*[F.col(c).alias(f"r_{c}") for c in LEVELS], F.col("__bucket").alias("r___bucket"), "__before")
+    counts = stored(counts.select(*[F.col(c).alias(f"r_{c}") for c in LEVELS], F.col("__bucket").alias("r___bucket"), "__before"), "mix-buckets")
     rows = rows.join(counts, _same([*LEVELS, "__bucket"], "r_"))
     upto = W.partitionBy(*LEVELS, "__bucket").orderBy("__key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = F.col("__before") + F.sum("n_tokens").over(upto) <= F.col("rest")
@@ -120,6 +122,7 @@ def mix(docs: DataFrame, total: float | None = None, alpha: float = ALPHA, max_e
 def materialise(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as its epochs hold it."""
     chosen = mix(docs, **options).where("copies > 0").select("__id", "__crc", "copies").dropDuplicates(["__id", "__crc"])
+    chosen = stored(chosen, "mix-chosen")
     out = packed(docs).join(chosen, ["__id", "__crc"])
     return out.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("__row.*")
 

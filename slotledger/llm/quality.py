@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -204,8 +204,9 @@ def estimate(vectors: DataFrame, core: float = CORE, steps: int = STEPS) -> Data
             "__det",
             solve("n", F.array(*[f"s_{x}" for x in xs]), F.array(*[f"p_{i}_{j}" for i, j in _PAIRS])).alias("r"),
         ).select("__group", "r.m", "r.q", "r.det", "__det")
-        new = stored(solved, "mcd")
-        moved = new.agg(F.max(F.coalesce(F.abs(F.col("det") - F.col("__det")), F.lit(1e9)))).first()[0]
+        seen = Observation()  # comes with the write: no query of its own
+        new = stored(solved.observe(seen, F.max(F.coalesce(F.abs(F.col("det") - F.col("__det")), F.lit(1e9))).alias("moved")), "mcd")
+        moved = seen.get["moved"]
         model = new.drop("__det")
         if moved is None or moved < 1e-9:
             steps = step + 1  # one more pass, for the median
@@ -215,7 +216,7 @@ def estimate(vectors: DataFrame, core: float = CORE, steps: int = STEPS) -> Data
             break
     reached = F.when(F.col("__below") + F.col("n") >= 0.5 * F.col("__total"), F.exp((F.col("__bin") - 10 * PER_E + 1) / PER_E))
     scale = bins.groupBy("__group").agg((F.min(reached) / CHI2_MEDIAN).alias("scale"))
-    return model.join(scale, "__group").select("__group", "m", "q", "scale")
+    return stored(model.join(scale, "__group").select("__group", "m", "q", "scale"), "mcd-scale")
 
 
 def chi2_cutoff(tail: float = TAIL) -> float:

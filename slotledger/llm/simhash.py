@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slotledger.llm.common import documents, id_of, packed, stored, text_of
@@ -224,18 +224,27 @@ def wide_rest(hot: DataFrame, roots: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node with an edge.
 
-    Alternating large and small stars; each round is written to the shared folder, and the driver sees a checksum.
+    Alternating large and small stars; both halves of a round are written to the shared folder, and the driver sees a checksum, observed
+    as the second is written. Edges that are stars already take one round.
     """
+
+    def summed(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        mixed = F.xxhash64("u", "v")
+        sums = [F.count(F.lit(1)).alias("n"), F.bit_xor(mixed).alias("x"), F.sum(mixed.bitwiseAND(F.lit(2**31 - 1))).alias("s")]
+        rows = stored(pairs.observe(seen, *sums), "stars")
+        return rows, tuple(seen.get[k] for k in ("n", "x", "s"))
+
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    down, last = stored(down, "stars"), None
+    down, last = summed(down)
     while True:
         both = down.union(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "large-stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        down = stored(small.where("u <> v").distinct(), "stars")
-        state = tuple(down.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(2**31 - 1)))).first())
+        down, state = summed(small.where("u <> v").distinct())
         if state == last:
             break
         last = state
@@ -255,7 +264,7 @@ def with_least(fps: DataFrame, roots: DataFrame) -> DataFrame:
     least = fps.groupBy("fp").agg(F.min("__id").alias("low"))
     least = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     of_root = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = least.join(of_root, "root").select("fp", "component_id")
+    named = stored(least.join(of_root, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp")
 
 
@@ -270,7 +279,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, reca
     first = stored(alike(docs, reps, stored(wide_stars(cold, hot, len(masks)), "candidates"), words, likeness), "links")
     roots = components(first)
     rest = alike(docs, reps, stored(wide_pairs(cold, roots).union(wide_rest(hot, roots)).distinct(), "candidates"), words, likeness)
-    return with_least(fps, components(first.union(rest)))
+    # the first links' groups are stars already: they connect what those links connect
+    return with_least(fps, components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest)))
 
 
 def alike(docs: DataFrame, reps: DataFrame, found: DataFrame, words: int, likeness: float) -> DataFrame:

@@ -190,6 +190,36 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)}
 
 
+@pytest.mark.parametrize(("edges", "rounds"), [([], 1), ([(3, 3)], 1), ([(1, 5), (9, 1), (2, 4)], 1), ([(5, 9), (1, 5)], 2)])
+def test_edges_that_are_stars_take_one_round(spark, monkeypatch, edges, rounds):
+    """The driver asks no query of its own about a round, so ``first`` is not needed."""
+    names, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: names.append(name) or stored(df, name))
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    monkeypatch.setattr(type(table), "first", None)
+    got = {r.node: r.root for r in simhash.components(table).collect()}
+    true = brute_components(edges, sorted({x for e in edges for x in e}))
+    assert got == {x: r for x, r in true.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert names.count("large-stars") == rounds
+
+
+def test_no_plan_of_the_pipeline_is_large(frame, monkeypatch):
+    """With runtime re-planning the driver plans the rest of a query again, and keeps its metrics, after each exchange: two halves cost half of the whole."""
+    plans = []
+
+    def seen(name, df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        plans.append((sum(plan.count(k) for k in ("Join ", "Aggregate ", "Window ")), name))
+
+    for module in (quality, line_dedup, simhash, mixing):
+        stored = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, *by, stored=stored: seen(name, df) or stored(df, name, *by))
+    docs = frame(corpus())
+    for stage in (quality.keep_good, line_dedup.cut_passages, simhash.keep_one, mixing.materialise):
+        seen(stage.__name__, stage(docs))
+    assert max(plans)[0] <= 10, sorted(plans)[-5:]
+
+
 def test_near_duplicates_of_likeness_above_the_bound(frame):
     draw = random.Random(12)
     rows, edited = [], {}
