@@ -17,7 +17,7 @@ with the run around them. Documents are ordered by id.
 Defined results: a null text stays null; a text without shared passages stays as it is, byte for byte; a document that is
 all passage becomes the empty text; rows that repeat an id with the same text are one document; the first holder is never cut.
 
-Scale: texts are shuffled once at most (to apply the cuts); links move hashes only. The common-line counts are partial aggregates;
+Scale: texts are shuffled once (to apply the cuts, by the same plan at every size: the cuts grow with the input); links move hashes only. The common-line counts are partial aggregates;
 the joins on hot lines and hot first holders are plain sort-merge joins, which runtime re-planning splits.
 """
 
@@ -251,7 +251,7 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with aligned passages deleted, plus n_lines and n_cut (lines deleted)."""
     cut = cut_lines(docs, min_words)
-    joined = packed(docs).join(cut, ["__id", "__crc"], "left")
+    joined = packed(docs).join(cut.hint("merge"), ["__id", "__crc"], "left")
     old = F.col("__row.text")
     lines = F.split(old, "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__cut", i))
@@ -265,7 +265,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def cut_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their own columns; n_chars, where there is one, counts the new text where it changed."""
     cut = cut_lines(docs, min_words)
-    joined = packed(docs).join(cut, ["__id", "__crc"], "left")
+    joined = packed(docs).join(cut.hint("merge"), ["__id", "__crc"], "left")
     kept = F.filter(F.split("__row.text", "\n"), lambda x, i: ~F.array_contains("__cut", i))
     new = F.array_join(kept, "\n")
     row = F.col("__row").withField("text", new)

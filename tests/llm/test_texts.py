@@ -94,6 +94,13 @@ def test_repeated_passages_go_and_short_common_lines_stay(frame):
     assert line_dedup.cut_passages(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("cut", [line_dedup.dedup_lines, line_dedup.cut_passages])
+def test_cuts_meet_texts_by_one_plan_at_every_size(frame, cut):
+    """The cuts grow with the input: while they were few they were broadcast, later every text crossed an exchange."""
+    plan = cut(frame([(i, "some line of text") for i in range(9)]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [__id" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_patience_keeps_the_order_of_lines():
     a, b = [1, 2, 3, 4, 5, 6], [4, 9, 1, 2, 7, 3, 6]
     assert sorted(line_dedup._patience(a, b)) == [2, 3, 5, 6]
