@@ -123,7 +123,7 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as its epochs hold it."""
     chosen = mix(docs, **options).where("copies > 0").select("__id", "__crc", "copies").dropDuplicates(["__id", "__crc"])
     chosen = stored(chosen, "mix-chosen")
-    out = packed(docs).join(chosen, ["__id", "__crc"])
+    out = packed(docs).join(chosen.hint("merge"), ["__id", "__crc"])
     return out.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("__row.*")
 
 

@@ -14,7 +14,11 @@ paired up: up to radius 2, all its fingerprints one bit flip away from a common
 by further bits, in three ways, and its members are compared with the centre of their parts. That search first compares every member of a bucket with its
 centre alone (the first in one of ``CENTRES`` seeded orders, so that a member meets several), and then only pairs that are not yet in one group: in a small bucket all of them, in a larger one those of the members outside its commonest
 group with all others (if that are more than ``COLD``, in blocks): a large group of near copies costs a few comparisons each, and none of its
-members is left out because it differs from the centre.
+members is left out because it differs from the centre. Those pairs must also agree in a sketch of ``SKETCH`` bits, one from each of as many
+least hashes of the set of shingles, which tells likeness 0.8 from 0.6 where 128 bits do not.
+
+Scale of that search: rows cross an exchange once per set of bits in either part, and sizes, centres and pairs of a bucket are found where its
+rows meet; only the members of large buckets and what is close to a centre are stored.
 
 Defined results: null text: empty; no words: fingerprint zero, linked like any other; repeated rows share their component; an empty table gives
 no rows; a null id counts as the smallest.
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from slotledger.llm.common import documents, id_of, packed, stored, text_of
 
@@ -79,19 +84,41 @@ def second(hashes: np.ndarray) -> int:
     return majority((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
 
 
+#: Bits of the sketch of a set of shingles.
+SKETCH = 512
+_FACTORS = np.random.default_rng(3).integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """A bit of the least hash by each of ``SKETCH`` orders of the set (signed, 64 to a number); repeats do not count."""
+    least = np.full(SKETCH, 2**32 - 1, dtype=np.uint32)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 1024):
+        least = np.minimum(least, (x[at : at + 1024, None] * _FACTORS).min(axis=0))
+    return np.packbits((least >> np.uint32(8)).astype(np.uint8) & 1).view(np.int64).tolist()
+
+
+def sketch_apart(likeness: float) -> int:
+    """Most bits in which the sketches of two sets of that Jaccard likeness differ, but for a chance below 1e-4: each does with chance (1 - likeness) / 2."""
+    p = (1 - likeness) / 2
+    return math.ceil(SKETCH * p + 4.2 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, twice: bool = False) -> DataFrame:
-    """doc_id, __id, __crc, fp and, if ``twice``, fp2 (signed)."""
-    names = ["doc_id", "__id", "__crc", "fp", *["fp2"] * twice]
+    """doc_id, __id, __crc, fp and, if ``twice``, fp2 (signed) and the sketch."""
+    names = ["doc_id", "__id", "__crc", "fp", *["fp2", "sketch"] * twice]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = [hashes_of(t.as_py(), words) for t in b.column(3)]
             fps = [pa.array([_signed(f(h)) for h in every], pa.int64()) for f in (majority, second)[: 1 + twice]]
+            fps += [pa.array([sketch(h) for h in every], pa.list_(pa.int64()))] * twice
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *fps], names=names)
 
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), id_of(docs).alias("__id"), F.crc32(text.cast("binary")).alias("__crc"), text.alias("__text"))
-    return stored(rows.mapInArrow(make, ", ".join(f"{n} bigint" for n in names)), "fingerprints")
+    schema = ", ".join(f"{n} {'array<bigint>' if n == 'sketch' else 'bigint'}" for n in names)
+    return stored(rows.mapInArrow(make, schema), "fingerprints")
 
 
 def quarter_masks() -> list[int]:
@@ -112,6 +139,10 @@ def drawn_masks(n: int, likeness: float, recall: float, seed: int = 7) -> list[t
 def pivot_table(fps: DataFrame, n: int = N_PIVOTS) -> DataFrame:
     """Distinct fingerprints (of one fp the smallest fp2) with their distances to the references, eight to a number (d0, d1, ...)."""
     out = fps.groupBy("fp").agg(F.min("fp2").alias("fp2")) if "fp2" in fps.columns else fps.select("fp").distinct()
+    return with_distances(out, n)
+
+
+def with_distances(out: DataFrame, n: int) -> DataFrame:
     refs = pivots(n)
     for k in range(0, n, 8):
         packed_ = F.lit(0).cast("bigint")
@@ -130,8 +161,8 @@ def near_in_table(radius: int, n: int) -> Column:
     return cond
 
 
-def apart(name: str) -> Column:
-    return F.bit_count(F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}")))
+def apart(name: str, a: str = "a.", b: str = "b.") -> Column:
+    return F.bit_count(F.col(a + name).bitwiseXOR(F.col(b + name)))
 
 
 def buckets(table: DataFrame, keys: list[Column], cold: int) -> tuple[DataFrame, DataFrame]:
@@ -170,13 +201,32 @@ WIDE_COLD, SPLITS = 16, 3
 CENTRES = 8
 
 
-def wide_buckets(table: DataFrame, masks: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+def _verified(a: str = "a.", b: str = "b.") -> Column:
+    return (apart("fp", a, b) <= WIDE) & (apart("fp", a, b) + apart("fp2", a, b) <= WIDE_BOTH)
+
+
+def _in_buckets(table: DataFrame, masks: list[tuple[int, int]], **more: Column) -> DataFrame:
+    """Rows of the table once per set of bits (c) they share with others, with their number n and ``more`` over the bucket.
+
+    The distances do not cross the exchange. A bucket meets in one task, which keeps its rows on disk if they are many.
+    """
     both = lambda m: F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(m[0]))), F.col("fp2").bitwiseAND(F.lit(_signed(m[1]))))
-    return buckets(table, [both(m) for m in masks], WIDE_COLD)
+    names = [c for c in table.columns if c != "d0"]
+    every = F.array(*[F.struct(F.lit(i).alias("c"), both(m).alias("key")) for i, m in enumerate(masks)])
+    keyed = table.select(*names, F.explode(every).alias("k")).select(*names, "k.c", "k.key")
+    keyed = keyed.repartition("c", "key")  # here, so that what the windows take is made behind the exchange
+    of = W.partitionBy("c", "key")
+    return keyed.select("*", F.count(F.lit(1)).over(of).alias("n"), *[v.over(of).alias(k) for k, v in more.items()]).where("n > 1")
 
 
-def _verified() -> Column:
-    return (apart("fp") <= WIDE) & (apart("fp") + apart("fp2") <= WIDE_BOTH)
+def wide_buckets(table: DataFrame, masks: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of each member of a cold bucket that is close to its centre, and the rows of hot buckets."""
+    rows = _in_buckets(table, masks, low=F.min(F.struct(F.xxhash64("fp", F.col("c") % CENTRES).alias("by"), "fp", "fp2")))
+    close = (F.col("low.fp") != F.col("fp")) & _verified("low.", "")
+    rows = rows.where((F.col("n") > WIDE_COLD) | close).select("fp", "fp2", "c", "key", "n", F.col("low.fp").alias("a"))
+    rows = stored(rows, "buckets")
+    cold = rows.where(F.col("n") <= WIDE_COLD).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+    return cold, with_distances(rows.where(F.col("n") > WIDE_COLD).drop("a"), WIDE_PIVOTS)
 
 
 def wide_stars(cold: DataFrame, hot: DataFrame, n_masks: int) -> DataFrame:
@@ -184,43 +234,68 @@ def wide_stars(cold: DataFrame, hot: DataFrame, n_masks: int) -> DataFrame:
     draw = random.Random(11)
     names = ["fp", "fp2", "d0", "c", "key"]
     more = [F.array(*[F.lit(_signed(sum(1 << b for b in draw.sample(range(64), 8)))) for _ in range(n_masks)]) for _ in range(SPLITS)]
-    split = hot.select(*names, F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.get(m, F.col("c")))) for i, m in enumerate(more)])).alias("z"))
-    part = cold.select(*names, F.lit(0).cast("bigint").alias("z")).union(split)
+    part = hot.select(*names, F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.get(m, F.col("c")))) for i, m in enumerate(more)])).alias("z"))
     centre = F.min(F.struct(F.xxhash64("fp", F.col("c") % CENTRES).alias("by"), "fp", "fp2", "d0"))
     least = part.groupBy("c", "key", "z").agg(centre.alias("low")).select("c", "key", "z", "low.fp", "low.fp2", "low.d0")
     star = part.alias("b").join(least.alias("a"), ["c", "key", "z"]).where(F.col("a.fp") != F.col("b.fp"))
     star = star.where(near_in_table(WIDE, WIDE_PIVOTS) & _verified())
-    return star.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
+    return cold.union(star.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))).distinct()
 
 
-def wide_pairs(cold: DataFrame, roots: DataFrame) -> DataFrame:
+def wide_pairs(table: DataFrame, masks: list[tuple[int, int]], roots: DataFrame) -> DataFrame:
     """(a, b): pairs of cold buckets that ``roots`` does not connect yet."""
-    named = cold.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    return paired(named, WIDE, WIDE_PIVOTS, _verified() & (F.col("a.root") != F.col("b.root"))).distinct()
+    named = table.select("fp", "fp2").join(roots, F.col("fp") == F.col("node"), "left")
+    named = stored(named.select("fp", "fp2", F.coalesce("root", "fp").alias("root")), "rooted")
+    cold = with_distances(_in_buckets(named, masks).where(F.col("n") <= WIDE_COLD), WIDE_PIVOTS)
+    return paired(cold, WIDE, WIDE_PIVOTS, _verified() & (F.col("a.root") != F.col("b.root"))).distinct()
+
+
+def _first_met(masks: list[tuple[int, int]]) -> Column:
+    """No set of bits before their bucket's (a.c) is one the rows a. and b. share, too."""
+    sets = F.array(*[F.struct(F.lit(_signed(m[0])).alias("x"), F.lit(_signed(m[1])).alias("y")) for m in masks])
+    differ = lambda name, m: F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}")).bitwiseAND(m) != 0
+    return F.forall(F.slice(sets, F.lit(1), F.col("a.c")), lambda m: differ("fp", m["x"]) | differ("fp2", m["y"]))
 
 
-def wide_rest(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of hot buckets that ``roots`` does not connect yet.
+def wide_rest(
+    hot: DataFrame, roots: DataFrame, masks: list[tuple[int, int]] | None = None, sketches: DataFrame | None = None, likeness: float = 0.8
+) -> DataFrame:
+    """(a, b): pairs of hot buckets that ``roots`` does not connect yet and whose ``sketches`` (fp, sketch), where given, are close.
 
     The members outside a bucket's commonest group meet all members of other groups. They are dealt into blocks of about ``COLD``, and the
-    bucket's members are repeated for each block, so no pair is left out and no task holds all pairs of a bucket.
+    bucket's members are repeated for each block, so no pair is left out and no task holds all pairs of a bucket. With ``masks`` a pair
+    counts in the first bucket it shares only; where that is a cold one, ``wide_pairs`` has it.
     """
     named = hot.join(roots, F.col("fp") == F.col("node"), "left")
     parts = named.select("fp", "fp2", "d0", F.coalesce("root", "fp").alias("root"), "c", "key")
     groups = parts.groupBy("c", "key", "root").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.groupBy("c", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     groups = groups.select("c", "key", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / COLD).cast("int").alias("blocks"))
-    parts = stored(parts.join(groups.where("blocks > 0"), ["c", "key"]), "parts")
+    parts = parts.join(groups.where("blocks > 0"), ["c", "key"])
+    parts = stored(parts if sketches is None else parts.join(sketches, "fp"), "parts")
     outside = parts.where("root <> main").withColumn("block", F.pmod(F.xxhash64(F.lit(17), "fp"), F.col("blocks")).cast("int"))
     every = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart_yet = F.col("a.root") != F.col("b.root")
     for name in ("c", "key", "block"):
         apart_yet = apart_yet & (F.col(f"a.{name}") == F.col(f"b.{name}"))
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
-    met = outside.alias("a").join(every.alias("b"), apart_yet & once & near_in_table(WIDE, WIDE_PIVOTS) & _verified())
+    close = near_in_table(WIDE, WIDE_PIVOTS) & _verified()
+    if sketches is not None:
+        close = close & sketches_near(sketch_apart(likeness))
+    if masks is not None:
+        close = close & _first_met(masks)
+    met = outside.alias("a").join(every.alias("b"), apart_yet & once & close)
     return met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
+def sketches_near(most: int) -> Column:
+    """At most so many bits of two sketches differ (a. and b.)."""
+    differ = F.lit(0)
+    for k in range(SKETCH // 64):
+        differ = differ + F.bit_count(F.get("a.sketch", F.lit(k)).bitwiseXOR(F.get("b.sketch", F.lit(k))))
+    return differ <= most
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node with an edge.
 
@@ -271,14 +346,17 @@ def with_least(fps: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, likeness: float = 0.8, recall: float = 0.99) -> DataFrame:
     """doc_id, __id, __crc, component_id: groups linked by SimHash candidates whose shingle sets have that Jaccard likeness."""
     fps = fingerprints(docs, words, twice=True)
-    table = pivot_table(fps, WIDE_PIVOTS)
+    table = stored(pivot_table(fps, WIDE_PIVOTS), "table")
     masks = drawn_masks(table.count(), likeness, recall)
-    cold, hot = wide_buckets(table, masks)
-    reps = fps.groupBy("fp").agg(F.min(F.struct("__id", "__crc")).alias("r")).select("fp", "r.__id", "r.__crc")
+    stars, hot = wide_buckets(table, masks)
+    first = F.min(F.struct("__id", "__crc", "sketch")).alias("r")
+    reps = stored(fps.groupBy("fp").agg(first).select("fp", "r.__id", "r.__crc", "r.sketch"), "reps")
+    ids, sketches = reps.drop("sketch"), reps.select("fp", "sketch")
     # stars first: they connect large groups with a link or two per document; of all other pairs only those between groups are left
-    first = stored(alike(docs, reps, stored(wide_stars(cold, hot, len(masks)), "candidates"), words, likeness), "links")
+    first = stored(alike(docs, ids, stored(wide_stars(stars, hot, len(masks)), "candidates"), words, likeness), "links")
     roots = components(first)
-    rest = alike(docs, reps, stored(wide_pairs(cold, roots).union(wide_rest(hot, roots)).distinct(), "candidates"), words, likeness)
+    found = wide_pairs(table, masks, roots).union(wide_rest(hot, roots, masks, sketches, likeness)).distinct()
+    rest = alike(docs, ids, stored(found, "candidates"), words, likeness)
     # the first links' groups are stars already: they connect what those links connect
     return with_least(fps, components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest)))
 
@@ -287,7 +365,7 @@ def alike(docs: DataFrame, reps: DataFrame, found: DataFrame, words: int, likene
     """The candidates (a, b) whose texts' shingle sets have the Jaccard likeness."""
     asked = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
     keyed = docs.select(id_of(docs).alias("__id"), text_of(docs).alias("__text")).withColumn("__crc", F.crc32(F.col("__text").cast("binary")))
-    texts = keyed.join(reps.join(asked, "fp"), ["__id", "__crc"]).select("fp", "__text")
+    texts = keyed.join(reps.join(asked, "fp").hint("merge"), ["__id", "__crc"]).select("fp", "__text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,7 +390,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents, one of each group: the one with the smallest id (of equal ids the smallest checksum)."""
     groups = near_duplicates(docs, **options)
     keep = groups.groupBy("component_id").agg(F.min(F.struct("__id", "__crc")).alias("r")).select("r.__id", "r.__crc")
-    return packed(docs).join(keep, ["__id", "__crc"]).dropDuplicates(["__id", "__crc"]).select("__row.*")
+    return packed(docs).join(keep.hint("merge"), ["__id", "__crc"]).dropDuplicates(["__id", "__crc"]).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slotledger.llm import line_dedup, mixing, packing, quality, simhash
@@ -280,6 +281,49 @@ def test_large_buckets_lose_no_pair(spark, cold, monkeypatch):
     assert len(fps) > 2 * simhash.COLD and got == want
 
 
+def test_a_pair_of_large_buckets_is_met_once_and_none_is_lost(spark, monkeypatch):
+    draw = random.Random(9)
+    base = draw.getrandbits(128)
+    both = sorted({base ^ sum(1 << b for b in draw.sample(range(128), k)) for k in range(24) for _ in range(7)})
+    fps = {simhash._signed(x % 2**64): simhash._signed(x >> 64) for x in both}
+    rows = {}
+    stored = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, *by: rows.setdefault(name, stored(df, name, *by)))
+    table = simhash.pivot_table(spark.createDataFrame(list(fps.items()), "fp bigint, fp2 bigint"), simhash.WIDE_PIVOTS)
+    masks = [(0, 3), (1, 0), (0, 0), (2**64 - 1, 2**64 - 1), (2**20 - 1, 2**20 - 1)]
+    _, hot = simhash.wide_buckets(table, masks)
+    group = sorted(fps)[::3]
+    roots = spark.createDataFrame([(f, group[0]) for f in group], "node bigint, root bigint")
+    pairs = lambda df: {(r.a, r.b) for r in df.collect()}
+    rest = pairs(simhash.wide_rest(hot, roots, masks))
+    assert rest | pairs(simhash.wide_pairs(table, masks, roots)) == pairs(simhash.wide_rest(hot, roots)) | pairs(simhash.wide_pairs(table, masks, roots))
+    met = rows["parts"].alias("a").join(rows["parts"].alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
+    once = met.where(simhash._first_met(masks)).groupBy("a.fp", "b.fp").count()
+    assert met.count() > 2 * once.count() > 0 and once.where("count > 1").count() == 0
+    # of cold buckets only members close to the centre are stored
+    assert rows["buckets"].where(F.col("n") <= simhash.WIDE_COLD).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) > simhash.WIDE).count() == 0
+
+
+def test_sketches_tell_the_bound_from_what_is_below():
+    draw = np.random.default_rng(4)
+
+    def differ(likeness, n=200):
+        common, own = round(n * likeness), (n - round(n * likeness)) // 2
+        x = draw.integers(0, 2**64, n, dtype=np.uint64)
+        a, b = np.concatenate([x[: common + own], x[:9]]), np.concatenate([x[:common], x[common + own :]])
+        return sum(((p ^ q) % 2**64).bit_count() for p, q in zip(simhash.sketch(a), simhash.sketch(b), strict=True))
+
+    assert max(differ(0.8) for _ in range(200)) <= simhash.sketch_apart(0.8)
+    assert sum(differ(0.6) <= simhash.sketch_apart(0.8) for _ in range(200)) < 20
+    assert len(simhash.sketch(np.array([], dtype=np.uint64))) == simhash.SKETCH // 64
+
+
+@pytest.mark.parametrize("step", [simhash.keep_one, mixing.materialise])
+def test_texts_are_met_by_one_plan_at_every_size(frame, step):
+    plan = step(frame(corpus()))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [__id" in plan
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
