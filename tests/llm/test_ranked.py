@@ -2,9 +2,13 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from slotledger.llm import ranked
@@ -63,6 +67,45 @@ def test_queries_in_blocks(frame, spark, small, monkeypatch):
     assert run(frame, spark, docs, items) == brute(docs, items)
 
 
+def test_a_row_group_holds_one_block(frame, spark, small, monkeypatch):
+    monkeypatch.setattr(ranked, "BLOCK_ROWS", 16)
+    inverted = ranked.blocks(frame([r[:2] for r in small[:150]], parts=1))
+    for table in (inverted, ranked.index(inverted, 150, 10**5, [(b"the", 1)])):
+        files = [pq.ParquetFile(urlparse(f).path).metadata for f in table.inputFiles()]
+        assert sum(f.num_rows for f in files) >= 9 and all(f.num_row_groups == f.num_rows for f in files)
+
+
+def peak_of(run):
+    tracemalloc.start()
+    run()
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return most
+
+
+def test_a_batch_becomes_objects_row_by_row():
+    batch = pa.RecordBatch.from_pydict({"docs": pa.array([bytes(1 << 20)] * 40)})
+    assert sum(len(r["docs"]) for r in ranked.rows_of([batch])) == 40 << 20
+    assert peak_of(lambda: [None for _ in ranked.rows_of([batch])]) < 4 << 20
+
+
+def test_terms_of_a_block_are_not_kept_as_objects():
+    rng = np.random.default_rng(1)
+    texts = [b" ".join(b"w%d" % n for n in rng.integers(0, 20_000, 2_000)) for _ in range(200)]
+    assert peak_of(lambda: ranked._inverted(list(range(200)), (Counter(ranked.terms_of(t)) for t in texts))) < 8 * sum(map(len, texts))
+    assert peak_of(lambda: [Counter(ranked.terms_of(t)) for t in texts]) > 8 * sum(map(len, texts))
+
+
+def test_impacts_need_little_beside_themselves():
+    n = 1 << 20
+    row = {"doc_ids": [1, 2], "lengths": [900, 70], "terms": [b"a"], "df": [n], "docs": np.tile(np.array([0, 1, 0], np.uint16), n)[:n].tobytes(),
+           "tf": (np.arange(n, dtype=np.uint32) % 977 + 1).tobytes()}
+    block = ranked.Block(row, 2, 970)
+    docs, want = block.postings(0)
+    assert (block.impacts() == want).all() and len(docs) == n
+    assert peak_of(block.impacts) < 2 * want.nbytes
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pair_bounds_hold_and_skip(seed):
     """The bound of every prefix is at least what any document scores in it, and below the sum of maxima where pairs save."""
