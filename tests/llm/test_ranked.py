@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from slotledger.llm import ranked
+from slotledger.llm import common, ranked
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 ITEMS = "item_id long, text string"
@@ -75,6 +76,30 @@ def test_a_row_group_holds_one_block(frame, spark, small, monkeypatch):
         assert sum(f.num_rows for f in files) >= 9 and all(f.num_row_groups == f.num_rows for f in files)
 
 
+def test_steps_over_blocks_run_with_small_batches(frame, spark, small, monkeypatch):
+    seen, before = {}, spark.conf.get(ranked.BATCH_LIMIT)
+
+    def stored(df, name, **options):
+        seen[name] = int(spark.conf.get(ranked.BATCH_LIMIT).rstrip("b"))
+        return common.stored(df, name, **options)
+
+    monkeypatch.setattr(ranked, "stored", stored)
+    docs, items = [r[:2] for r in small[:20]], [(1, small[3][1][:200])]
+    assert run(frame, spark, docs, items) == brute(docs, items)
+    assert seen == dict.fromkeys(("inverted", "ranked-index", "ranked-found"), ranked.BATCH_BYTES)
+    assert spark.conf.get(ranked.BATCH_LIMIT) == before
+
+
+def test_large_rows_cross_one_by_one(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 5 << 20).cast("binary").alias("docs"))
+    with ranked.small_batches(spark):
+        assert [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()] == [1] * 12
+
+
 def peak_of(run):
     tracemalloc.start()
     run()
